@@ -11,6 +11,7 @@ from quarry.llm.common import table
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.mixing import mix
 from quarry.llm.quality_rules import quality_rules
+from quarry.llm.simhash import simhash
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = F.array_join("failed_rules", ",").alias("failed_rules")
@@ -28,7 +33,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op7_mixing, op9_quality_rules)
+    f.__name__: f for f in (op1_exact_dedup, op7_mixing, op8_simhash, op9_quality_rules)
 }
 
 OP1_SQL = r"""
