@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import table
 from quarry.llm.exact_dedup import exact_dedup
+from quarry.llm.lm_scoring import held_out_fold, lm_score
 from quarry.llm.mixing import mix
 from quarry.llm.quality_rules import quality_rules
+from quarry.llm.sentencepiece_sampling import decode, encode
 from quarry.llm.simhash import simhash
 
 
@@ -18,6 +20,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"), held_out_fold(F.col("doc_id")))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = decode(encode(docs))
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,7 +45,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op7_mixing, op8_simhash, op9_quality_rules)
+    f.__name__: f for f in (op1_exact_dedup, op3_lm_scoring, op5_sentencepiece, op7_mixing, op8_simhash, op9_quality_rules)
 }
 
 OP1_SQL = r"""
