@@ -13,6 +13,13 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 # Runs of white space other than one plain space: replacing only these by one space normalises a text.
 UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
+# Frequent function words by language.
+FUNCTION_WORDS = {
+    "en": "a an and are as at be by for from had has have he in is it not of on or that the this to was we were which with you".split(),
+    "de": "als am an auf aus bei das dem den der des die ein eine einer es für hat im in ist mit nicht sich sie und von zu zum".split(),
+    "fr": "au aux avec ce dans de des du elle en est et il je la le les ne on par pas pour qui que se sur un une".split(),
+    "es": "al como con de del el en es la las lo los mi no para pero por que se su un una y".split(),
+}
 
 
 def work_dir(spark: SparkSession) -> str:

@@ -8,17 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE_RUN, fresh, require
+from quarry.llm.common import FUNCTION_WORDS, SPACE_RUN, fresh, require
 
 # The symbols that the contract counts.
 SYMBOLS = r"[#*$%&|<>]"
-#: Frequent function words of English, German, French and Spanish; running text has several of them.
-STOP_WORDS = (
-    "a an and are as at be by for from had has have he in is it not of on or that the this to was we were which with you "
-    "als am an auf aus bei das dem den der des die ein eine einer es für hat im in ist mit nicht sich sie und von zu zum "
-    "au aux avec ce dans de des du elle en est et il je la le les ne on par pas pour qui que se sur un une "
-    "al como con de del el en es la las lo los mi no para pero por que se su un una y"
-).split()
+#: Running text has several of them.
+STOP_WORDS = tuple(dict.fromkeys(w for words in FUNCTION_WORDS.values() for w in words))
 WINDOW = 5
 
 
@@ -74,7 +69,7 @@ def counted(docs: DataFrame, text: Column) -> tuple[DataFrame, dict[str, str]]:
             name["n_dup_lines"]: (F.size(name["lines"]) - F.size(F.array_distinct(name["lines"]))).cast("long"),
             name["n_repeat_words"]: F.coalesce(covered, F.lit(0)).cast("long"),
             name["n_lines"]: F.size(name["lines"]).cast("long"),
-            name["n_stop_words"]: F.size(F.filter(w, lambda x: F.lower(x).isin(*dict.fromkeys(STOP_WORDS)))).cast("long"),
+            name["n_stop_words"]: F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long"),
         }
     )
     return out.drop(*(name[k] for k in ("words", "lines", "windows", "order", "starts"))), name

@@ -7,27 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import remainder, table
 from quarry.llm.exact_dedup import exact_dedup
+from quarry.llm.html_extraction import extract
+from quarry.llm.language_id import held_out_fold as language_fold
+from quarry.llm.language_id import language_id
 from quarry.llm.lm_scoring import held_out_fold, lm_score
 from quarry.llm.mixing import mix
 from quarry.llm.quality_rules import quality_rules
-from quarry.llm.sentencepiece_sampling import decode, encode
+from quarry.llm.sentencepiece_sampling import encode
 from quarry.llm.simhash import simhash
+from quarry.llm.toxicity import toxicity
+from quarry.llm.url_filter import url_filter
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"), held_out_fold(F.col("doc_id")))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs))
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    return encode(docs).select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "lossless")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"), language_fold(F.col("doc_id")))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +60,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", rules)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op3_lm_scoring, op5_sentencepiece, op7_mixing, op8_simhash, op9_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_url_filter,
+        op3_lm_scoring,
+        op4_html_extraction,
+        op5_sentencepiece,
+        op6_language_id,
+        op7_mixing,
+        op8_simhash,
+        op9_quality_rules,
+        op10_toxicity,
+    )
 }
 
 OP1_SQL = r"""
