@@ -8,11 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.common import require
+from quarry.llm.common import fresh, require
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The character that stands for a space in pieces.
@@ -20,7 +22,7 @@ SPACE = "▁"
 #: Sharpness of the sampling: 0 draws all segmentations alike, large values draw the likeliest.
 ALPHA = 0.5
 #: Texts encoded at a time, and lattice nodes that a task remembers before it starts anew.
-TEXTS, NODES = 400, 4_000_000
+TEXTS, NODES = 400, 2_500_000
 PRIME = np.uint64(0x100000001B3)
 
 
@@ -85,8 +87,8 @@ class Lattices:
     """Lattices of segments as flat arrays, filtered forwards once for each distinct segment.
 
     A node is a place in a segment; its edges come from earlier places. ``bound`` holds
-    for each edge the number of its node plus the share of the probability up to and with
-    this edge, so one binary search draws an edge for any number of nodes.
+    for each edge the share of its node's probability up to and with this edge, ``back``
+    how many places before the edge starts.
     """
 
     def __init__(self, pieces: Pieces, alpha: float):
@@ -108,7 +110,7 @@ class Lattices:
     def clear(self) -> None:
         self.of: dict[str, int] = {}
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each segment: its first node, its nodes
-        self.bound, self.source, self.piece = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)  # of each edge
+        self.bound, self.back, self.piece = np.zeros(0, np.float32), np.zeros(0, np.uint8), np.zeros(0, np.int32)  # of each edge
         self.edges_to = np.zeros(0, np.int64)  # of each node: the number of edges up to and with its own
 
     def edges(self, code: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -169,8 +171,8 @@ class Lattices:
         up[last[per_node > 0]] = 1.0
         base = len(self.edges_to)
         self.edges_to = np.concatenate((self.edges_to, last + len(self.bound) + 1))
-        self.bound = np.concatenate((self.bound, base + node + up))
-        self.source = np.concatenate((self.source, (base + source).astype(np.int32)))
+        self.bound = np.concatenate((self.bound, up.astype(np.float32)))
+        self.back = np.concatenate((self.back, (node - source).astype(np.uint8)))
         self.piece = np.concatenate((self.piece, piece))
         self.of.update(zip(new, range(len(self.first), len(self.first) + len(new)), strict=True))
         self.first = np.concatenate((self.first, base + begin + np.arange(len(new))))
@@ -220,21 +222,26 @@ def encode_batch(lattices: Lattices, texts: list[str | None], keys: list[str], s
     if not parts:
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
     number, text_of = np.array(lattices.numbers(parts)), np.concatenate(text_of)
-    bound, source, piece, edges_to = lattices.bound, lattices.source, lattices.piece, lattices.edges_to
+    bound, back, piece, edges_to = lattices.bound, lattices.back, lattices.piece, lattices.edges_to
     start, n = lattices.first[number], lattices.size[number]
     # The place of a decision: nodes before this segment in the text, then within the segment.
     before = np.cumsum(n) - n
     before -= before[np.searchsorted(text_of, text_of)]
     seeds = np.array([xxhash.xxh64_intdigest(k.encode(), seed) for k in keys], np.uint64)[text_of]
-    at, left, steps = start + n - 1, np.arange(len(number)), []
-    count = np.zeros(len(number), np.int64)
+    # In the order of segments, neighbours read the same lattice.
+    left = np.argsort(number, kind="stable")
+    at, steps, count = (start + n - 1)[left], [], np.zeros(len(number), np.int64)
     while len(left):
-        draw = uniform(seeds[left], before[left] + at - start[left])
-        edge = np.searchsorted(bound, at + draw, side="right")
-        edge = np.clip(edge, edges_to[at - 1], edges_to[at] - 1)
+        draw = uniform(seeds[left], before[left] + at - start[left]).astype(np.float32)
+        edge = edges_to[at - 1]
+        below = np.flatnonzero((bound[edge] <= draw) & (edge + 1 < edges_to[at]))
+        while len(below):
+            edge[below] += 1
+            e = edge[below]
+            below = below[(bound[e] <= draw[below]) & (e + 1 < edges_to[at[below]])]
         steps.append((left, piece[edge]))
         count[left] += 1
-        at = source[edge].astype(np.int64)
+        at = at - back[edge]
         go = at != start[left]
         left, at = left[go], at[go]
     last = np.cumsum(count) - 1
@@ -251,36 +258,45 @@ def decode_ids(ids: list[int], raw: list[bytes]) -> str:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", model_file: str = MODEL, alpha: float = ALPHA, seed: int = 11) -> DataFrame:
-    """``docs`` with ``out_col``: a sampled segmentation of each whole text as piece ids.
+    """``docs`` with ``out_col``, a sampled segmentation of each whole text as piece ids, and ``lossless``.
 
     Forward filtering sums, for each place of a text, the weights of all segmentations up
     to it; backward sampling draws pieces from the end in proportion. Draws depend on
     seed, id and place alone, so a row gets the same segmentation in any run, batch or
-    partition. The model (a bounded vocabulary) is read on the driver and broadcast;
-    rows are encoded where they lie, without a shuffle.
-
-    Edge cases: null text gives null, empty text an empty array; characters without a
-    piece, SPACE itself and control characters are spelled in bytes; rows that repeat an
-    id and text get the same ids; a null id counts as the empty text; a column that has
-    the name ``out_col`` is replaced; an empty table gives an empty result.
+    partition. ``lossless`` says that decoding the ids gave the text back. The model (a
+    bounded vocabulary) is read on the driver and broadcast; rows are encoded where they
+    lie, without a shuffle.
+
+    Edge cases: null text gives null ids and is lossless, empty text gives no ids;
+    characters without a piece, SPACE itself and control characters are spelled in bytes;
+    rows that repeat an id and text get the same ids; a null id counts as the empty text;
+    columns that have the name of a result are replaced; an empty table gives an empty result.
     """
     require(docs, (id_col, text_col))
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model_file))
-
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    results = {out_col.lower(), "lossless"}
+    others = docs.select(*(c for c in docs.columns if c.lower() not in results))
+    key, text = fresh(others, "piece_key"), fresh(others, "piece_text")
+    given = others.withColumns({key: F.coalesce(F.col(id_col).cast("string"), F.lit("")), text: F.col(text_col).cast("string")})
+    schema = T.StructType([*others.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(shared.value, alpha)
-        for keys, texts in batches:
-            keys, texts = keys.tolist(), texts.tolist()
-            out = []
-            for k in range(0, len(texts), TEXTS):
-                some = texts[k : k + TEXTS]
-                flat, ends = encode_batch(lattices, some, [x or "" for x in keys[k : k + TEXTS]], seed)
-                parts = np.split(flat, ends[:-1])
-                out += [None if t is None else p for t, p in zip(some, parts, strict=True)]
-            yield pd.Series(out, dtype=object)
-
-    return docs.withColumn(out_col, ids(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string")))
+        raw = shared.value.raw
+        for whole in batches:
+            for k in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(k, TEXTS)
+                keys, texts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+                flat, ends = encode_batch(lattices, texts, keys, seed)
+                cuts = np.concatenate(([0], ends))
+                missing = np.array([t is None for t in texts] + [False])
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32), mask=missing), pa.array(flat, pa.int32()))
+                ids = flat.tolist()
+                same = [t is None or decode_ids(ids[a:b], raw) == t for t, a, b in zip(texts, cuts[:-1].tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists, pa.array(same)], names)
+
+    return given.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model_file: str = MODEL) -> DataFrame:
