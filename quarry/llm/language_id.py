@@ -18,6 +18,8 @@ SAMPLE = 4_000
 #: Longest n-gram; least occurrences in the sample for a word and for an n-gram.
 LONGEST, WORD_LEAST, GRAM_LEAST = 5, 3, 5
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Terms of the common distribution that are added to each language's.
+PRIOR = 200.0
 #: Words that a task remembers before it starts anew.
 REMEMBERED = 400_000
 
@@ -75,7 +77,9 @@ class Model:
             np.add.at(table, (number, own["lang"].map(place).to_numpy(int)), own["n"].to_numpy(float))
             total = table.sum(axis=0)
             keep = table.sum(axis=1) >= least
-            logs = np.log((table[keep] + 0.5) / (total + 0.5 * max(1, keep.sum())))
+            # Each language is smoothed towards what all have in common, so one with few texts is not favoured by unseen terms.
+            common = table.sum(axis=1) / max(1.0, total.sum())
+            logs = np.log((table[keep] + PRIOR * common[keep, None] + 1e-3) / (total + PRIOR))
             # Only differences between languages matter; a bound keeps single terms from deciding alone.
             logs = np.clip(logs - logs.mean(axis=1, keepdims=True), -4, 4).astype(np.float32)
             self.tables.append(dict(zip(terms[keep].tolist(), logs, strict=True)))

@@ -14,7 +14,7 @@ from quarry.llm.language_id import held_out_fold as language_fold
 from quarry.llm.language_id import language_id
 from quarry.llm.lm_scoring import held_out_fold, lm_score
 from quarry.llm.mixing import mix
-from quarry.llm.quality_rules import quality_rules
+from quarry.llm.quality_rules import STOP_WORDS, quality_rules
 from quarry.llm.sentencepiece_sampling import encode
 from quarry.llm.simhash import simhash
 from quarry.llm.toxicity import toxicity
@@ -89,4 +89,31 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
-SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+OP9_SQL = (
+    r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), E'\n'), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t)
+), r AS (
+  SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1
+), cov AS (
+  SELECT doc_id, sum(least(5, coalesce(nxt - i, 5)))::BIGINT AS n FROM r GROUP BY ALL
+), m AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(cov.n, 0) AS n_repeat_words,
+    len(list_filter(w, lambda x: lower(x) IN (STOP))) AS stops
+  FROM t LEFT JOIN cov USING (doc_id)
+), f AS (
+  SELECT *, concat_ws(',', CASE WHEN n_words < 10 THEN 'too_short' END, CASE WHEN 100 * n_repeat_words / n_words > 20 THEN 'repeated_words' END,
+    CASE WHEN word_chars / n_words < 1.5 OR word_chars / n_words > 20 THEN 'word_length' END, CASE WHEN n_symbols / n_words > 0.1 THEN 'symbols' END,
+    CASE WHEN stops / n_words < 0.02 THEN 'stop_words' END, CASE WHEN n_dup_lines / n_lines > 0.3 THEN 'repeated_lines' END) AS failed_rules
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, failed_rules = '' AS kept, failed_rules FROM f
+"""
+).replace("STOP", ", ".join(f"'{w}'" for w in STOP_WORDS))
+
+SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op9_quality_rules": OP9_SQL}
