@@ -39,6 +39,12 @@ def mock_embedding(hashed: Column, dim: int = 384) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.sin(hashed.cast("double") + i) * 0.5).cast("float"))
 
 
+def with_mock_embedding(df: DataFrame, text_col: str, dim: int = 384, out_col: str = "embedding") -> DataFrame:
+    """``df`` with the test vector of a text column; the hash is a column of its own, as lambdas hold no Python."""
+    hashed = df.withColumn("text_hash", mock_hash(F.col(text_col)))
+    return hashed.withColumn(out_col, mock_embedding(F.col("text_hash"), dim)).drop("text_hash")
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact cosine top k of every query over all ``vectors`` (chunk_id, embedding).
 

@@ -120,8 +120,8 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     title = F.regexp_extract("content", r"^#{1,6}\s+(.+)", 1)
     short = each.filter(F.length("content") <= SECTION_MOST).withColumn("section", F.nullif(title, F.lit(""))).withColumn("start_pos", F.col("base")).withColumn("sub", F.lit(0))
     long = recursive(each.filter(F.length("content") > SECTION_MOST), SECTION_SIZE, OVERLAP).withColumn("start_pos", F.col("base") + F.col("start_pos")).withColumnRenamed("ordinal", "sub")
-    short = short.withColumn("end_pos", F.col("start_pos") + F.length("content"))
-    both = short.unionByName(long.select(*short.columns))
+    short = short.withColumn("end_pos", F.lit(None).cast("int"))
+    both = short.unionByName(long.select(*short.columns)).withColumn("end_pos", F.col("start_pos") + F.length("content"))
     order = Window.partitionBy("doc_id").orderBy("nth", "sub")
     return both.withColumn("ordinal", F.row_number().over(order) - 1).drop("nth", "sub", "base")
 

@@ -9,7 +9,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.vectors import mock_embedding, mock_hash
+from quarry.functions.vectors import with_mock_embedding
 from quarry.operators import chunking, fusion, recall, store
 from quarry.plans.config import Config
 
@@ -44,7 +44,7 @@ class Engine:
         """Index documents (doc_id, path, content); those that are there already are replaced with all their chunks."""
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "content").withColumn("indexed_at", F.current_timestamp()).withColumn("size", F.length("content"))
         chunks = chunking.index_chunks(docs)
-        chunks = chunks.withColumn("chunk_id", F.xxhash64("doc_id", "ordinal")).withColumn("embedding", mock_embedding(mock_hash(F.col("content")), self.config.get("embedding.dimension")))
+        chunks = with_mock_embedding(chunks.withColumn("chunk_id", F.xxhash64("doc_id", "ordinal")), "content", self.config.get("embedding.dimension"))
         if "documents" in self.tables:
             keep = store.delete(self.table("chunks"), docs, "doc_id")
             self._write("documents", store.upsert(self.table("documents"), docs, "doc_id"))
@@ -59,7 +59,7 @@ class Engine:
         mode, k = mode or self.config.get("retrieval.mode"), k or self.config.get("retrieval.top_k")
         began = time.time()
         chunks = self.table("chunks")
-        vectors = queries.withColumn("embedding", mock_embedding(mock_hash(F.col("query")), self.config.get("embedding.dimension")))
+        vectors = with_mock_embedding(queries, "query", self.config.get("embedding.dimension"))
         vector = lambda: recall.vector_recall(chunks, vectors, k)
         text = lambda: recall.fulltext_topk(chunks, queries, k)
         if mode == "vector":
