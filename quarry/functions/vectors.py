@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -84,3 +84,37 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_sel
     ranked = out.withColumn("score", F.round("score", 9))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def embed(df: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], text_col: str = "content", out_col: str = "embedding", batch: int = 50) -> DataFrame:
+    """``df`` with vectors from a model that ``make`` builds once in each task, and ``embed_error``.
+
+    Texts go to the model in batches; if one fails, its texts go one by one, and those
+    that still fail get a null vector and the error, so that no vector moves to another row.
+    """
+
+    @F.pandas_udf("vector array<float>, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = make()
+
+        def one(text: str) -> tuple[list[float] | None, str | None]:
+            try:
+                return model([text])[0], None
+            except Exception as e:
+                return None, str(e)
+
+        for texts in batches:
+            rows: list[tuple[list[float] | None, str | None]] = []
+            for k in range(0, len(texts), batch):
+                some = [t or "" for t in texts.iloc[k : k + batch]]
+                try:
+                    found = model(some)
+                    if len(found) != len(some):
+                        raise ValueError(f"{len(found)} vectors for {len(some)} texts")
+                    rows += [(v, None) for v in found]
+                except Exception:
+                    rows += [one(t) for t in some]
+            yield pd.DataFrame({"vector": [v for v, _ in rows], "error": [e for _, e in rows]})
+
+    made = df.withColumn("made", run(F.col(text_col)))
+    return made.withColumn(out_col, F.col("made.vector")).withColumn("embed_error", F.col("made.error")).drop("made")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators import splitters
 
 # Default sizes, separators, limits and messages.
 SIZE, OVERLAP, WINDOW_OVERLAP = 500, 50, 100
@@ -126,7 +127,7 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     return both.withColumn("ordinal", F.row_number().over(order) - 1).drop("nth", "sub", "base")
 
 
-STRATEGIES = {"fixed-size": fixed_size, "sliding-window": sliding_window, "recursive": recursive, "markdown-section": markdown_sections}
+STRATEGIES = {"fixed-size": fixed_size, "sliding-window": sliding_window, "recursive": recursive, "markdown-section": markdown_sections, "semantic-boundary": splitters.semantic_boundary, "ast-based": splitters.code_units}
 
 
 def analyze(docs: DataFrame, multiline: bool = False) -> DataFrame:

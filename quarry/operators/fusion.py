@@ -101,3 +101,11 @@ def adaptive_weights(parsed: DataFrame) -> DataFrame:
     }
     total = sum(w.values(), F.lit(0.0))
     return parsed.withColumn("path_weights", F.struct(*(F.round(x / total, 9).alias(k) for k, x in w.items())))
+
+
+def with_freshness(hits: DataFrame, age_days: Column, authority: Column, decay: float = 0.1, weight: float = 0.1) -> DataFrame:
+    """Rerank scores with a share for how recent (exponential decay by age) and how trusted a source is."""
+    fresh = F.exp(-decay * F.greatest(age_days, F.lit(0)))
+    score = (1 - 2 * weight) * F.col("rerank_score") + weight * fresh + weight * authority
+    order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "chunk_id")
+    return hits.withColumn("rerank_score", F.round(score, 9)).withColumn("rank", F.row_number().over(order))

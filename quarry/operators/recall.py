@@ -85,3 +85,23 @@ def hybrid_concat(vector_hits: DataFrame, text_hits: DataFrame, k: int = 10) ->
     both = vector_hits.withColumn("o", F.lit(0)).unionByName(rest.withColumn("o", F.lit(1)))
     order = Window.partitionBy("query_id").orderBy("o", "rank")
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("o")
+
+
+def tiered(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, vector_queries: DataFrame, path_order: Column, fast: int = 200, coarse: int = 100, merged: int = 200) -> DataFrame:
+    """Candidates in tiers: BM25 over chunks, cosine over vectors, merged for a reranker that reads the first of them."""
+    hits = bm25_topk(chunks, queries, fast).unionByName(vector_recall(vectors, vector_queries, coarse))
+    return merge_recalls(hits, path_order, merged)
+
+
+def above(hits: DataFrame, least: dict[str, float]) -> DataFrame:
+    """Hits that reach the least score of their path; paths without one keep all."""
+    keep = F.lit(True)
+    for path, score in least.items():
+        keep = keep & ((F.col("path") != path) | (F.col("score") >= score))
+    return hits.filter(keep)
+
+
+def in_all(hits: DataFrame, n_conditions: int) -> DataFrame:
+    """Chunks that every condition of a query found (column ``condition``), with their mean score."""
+    met = hits.groupBy("query_id", "chunk_id").agg(F.countDistinct("condition").alias("n"), F.avg("score").alias("score"))
+    return met.filter(F.col("n") == n_conditions).drop("n")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import chosen
 from quarry.functions.vectors import mock_embedding, mock_hash
-from quarry.operators import chunking, evaluation, fusion, query, recall, store
+from quarry.operators import chunking, evaluation, fusion, query, recall, splitters, store
 from quarry.sources.files import corpus
 
 
@@ -92,6 +92,18 @@ def chunk_recursive(spark, d):
     return chunking.recursive(corpus(spark, d)).select(*CHUNK)
 
 
+def chunk_semantic(spark, d):
+    return splitters.semantic_boundary(corpus(spark, d)).select(*CHUNK)
+
+
+def chunk_code(spark, d):
+    return splitters.code_units(corpus(spark, d).filter(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*chunking.CODE_EXTENSIONS))).select(*CHUNK)
+
+
+def chunk_granularities(spark, d):
+    return splitters.multi_granularity(corpus(spark, d)).select("doc_id", "granularity", "parent", "ordinal", "start_pos", "end_pos", "content")
+
+
 def doc_analysis(spark, d):
     a = chunking.analyze(corpus(spark, d))
     return a.select("doc_id", "doc_type", "language", "structure.*", F.col("density.level").alias("density_level"), *(F.round(f"density.{c}", 6).alias(c) for c in ("avg_sentence_length", "avg_paragraph_length", "technical_term_ratio")), "strategy")
@@ -146,6 +158,12 @@ def code_topk(spark, d):
     return recall.code_recall(vectors(spark, d), kinds, vector_queries(spark, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def tiered(spark, d):
+    asked = text_queries(spark, d).withColumn("query_id", F.col("query_id") * 50)
+    out = recall.tiered(whole_documents(spark, d), vectors(spark, d), asked, vector_queries(spark, d), fusion.path_rank(("bm25", "vector")))
+    return out.filter("rank <= 20").select("query_id", "chunk_id", "path", F.round("score", 6).alias("score"), "rank")
+
+
 def semantic_cache(spark, d):
     """Whether an earlier query is near enough to answer: the nearest other query, at a cosine of .95 or more."""
     q = vector_queries(spark, d)
@@ -330,7 +348,7 @@ def regression_report(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        hybrid_rrf, chunk_fixed, chunk_sliding, chunk_http, chunk_markdown, chunk_recursive, doc_analysis, chunk_enhance, chunk_overlap_fixed,
+        hybrid_rrf, chunk_fixed, chunk_sliding, chunk_http, chunk_markdown, chunk_recursive, chunk_semantic, chunk_code, chunk_granularities, doc_analysis, tiered, chunk_enhance, chunk_overlap_fixed,
         chunk_overlap_adaptive, chunk_validate, chunk_repair, chunk_stats, index_pipeline, mock_embed, vector_topk, code_topk, semantic_cache,
         fulltext_topk, bm25_topk, recall_merge, hybrid_concat, fuse_weighted, fuse_max, fuse_weighted_rrf, rrf_rerank, rule_rerank,
         result_filter, query_parse, query_route, query_decompose, query_expand, path_weights, eval_metrics, store_upsert, store_delete,

@@ -267,3 +267,9 @@ SQL["query_decompose"] = f"WITH {PARSED}" + r""", e AS (
   FROM e
 ), u AS (SELECT query_id, len(list_filter(subs, lambda x: x.d <> '')) > 0 AS dep, unnest(subs) AS x, unnest(range(len(subs))) AS nth FROM s)
 SELECT query_id, CASE WHEN dep THEN 'sequential' ELSE 'parallel' END AS fusion, nth, x.q AS sub_query, x.t AS type, x.d AS depends_on, round(x.w, 6) AS weight FROM u"""
+
+SQL["tiered"] = f"WITH {VECTOR}, {BM25}" + """, fast AS (SELECT query_id * 50 AS query_id, chunk_id, score, rank, 'bm25' AS path, 0 AS p FROM bm WHERE rank <= 200),
+wide AS (SELECT query_id, chunk_id, score, rank, 'vector' AS path, 1 AS p FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sims) WHERE rank <= 100),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY p, rank) AS nth FROM (FROM fast UNION ALL FROM wide)) WHERE nth = 1),
+m AS (SELECT query_id, chunk_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p, rank) AS r FROM once)
+SELECT query_id, chunk_id, path, round(score, 6) AS score, r AS rank FROM m WHERE r <= 20"""

@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.functions.vectors import text_hash, vector_topk, with_mock_embedding
-from quarry.operators import chunking, evaluation, fusion, query, recall, store
+from quarry.functions.vectors import embed, text_hash, vector_topk, with_mock_embedding
+from quarry.operators import chunking, evaluation, fusion, query, recall, splitters, store
 from quarry.plans.config import Config
 from quarry.plans.engine import Engine
 from quarry.plans.plugins import Plugin, Registry
@@ -265,3 +265,50 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("A b. C d!\n\nE",)], "t string")
     r = df.select(X.sentences(F.col("t")), X.paragraphs(F.col("t")), X.word_density(F.col("t"))).first()
     assert r[0] == ["A b.", "C d!", "E"] and len(r[1]) == 2 and r[2] == "low"
+
+
+PROSE = "# One\n" + "The cat sat there. The cat sat here. " * 12 + "\n\n" + "Ships sail far away over seas. " * 40 + "end"
+
+
+def test_semantic_parts():
+    parts = splitters.semantic_parts(PROSE)
+    assert "".join(t for _, t in parts) == PROSE
+    assert all(PROSE[s : s + len(t)] == t and len(t) <= 1000 for s, t in parts)
+    assert any(t.startswith("Ships") for _, t in parts)
+    assert splitters.semantic_parts("") == [] and splitters.semantic_parts("short") == [(0, "short")]
+    code = "import x\n\ndef f():\n    return 1\n\nclass A:\n    def g(self):\n        pass\n"
+    units = splitters.code_parts(code)
+    assert [t.split("\n")[0] for _, t in units] == ["import x", "def f():", "class A:"] and "".join(t for _, t in units) == code
+
+
+def test_granularities(spark):
+    d = docs(spark, ("/a", PROSE * 3), ("/b", ""))
+    rows = splitters.multi_granularity(d).orderBy("granularity", "ordinal").collect()
+    by = {g: [r for r in rows if r["granularity"] == g] for g in ("coarse", "medium", "fine")}
+    for own in by.values():
+        assert [r["ordinal"] for r in own] == list(range(len(own))) and "".join(r["content"] for r in own) == PROSE * 3
+    for child, parent in (("medium", "coarse"), ("fine", "medium")):
+        for r in by[child]:
+            p = by[parent][r["parent"]]
+            assert p["start_pos"] <= r["start_pos"] and r["end_pos"] <= p["end_pos"]
+
+
+def test_embedder_keeps_rows_apart(spark):
+    def make():
+        def model(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no")
+            return [[float(len(t))] for t in texts]
+
+        return model
+
+    rows = embed(docs(spark, ("/a", "abc"), ("/b", "bad"), ("/c", "abcde")), make).orderBy("doc_id").collect()
+    assert [(r["embedding"], r["embed_error"]) for r in rows] == [([3.0], None), (None, "no"), ([5.0], None)]
+
+
+def test_thresholds_and_conditions(spark):
+    assert recall.above(hits(spark), {"vector": 0.85}).count() == 3
+    c = spark.createDataFrame([(1, 1, "a", 0.4), (1, 1, "b", 0.6), (1, 2, "a", 0.9)], "query_id long, chunk_id long, condition string, score double")
+    assert [tuple(r) for r in recall.in_all(c, 2).collect()] == [(1, 1, 0.5)]
+    h = spark.createDataFrame([(1, 1, 0.5, 100), (1, 2, 0.5, 0)], "query_id long, chunk_id long, rerank_score double, age int")
+    assert fusion.with_freshness(h, F.col("age"), F.lit(0.5)).filter("rank = 1").first()["chunk_id"] == 2
