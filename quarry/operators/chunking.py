@@ -7,6 +7,7 @@ and explode it, so a document never leaves its row before it is cut.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -127,7 +128,26 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     return both.withColumn("ordinal", F.row_number().over(order) - 1).drop("nth", "sub", "base")
 
 
-STRATEGIES = {"fixed-size": fixed_size, "sliding-window": sliding_window, "recursive": recursive, "markdown-section": markdown_sections, "semantic-boundary": splitters.semantic_boundary, "ast-based": splitters.code_units}
+def markdown_parts(content: str) -> list[tuple[int, str, str | None]]:
+    """``markdown_sections`` for one text: start, text and title of each chunk."""
+    cuts = sorted({0, *(m.start() for m in HEADING.finditer(content)), len(content)})
+    out: list[tuple[int, str, str | None]] = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = content[a:b]
+        if not part.strip():
+            continue
+        if len(part) > SECTION_MOST:
+            out += [(a + s, t, None) for s, t in split_recursively(part, SECTION_SIZE, OVERLAP)]
+        else:
+            title = TITLE.match(part)
+            out.append((a, part, title[1] if title else None))
+    return out
+
+
+HEADING, TITLE = re.compile(r"^#{1,6}\s+.+$", re.M), re.compile(r"#{1,6}\s+(.+)")
+untitled = lambda split: lambda t: [(s, c, None) for s, c in split(t)]
+#: Splitters with state; sliding windows are cut by expressions.
+STRATEGIES = {"recursive": untitled(split_recursively), "markdown-section": markdown_parts, "semantic-boundary": untitled(splitters.semantic_parts), "ast-based": untitled(splitters.code_parts)}
 
 
 def analyze(docs: DataFrame, multiline: bool = False) -> DataFrame:
@@ -138,14 +158,26 @@ def analyze(docs: DataFrame, multiline: bool = False) -> DataFrame:
     return out.withColumn("strategy", X.strategy(F.col("doc_type"), F.col("structure"), F.col("density")))
 
 
+PARTS = "array<struct<start_pos: int, content: string, section: string>>"
+
+
 def by_strategy(docs: DataFrame) -> DataFrame:
-    """Cut each document by its ``strategy``; those without a splitter of their own go to the recursive one."""
-    out = None
-    rest = ~F.col("strategy").isin(*STRATEGIES) | (F.col("strategy") == "recursive")
-    for name, split in STRATEGIES.items():
-        part = split(docs.filter(rest if name == "recursive" else F.col("strategy") == name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Cut each document by its ``strategy``, all in one pass; a name that is not known is recursive."""
+
+    @F.pandas_udf(PARTS)
+    def parts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, names in batches:
+            cut_up = [[] if t is None else STRATEGIES.get(n, STRATEGIES["recursive"])(t) for t, n in zip(texts, names, strict=True)]
+            yield pd.Series([[{"start_pos": s, "content": c, "section": h} for s, c, h in rows] for rows in cut_up])
+
+    sliding = F.col("strategy") == "sliding-window"
+    starts = F.when(sliding & (F.length("content") > 0), F.sequence(F.lit(0), F.length("content") - 1, F.lit(SIZE - WINDOW_OVERLAP)))
+    windows = F.transform(starts, lambda at, i: F.struct(at.alias("start_pos"), F.substring(F.col("content"), at + 1, F.lit(SIZE)).alias("content"), F.concat(F.lit("window-"), i.cast("string")).alias("section")))
+    # Texts that expressions cut are not sent to Python.
+    out = docs.withColumn("cut", parts(F.when(~sliding, F.col("content")), F.col("strategy")))
+    out = out.withColumn("cut", F.when(sliding, windows.cast(PARTS)).otherwise(F.col("cut")))
+    out = out.select("*", F.posexplode("cut").alias("ordinal", "p")).withColumns({"content": F.col("p.content"), "start_pos": F.col("p.start_pos"), "section": F.col("p.section")})
+    return out.withColumn("end_pos", F.col("start_pos") + F.length("content")).drop("cut", "p")
 
 
 def neighbours():
