@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from quarry.llm.common import remainder, require
 
 #: Documents of each language that are learnt from, at most.
-SAMPLE = 4_000
+SAMPLE, SALTS = 2_000, 32
 #: Longest n-gram; least occurrences in the sample for a word and for an n-gram.
 LONGEST, WORD_LEAST, GRAM_LEAST = 5, 3, 5
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Terms of the common distribution that are added to each language's.
 PRIOR = 200.0
 #: Words that a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def words_in(text: str | None) -> list[str]:
@@ -56,7 +56,7 @@ def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = words_in(text if isinstance(text, str) else None)
             held.setdefault(lang, Counter()).update(words)
             size += len(words)
-            if size > 1_000_000:
+            if size > 250_000:
                 yield flush()
                 held, size = {}, 0
     if held:
@@ -69,7 +69,8 @@ class Model:
     def __init__(self, counts: pd.DataFrame):
         self.languages = sorted(counts["lang"].unique())
         place = {x: k for k, x in enumerate(self.languages)}
-        self.tables: list[dict[str, np.ndarray]] = []
+        self.rows: list[dict[str, int]] = []
+        self.logs: list[np.ndarray] = []
         for kind, least in ((0, WORD_LEAST), (1, GRAM_LEAST)):
             own = counts[counts["kind"] == kind]
             terms, number = np.unique(own["term"].to_numpy(object), return_inverse=True) if len(own) else (np.zeros(0, object), np.zeros(0, int))
@@ -81,20 +82,33 @@ class Model:
             common = table.sum(axis=1) / max(1.0, total.sum())
             logs = np.log((table[keep] + PRIOR * common[keep, None] + 1e-3) / (total + PRIOR))
             # Only differences between languages matter; a bound keeps single terms from deciding alone.
-            logs = np.clip(logs - logs.mean(axis=1, keepdims=True), -4, 4).astype(np.float32)
-            self.tables.append(dict(zip(terms[keep].tolist(), logs, strict=True)))
-
-    def vector(self, word: str) -> np.ndarray:
-        words, grams = self.tables
-        if (known := words.get(word)) is not None:
-            return known
-        b, total, n = f"^{word}$", np.zeros(len(self.languages), np.float32), 0
-        for at in range(len(b)):
-            for g in grams_at(b, at):
-                if (v := grams.get(g)) is not None:
-                    total, n = total + v, n + 1
-                    break
-        return total / max(n, 1)
+            logs = np.clip(logs - logs.sum(axis=1, keepdims=True) / max(1, len(self.languages)), -4, 4).astype(np.float32)
+            self.rows.append({t: k for k, t in enumerate(terms[keep].tolist())})
+            self.logs.append(logs)
+
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its own if it is known, else the mean of the longest known n-gram at each place."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        known, get = self.rows[0].get, self.rows[1].get
+        found, who, sizes = [], [], []
+        for k, word in enumerate(words):
+            row = known(word)
+            if row is not None:
+                out[k] = self.logs[0][row]
+                continue
+            b, before = f"^{word}$", len(found)
+            for at in range(len(b)):
+                for end in range(min(at + LONGEST, len(b)), at, -1):
+                    if (row := get(b[at:end])) is not None:
+                        found.append(row)
+                        break
+            if len(found) > before:
+                who.append(k)
+                sizes.append(len(found) - before)
+        if who:
+            n = np.array(sizes)
+            out[who] = np.add.reduceat(self.logs[1][found], np.cumsum(n) - n, axis=0) / n[:, None]
+        return out
 
 
 class Scorer:
@@ -104,7 +118,6 @@ class Scorer:
 
     def clear(self) -> None:
         self.of: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
         self.letters: list[bool] = []
         self.table = np.zeros((0, len(self.model.languages)), np.float32)
 
@@ -112,14 +125,11 @@ class Scorer:
         if len(self.of) > REMEMBERED:
             self.clear()
         split = [words_in(t) for t in texts]
-        for words in split:
-            for w in words:
-                if w not in self.of:
-                    self.of[w] = len(self.rows)
-                    self.rows.append(self.model.vector(w))
-                    self.letters.append(any(map(str.isalpha, w)))
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate((self.table, np.array(self.rows[len(self.table) :])))
+        new = list(dict.fromkeys(w for words in split for w in words if w not in self.of))
+        if new:
+            self.of.update(zip(new, range(len(self.of), len(self.of) + len(new)), strict=True))
+            self.letters += [any(map(str.isalpha, w)) for w in new]
+            self.table = np.concatenate((self.table, self.model.vectors(new)))
         letters = np.array(self.letters, bool)
         names, scores = [], []
         get = self.of.__getitem__
@@ -138,10 +148,11 @@ class Scorer:
 
 
 def learnt(docs: DataFrame, trainable: Column, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` documents of each language, in the order of a hash of the id."""
+    """A model from at most ``sample`` documents of each language, the first of each share in the order of a hash of the id."""
     usable = docs.filter(trainable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = usable.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= sample).select("id").distinct()
+    # Each language is dealt to SALTS shares, so that a frequent one is not ranked in one task.
+    first = Window.partitionBy("lang", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SALTS))).orderBy(F.xxhash64("id"), "id")
+    ids = usable.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= max(1, sample // SALTS)).select("id").distinct()
     texts = docs.filter(trainable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     counted = texts.join(F.broadcast(ids), "id").select("lang", "text").mapInPandas(count, "lang string, kind int, term string, n long")
     total = counted.groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
@@ -172,7 +183,7 @@ def language_id(docs: DataFrame, held_out: Column | None = None, id_col: str = "
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            parts = [scorer.score(texts.iloc[k : k + 500].tolist()) for k in range(0, len(texts), 500)]
+            parts = [scorer.score(texts.iloc[k : k + 200].tolist()) for k in range(0, len(texts), 200)]
             yield pd.DataFrame({"lang": [x for a, _ in parts for x in a], "score": [x for _, b in parts for x in b]})
 
     out = docs.select(F.col(id_col), held.alias("held_out"), predicted(F.col(text_col).cast("string")).alias("p"))

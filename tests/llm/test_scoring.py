@@ -180,15 +180,15 @@ def language_rows(n=240):
     rows = []
     for k in range(n):
         lang = list(TEXTS)[k % 3]
-        rows.append((k, " ".join(rng.permutation(TEXTS[lang].split())[: int(rng.integers(4, 9))]), lang, "a"))
+        rows.append((1000 + k, " ".join(rng.permutation(TEXTS[lang].split())[: int(rng.integers(4, 9))]), lang, "a"))
     return rows
 
 
 def test_language_id(make, edges, nothing):
     fold = language_id.held_out_fold(F.col("doc_id"))
     df = make(language_rows()).unionByName(edges)
-    out = language_id.language_id(df, fold).join(df.select("doc_id", "text", "lang").distinct(), "doc_id").collect()
-    held = [r for r in out if r["held_out"] and r["doc_id"] > 20]
+    out = language_id.language_id(df, fold).join(df.filter("doc_id IS NOT NULL").select("doc_id", "text", "lang").distinct(), "doc_id").collect()
+    held = [r for r in out if r["held_out"] and r["doc_id"] >= 1000]
     assert held and sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.95
     # Words never seen are told by their letters.
     model = language_id.Model(next(language_id.count(iter([df.select("lang", "text").filter("lang IS NOT NULL").toPandas()]))))
