@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import time
 import uuid
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +32,7 @@ class Engine:
         self.tables: dict[str, str] = {}
 
     def _write(self, name: str, df: DataFrame) -> None:
-        path = str(PurePosixPath(self.root) / name / uuid.uuid4().hex) if "://" not in self.root else f"{self.root}/{name}/{uuid.uuid4().hex}"
+        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         self.tables[name] = path
 
