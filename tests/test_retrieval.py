@@ -114,7 +114,7 @@ def asked(spark, *texts):
 
 
 def test_query_understanding(spark):
-    q = asked(spark, "什么是RAG?", "如何实现RAG系统?", "比较向量检索和全文检索的区别", "function hello() 的作用是什么?", "打开文件然后查找内容", "", "如何实现{A}首先安装然后配置如果失败或者出错因此重试")
+    q = asked(spark, "什么是ANN?", "如何实现ANN系统?", "比较向量检索和全文检索的区别", "function hello() 的作用是什么?", "打开文件然后查找内容", "", "如何实现{A}首先安装然后配置如果失败或者出错因此重试")
     p = query.parse(q)
     r = {x["query_id"]: x for x in p.collect()}
     assert [r[k]["intent"] for k in range(6)] == ["definition", "how-to", "comparison", "general", "multi-hop", "general"]
@@ -157,7 +157,7 @@ def test_merge_and_fusion(spark):
 
 
 def test_rule_rerank_and_filters(spark):
-    rows = [(1, 1, 1, 0.5, "d1", "RAG implementation in RAG (c++) style", "/a.md", ["RAG", "implementation"]), (1, 2, 2, 0.9, "d2", "nothing", "/b.json", ["RAG", "implementation"]), (1, 3, 3, 0.1, "d2", "nothing", "/b.txt", ["RAG", "c++"])]
+    rows = [(1, 1, 1, 0.5, "d1", "ANN implementation in ANN (c++) style", "/a.md", ["ANN", "implementation"]), (1, 2, 2, 0.9, "d2", "nothing", "/b.json", ["ANN", "implementation"]), (1, 3, 3, 0.1, "d2", "nothing", "/b.txt", ["ANN", "c++"])]
     h = spark.createDataFrame(rows, "query_id long, chunk_id long, rank int, score double, doc_id string, content string, source string, keywords array<string>")
     r = fusion.rule_rerank(h).orderBy("rank").collect()
     assert r[0]["chunk_id"] == 1 and r[0]["exact"] == 1.0 and r[0]["density"] == 1.0
