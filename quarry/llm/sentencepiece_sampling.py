@@ -22,7 +22,7 @@ SPACE = "▁"
 #: Sharpness of the sampling: 0 draws all segmentations alike, large values draw the likeliest.
 ALPHA = 0.5
 #: Texts encoded at a time, and lattice nodes that a task remembers before it starts anew.
-TEXTS, NODES = 400, 2_500_000
+TEXTS, NODES = 128, 1_000_000
 PRIME = np.uint64(0x100000001B3)
 
 
@@ -276,8 +276,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model_file))
     results = {out_col.lower(), "lossless"}
     others = docs.select(*(c for c in docs.columns if c.lower() not in results))
-    key, text = fresh(others, "piece_key"), fresh(others, "piece_text")
-    given = others.withColumns({key: F.coalesce(F.col(id_col).cast("string"), F.lit("")), text: F.col(text_col).cast("string")})
+    own = [c.lower() for c in others.columns]
+    # The text travels once: from its own column where that is a string.
+    place = own.index(text_col.lower()) if text_col.lower() in own and isinstance(others.schema[own.index(text_col.lower())].dataType, T.StringType) else -1
+    given = docs.select(*others.columns, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias(fresh(docs, "piece_key")), *([F.col(text_col).cast("string").alias(fresh(docs, "piece_text"))] if place < 0 else []))
+    n_own = len(own)
     schema = T.StructType([*others.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
     names = schema.names
 
@@ -287,14 +290,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_
         for whole in batches:
             for k in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(k, TEXTS)
-                keys, texts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+                keys, texts = batch.column(n_own).to_pylist(), batch.column(place).to_pylist()
                 flat, ends = encode_batch(lattices, texts, keys, seed)
                 cuts = np.concatenate(([0], ends))
                 missing = np.array([t is None for t in texts] + [False])
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32), mask=missing), pa.array(flat, pa.int32()))
                 ids = flat.tolist()
                 same = [t is None or decode_ids(ids[a:b], raw) == t for t, a, b in zip(texts, cuts[:-1].tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists, pa.array(same)], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n_own], lists, pa.array(same)], names)
 
     return given.mapInArrow(run, schema)
 
