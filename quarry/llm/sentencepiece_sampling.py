@@ -22,7 +22,7 @@ SPACE = "▁"
 #: Sharpness of the sampling: 0 draws all segmentations alike, large values draw the likeliest.
 ALPHA = 0.5
 #: Texts encoded at a time, and lattice nodes that a task remembers before it starts anew.
-TEXTS, NODES = 128, 1_000_000
+TEXTS, NODES = 256, 2_500_000
 PRIME = np.uint64(0x100000001B3)
 
 
