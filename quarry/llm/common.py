@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,12 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def spread(spark: SparkSession, value):
+    """Broadcast an object of this package by value: executors need no copy of the package to read it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared):
+    return pickle.loads(shared.value)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import remainder, require
+from quarry.llm.common import received, remainder, require, spread
 
 #: Documents of each language that are learnt from, at most.
 SAMPLE, SALTS = 2_000, 32
@@ -177,11 +177,11 @@ def language_id(docs: DataFrame, held_out: Column | None = None, id_col: str = "
     """
     require(docs, (id_col, text_col, lang_col))
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    shared = docs.sparkSession.sparkContext.broadcast(learnt(docs, ~held, id_col, text_col, lang_col, sample))
+    shared = spread(docs.sparkSession, learnt(docs, ~held, id_col, text_col, lang_col, sample))
 
     @F.pandas_udf("lang string, score double")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(received(shared))
         for texts in batches:
             parts = [scorer.score(texts.iloc[k : k + 200].tolist()) for k in range(0, len(texts), 200)]
             yield pd.DataFrame({"lang": [x for a, _ in parts for x in a], "score": [x for _, b in parts for x in b]})

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import fresh, require
+from quarry.llm.common import fresh, received, require, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The character that stands for a space in pieces.
@@ -273,7 +273,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_
     columns that have the name of a result are replaced; an empty table gives an empty result.
     """
     require(docs, (id_col, text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model_file))
+    shared = spread(docs.sparkSession, Pieces.load(model_file))
     results = {out_col.lower(), "lossless"}
     others = docs.select(*(c for c in docs.columns if c.lower() not in results))
     own = [c.lower() for c in others.columns]
@@ -285,8 +285,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(shared.value, alpha)
-        raw = shared.value.raw
+        pieces = received(shared)
+        lattices, raw = Lattices(pieces, alpha), pieces.raw
         for whole in batches:
             for k in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(k, TEXTS)
@@ -305,11 +305,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_
 def decode(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model_file: str = MODEL) -> DataFrame:
     """``docs`` with ``out_col``: the text of each row's ids; null stays null."""
     require(docs, (ids_col,))
-    shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model_file).raw)
+    shared = spread(docs.sparkSession, Pieces.load(model_file).raw)
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        raw = shared.value
+        raw = received(shared)
         for ids in batches:
             yield pd.Series([None if x is None else decode_ids(x.tolist(), raw) for x in ids], dtype=object)
 
