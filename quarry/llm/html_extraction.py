@@ -121,7 +121,7 @@ def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [blocks(h if isinstance(h, str) else None) for h in batch["html"]]
         shaped = [[{"path": p, "part": k, "text": t} for p, k, t in page] for page in found]
-        # A page that names its main part is that part alone.
+        # Where the tree tells nothing of a block, a page that names its main part is that part alone.
         yield batch.drop(columns="html").assign(blocks=shaped, has_main=[any(k == MAIN for _, k, _ in page) for page in found])
 
 
@@ -131,12 +131,16 @@ def style_tree(pages: DataFrame) -> DataFrame:
     A path of signatures is a node. Its content importance is the entropy of the texts it
     holds over the pages, its presentation importance that of the number of blocks it
     has on a page; both in units of their largest value, so a branch that is the same
-    on every page has importance 0. Texts are counted by hash before pages are, so a
+    on every page has importance 0. Copies of a page are one page: that a page was fetched
+    again does not make it boilerplate. Texts are counted by hash before pages are, so a
     host's rows meet as counts only.
     """
-    node = pages.select("host", "row", F.explode("blocks").alias("b")).select("host", "row", "b.path", F.xxhash64("b.text").alias("h"))
+    page = F.xxhash64(F.col("blocks.path"), F.col("blocks.text"))
+    slim = F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("h")))
+    once = pages.select("host", page.alias("page"), slim.alias("blocks")).dropDuplicates(["host", "page"])
+    node = once.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.path", "b.h")
     texts = node.groupBy("host", "path", "h").agg(F.count("*").alias("n"))
-    shapes = node.groupBy("host", "path", "row").agg(F.count("*").alias("k")).groupBy("host", "path", "k").agg(F.count("*").alias("n"))
+    shapes = node.groupBy("host", "path", "page").agg(F.count("*").alias("k")).groupBy("host", "path", "k").agg(F.count("*").alias("n"))
 
     def entropy(counts: DataFrame, name: str) -> DataFrame:
         total, logs = F.sum("n"), F.sum(F.col("n") * F.ln("n"))
@@ -153,10 +157,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Pages are parsed once, where they lie, into blocks with the path of elements that
     leads to them. The trees of a host are merged by counting; blocks of scripts, menus,
     headers, footers, sidebars, notices, adverts, forms and comments, told by element and
-    by class, id or role, have importance 0. Where a page marks an article or main part,
-    that part is kept; elsewhere branches whose importance is under ``LEAST`` on hosts
-    with ``ENOUGH`` pages are removed. Text: references decoded, white space one space,
-    blocks joined by a line feed.
+    by class, id or role, have importance 0. The others stay where their branch has an
+    importance of ``LEAST`` or more, on marked pages as on others. Of a branch on fewer
+    than ``ENOUGH`` different pages of the host the tree tells nothing: it stays, but
+    beside a part marked as article or main. Text: references decoded, white space one
+    space, blocks joined by a line feed.
 
     Edge cases: null and empty html give an empty text; unclosed and crossed tags are
     closed where HTML implies it; a null url is a host of its own; repeated rows give
@@ -169,12 +174,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url_type = pages.schema[url_col].dataType.simpleString()
     shape = f"id {id_type}, url {url_type}, host string, row long, blocks array<struct<path: string, part: int, text: string>>, has_main boolean"
     trees = saved(slim.mapInPandas(parsed, shape))
-    low = style_tree(trees).filter((F.col("pages") >= ENOUGH) & (F.col("importance") < LEAST))
-    # Only pages without a marked main part need their host's tree: one row for each host, of its unimportant paths.
-    low = saved(low.groupBy("host").agg(F.collect_set("path").alias("low")))
-    marked = trees.filter("has_main").withColumn("low", F.lit(None).cast("array<string>"))
-    unmarked = trees.filter("NOT has_main").join(low, "host", "left")
-    both = marked.unionByName(unmarked.select(*marked.columns))
-    keep = F.filter("blocks", lambda b: F.when(F.col("has_main"), b["part"] == MAIN).otherwise((b["part"] != NOISE) & ~F.coalesce(F.array_contains("low", b["path"]), F.lit(False))))
+    told = style_tree(trees).filter(F.col("pages") >= ENOUGH)
+    # One row for each host: its unimportant paths, and the important ones that marked pages have beside their main part.
+    beside = trees.filter("has_main").select("host", F.explode("blocks").alias("b")).filter(F.col("b.part") == PLAIN).select("host", "b.path").distinct().withColumn("beside", F.lit(True))
+    told = told.join(beside, ["host", "path"], "left")
+    is_low = F.col("importance") < LEAST
+    told = saved(told.groupBy("host").agg(F.collect_set(F.when(is_low, F.col("path"))).alias("low"), F.collect_set(F.when(~is_low & F.col("beside"), F.col("path"))).alias("high")))
+    both = trees.join(told, "host", "left")
+    within = lambda name, b: F.coalesce(F.array_contains(name, b["path"]), F.lit(False))
+    keep = F.filter("blocks", lambda b: (b["part"] != NOISE) & ~within("low", b) & (~F.col("has_main") | (b["part"] == MAIN) | within("high", b)))
     text = F.array_join(F.transform(keep, lambda b: b["text"]), "\n")
     return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

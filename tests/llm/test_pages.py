@@ -34,6 +34,17 @@ def test_extract(spark):
     assert extract(df).count() == len(rows) and extract(df.limit(0)).count() == 0
 
 
+def test_tree_decides_on_marked_pages(spark):
+    boxed = lambda k: f"<body><article><h1>title {k}</h1><p>own text {k}</p><div class='box'><p>same on each page</p></div></article></body>"
+    teased = lambda k: f"<body><article><p>teaser</p></article><div class='content'><p>body {k}</p></div><div class='box'><p>same on each page</p></div></body>"
+    copied = "<body><article><p>fetched again</p></article><p>beside</p></body>"
+    rows = [(k, "http://a.example/", boxed(k)) for k in range(6)] + [(10 + k, "http://b.example/", teased(k)) for k in range(6)] + [(20 + k, "http://c.example/", copied) for k in range(6)]
+    out = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[k] for k in range(6)] == [f"title {k}\nown text {k}" for k in range(6)]
+    assert [out[10 + k] for k in range(6)] == [f"body {k}" for k in range(6)]
+    assert {out[20 + k] for k in range(6)} == {"fetched again"}
+
+
 def slow_rule(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
