@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import fresh, require, saved, words_of
@@ -210,6 +210,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def grouped(marked: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
+    """(fp, root, component_id) for each fingerprint of ``marked`` (id, fp): the smallest fingerprint and the smallest id of its component."""
+    fps = saved(marked.groupBy("fp").agg(F.min("id").alias("id")))
+    comp = saved(components(links(fps.select("fp"), max_bits, leaf)))
+    linked = saved(comp.join(fps, comp["node"] == fps["fp"]).select("fp", "root", "id"))
+    least = linked.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = linked.join(least, "root").select("fp", "root", "component_id")
+    return saved(fps.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "id").alias("component_id")))
+
+
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id.
 
@@ -224,24 +234,27 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """
     require(docs, (id_col, text_col))
     marked = saved(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), width).alias("fp")))
-    fps = saved(marked.groupBy("fp").agg(F.min("id").alias("id")))
-    comp = saved(components(links(fps.select("fp"), max_bits, leaf)))
-    linked = saved(comp.join(fps, comp["node"] == fps["fp"]).select("fp", "root", "id"))
-    least = linked.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    named = saved(fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")))
+    named = grouped(marked, max_bits, leaf).select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(named, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the smallest id; all columns stay."""
-    found = saved(simhash(docs, id_col, text_col, **params))
-    key, copy = fresh(docs, "near_key"), fresh(docs, "near_copy")
-    stays = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    per_id = saved(stays.groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(copy)))
-    rest = docs.join(per_id.select(key), F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
-    if per_id.filter(F.col(copy) > 1).isEmpty():
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, the one with the smallest id; all columns stay.
+
+    Rows are told apart by id and digest of the text, groups by their root: so a null or
+    repeated id costs no document, and a document without an id stays where its group has no other.
+    """
+    require(docs, (id_col, text_col))
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    marked = saved(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), fingerprints(F.col(text_col), width).alias("fp")))
+    named = grouped(marked, max_bits, leaf)
+    each = marked.groupBy("fp", "id", "digest").agg(F.count("*").alias("n"))
+    first = each.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "digest", "n")).alias("x"))
+    stays = named.join(first, "fp").groupBy("root").agg(F.min("x").alias("x"))
+    key, text_key = fresh(docs, "near_key"), fresh(docs, "near_digest")
+    stays = saved(stays.select(F.col("x.id").alias(key), F.col("x.digest").alias(text_key), "x.n"))
+    rest = docs.join(stays.select(key, text_key), F.col(id_col).eqNullSafe(F.col(key)) & (digest == F.col(text_key)), "left_semi")
+    if stays.filter("n > 1").isEmpty():
         return rest
-    once = Window.partitionBy(id_col).orderBy(F.lit(1))
-    return rest.withColumn(copy, F.row_number().over(once)).filter(F.col(copy) == 1).select(*docs.columns)
+    return rest.withColumn(text_key, digest).dropDuplicates([id_col, text_key]).select(*docs.columns)

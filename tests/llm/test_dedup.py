@@ -131,6 +131,18 @@ def test_simhash_edges(edges, nothing):
     assert kept.count() == len({r["component_id"] for r in out})
 
 
+def test_drop_near_copies_keeps_one_of_each_group_whatever_the_ids(make):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(90)) for _ in range(60)) for _ in range(10)]
+    # Null ids, one id for two texts, copies with and without an id, and a row that is there twice.
+    ids = [None, None, None, 1, 1, 2, 3, None, 5, 5]
+    rows = [(i, t, "en", "a") for i, t in zip(ids, texts, strict=True)]
+    rows += [(None, texts[5], "en", "a"), (4, texts[7], "en", "a"), rows[8], (None, texts[0], "en", "a")]
+    kept = [(r["doc_id"], r["text"]) for r in drop_near_copies(make(rows).repartition(3)).collect()]
+    want = [(i, t) for i, t in zip([*ids[:7], 4, *ids[8:]], texts, strict=True)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).selectExpr("id AS u", "id + 1 AS v").union(spark.range(500, 510).selectExpr("id AS u", "id + 1 AS v"))
     roots = {r["node"]: r["root"] for r in components(edges).collect()}
