@@ -1,286 +1,290 @@
-"""Language-model scores from a weighted backoff automaton."""
+"""Language-model scores from a weighted backoff automaton that is dealt to blocks of texts."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import received, remainder, require, saved, spread
+from quarry.llm.common import remainder, require, saved
 
 #: The end of a text as a token: no word holds a line feed.
 END = b"\n"
-#: Longest n-gram, and the least share of all training tokens at which a word or n-gram becomes a state or an arc.
-#: At most 1 / SHARE of each order can reach it, whatever the size of the corpus.
-ORDER, SHARE = 3, 1e-6
-#: Taken from each count for what was not seen.
-DISCOUNT = 0.75
-HELD_WORDS, HELD_CODES = 400_000, 3_000_000
+#: What a context of one and of two tokens takes from the next shorter one, in tokens (Dirichlet smoothing); taken from each word's count for words not seen.
+PRIOR, DISCOUNT = (200.0, 20.0), 0.75
+#: Tokens of a block of texts, tokens whose n-grams meet in a shard, places that a walk takes in step.
+BLOCK, SHARD, PIECE = 1 << 20, 1 << 21, 512
+START_HASH = np.uint64(0x2545F4914F6CDD1D)
 
 
 def texts_in(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-    flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-    for batch in batches:
-        for text in texts_in(batch, 0):
-            if text:
-                held.update(text.lower().split())
-            if len(held) > HELD_WORDS:
-                yield flush()
-                held.clear()
-        held[END] += batch.num_rows
-    if held:
-        yield flush()
-
-
-class Grams:
-    """Kept n-grams. Of order 1: the words by id, then the start of a text. Of order k: sorted codes
-    ``index of the first k - 1 tokens * width + id of the last``."""
-
-    def __init__(self, words: list[bytes]):
-        self.words = words
-        self.start = len(words)
-        self.width = len(words) + 1
-        self.codes: list[np.ndarray] = []
-
-    def ids(self, texts: list[bytes | None], known: dict[bytes, int]) -> tuple[np.ndarray, list[list[bytes]]]:
-        out, split = [], []
-        get = known.get
-        for text in texts:
-            words = text.lower().split() if text else []
-            words.append(END)
-            out.append(self.start)
-            out += [get(w, -1) for w in words]
-            split.append(words)
-        return np.array(out, np.int64), split
-
-    def places(self, ids: np.ndarray, order: int) -> np.ndarray:
-        """For each token the index of the kept n-gram of this order that ends there, or -1."""
-        at = ids
-        for k in range(2, order + 1):
-            at = self.find(self.joined(at, ids), k)
-        return at
-
-    def joined(self, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Codes of the n-grams one longer: those ending one token before, with each token; -1 where there is none."""
-        before = np.concatenate(([-1], at[:-1]))
-        return np.where((before >= 0) & (ids >= 0) & (ids != self.start), before * self.width + ids, -1)
-
-    def find(self, code: np.ndarray, order: int) -> np.ndarray:
-        codes = self.codes[order - 2]
-        if not len(codes):
-            return np.full(len(code), -1)
-        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-        return np.where(codes[at] == code, at, -1)
-
-
-def count_grams(shared, order: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: Grams = received(shared)
-        known = {w: i for i, w in enumerate(grams.words)}
-        held, size = [], 0
+def blocks_of(size: int):
+    """Texts in blocks of about ``size`` tokens, each a row: ids, folds, numbers of tokens, tokens as numbers of the block's words."""
 
-        def flush() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+    def block(ids: list[pa.Array], held: list[bool], sizes: list[int], flat: list[bytes]) -> pa.RecordBatch:
+        number = dict.fromkeys(flat)
+        number = dict(zip(number, range(len(number)), strict=True))
+        tokens = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
+        one = lambda values, kind: pa.array([values], pa.list_(kind))
+        all_ids = pa.concat_arrays(ids)
+        return pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([tokens.tobytes()], pa.binary()), one(list(number), pa.binary())],
+            ["ids", "held", "sizes", "tokens", "words"],
+        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, sizes, flat = [], [], [], []
         for batch in batches:
-            texts = texts_in(batch, 0)
-            for k in range(0, len(texts), 500):
-                ids, _ = grams.ids(texts[k : k + 500], known)
-                at = grams.places(ids, order - 1)
-                # Both parts of an n-gram must be kept for it to be frequent enough.
-                code = grams.joined(at, ids)[at >= 0]
-                held.append(code[code >= 0])
-                size += len(held[-1])
-                if size > HELD_CODES:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
+            first = 0
+            for k, (text, out) in enumerate(zip(texts_in(batch, 2), batch.column(1).to_pylist(), strict=True)):
+                words = text.lower().split() if text else []
+                flat += words
+                flat.append(END)
+                held.append(out)
+                sizes.append(len(words) + 1)
+                if len(flat) >= size:
+                    yield block([*ids, batch.column(0).slice(first, k + 1 - first)], held, sizes, flat)
+                    ids, held, sizes, flat, first = [], [], [], [], k + 1
+            ids.append(batch.column(0).slice(first))
+        if flat:
+            yield block(ids, held, sizes, flat)
 
     return run
 
 
-class Automaton:
-    """States with arcs and failure arcs: the root, a state for each word, one for each kept n-gram below the top order.
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
-    Where a state has an arc for a token, its weight is the token's log10 probability in
-    that context; else the failure arc leads to the next shorter context at the weight
-    log10 of what the context leaves to it. Words below the threshold have no arc, and
-    lead back to the root.
+class Block:
+    """The n-grams of one block of texts: distinct ones, where they end, how often the training texts hold them.
+
+    ``tokens`` has the start of a text as the number after the last word. At a place,
+    ``two`` and ``three`` are the numbers of the pair and the triple that end there; a
+    text's first token ends a pair with the start and no triple (-1).
     """
 
-    def __init__(self, grams: Grams, counts: list[np.ndarray], n_starts: int, total: int):
-        self.grams, self.total = grams, total
-        width = grams.width
-        context = np.append(counts[0], n_starts).astype(float)
-        p = (np.append(counts[0], 0) - DISCOUNT) / max(total, 1)
-        first = [0, 1, 1 + width]  # the first state of the contexts of length 0, 1, 2, ...
-        for codes in grams.codes:
-            first.append(first[-1] + len(codes))
-        word = np.arange(width - 1)
-        key, weight, follow = [word], [np.log10(np.maximum(p[:-1], 1e-300))], [first[1] + word]
-        self.fail, self.back = [np.zeros(1, np.int64), np.zeros(width, np.int64)], [np.zeros(1)]
-        lower = p  # probability of each kept n-gram of the order below, in its context
-        for k, codes in enumerate(grams.codes, start=2):
-            head, last = codes // width, codes % width
-            seen = (counts[k - 1] - DISCOUNT) / context[head]
-            left = 1 - np.bincount(head, seen, minlength=len(context))
-            # The n-gram without its first token is kept too, as is its probability.
-            tail = last if k == 2 else self.tails(codes, k)
-            prob = seen + left[head] * lower[tail]
-            self.back.append(np.log10(np.maximum(left, 1e-300)))
-            key.append((first[k - 1] + head) * width + last)
-            weight.append(np.log10(prob))
-            top = k == len(grams.codes) + 1
-            follow.append(first[k - 1] + tail if top and k > 2 else (first[1] + last if top else first[k] + np.arange(len(codes))))
-            if not top:
-                self.fail.append(first[k - 1] + tail)
-            lower, context = prob, counts[k - 1].astype(float)
-        if not grams.codes:
-            self.back.append(np.zeros(width))
-        self.key, self.weight, self.follow = (np.concatenate(x) for x in (key, weight, follow))
-        self.fail, self.back = np.concatenate(self.fail), np.concatenate(self.back)
-        self.counts = counts[0]
-
-    def tails(self, codes: np.ndarray, order: int) -> np.ndarray:
-        """For kept n-grams the index of the one without the first token."""
-        width, g = self.grams.width, self.grams
-        head, last = codes // width, codes % width
-        if order == 3:
-            middle = g.codes[0][head] % width
-            return g.find(middle * width + last, 2)
-        return g.find(self.tails(g.codes[order - 3][head], order - 1) * width + last, order - 1)
-
-    def scorer(self):
-        """A function from token ids (-1: no arc anywhere) to their summed weights, walked from left to right."""
-        width = self.grams.width
-        arcs = dict(zip(self.key.tolist(), range(len(self.key)), strict=True))
-        weight, follow, fail, back = (x.tolist() for x in (self.weight, self.follow, self.fail, self.back))
-        get, start = arcs.get, 1 + self.grams.start
-
-        def score(ids: list[int]) -> float:
-            state, total = start, 0.0
-            for w in ids:
-                if w < 0:
-                    while state:
-                        total += back[state]
-                        state = fail[state]
-                    continue
-                arc = get(state * width + w)
-                while arc is None:
-                    total += back[state]
-                    state = fail[state]
-                    arc = get(state * width + w)
-                total += weight[arc]
-                state = follow[arc]
-            return total
-
-        return score
-
-
-SCORED = "id {id}, held_out boolean, n_tokens long, n_frequent long, base double, lp double, rare array<struct<word: binary, n: long>>"
-
-
-def score_texts(shared):
+    def __init__(self, row: dict):
+        self.words: list[bytes] = row["words"]
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.start = len(self.words)
+        own = np.frombuffer(row["tokens"], np.int32)
+        self.begins = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.tokens = np.full(len(own) + len(self.sizes), self.start, np.int64)
+        inside = np.ones(len(self.tokens), bool)
+        inside[self.begins] = False
+        self.tokens[inside] = own
+        learnt = np.repeat(~np.array(row["held"], bool), self.sizes + 1) & inside
+        self.own_words = np.bincount(self.tokens[learnt], minlength=self.start)[: self.start]
+        width = self.start + 1
+        at = np.flatnonzero(inside)
+        pairs, first, place = np.unique(self.tokens[at - 1] * width + self.tokens[at], return_index=True, return_inverse=True)
+        self.head2, self.last2 = pairs // width, pairs % width
+        self.two = np.full(len(self.tokens), -1)
+        self.two[at] = place
+        self.own2 = np.bincount(place[learnt[at]], minlength=len(pairs))
+        at = at[inside[at - 1]]
+        triples, first, place = np.unique(self.two[at - 1] * width + self.tokens[at], return_index=True, return_inverse=True)
+        self.head3, self.last3, self.tail3 = triples // width, triples % width, self.two[at[first]]
+        self.three = np.full(len(self.tokens), -1)
+        self.three[at] = place
+        self.own3 = np.bincount(place[learnt[at]], minlength=len(triples))
+
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words, and those of the pairs followed by those of the triples; alike in all blocks."""
+        word = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        h = np.append(word, START_HASH)
+        two = mixed(h[self.head2] * np.uint64(0x9E3779B97F4A7C15) + h[self.last2])
+        three = mixed(two[self.head3] * np.uint64(0xD1342543DE82EF95) + h[self.last3])
+        return word, np.concatenate((two, three))
+
+    def dealt(self, n_shards: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For each shard the numbers of its words and of its pairs and triples; the hashes of the latter."""
+        word, gram = self.codes()
+        parts = []
+        for h in (word, gram):
+            shard = (h % np.uint64(n_shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            parts.append(np.split(order, np.cumsum(np.bincount(shard, minlength=n_shards))[:-1]))
+        return parts[0], parts[1], gram
+
+    def scores(self, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text its known tokens, base score and score, given the corpus counts of this block's words, pairs and triples.
+
+        The automaton's states are the root, the words and the pairs that the training texts
+        hold. Where a state has an arc for a token, its weight is the token's log
+        probability in that context; else the failure arc leads to the next shorter
+        context, at the weight of what the context leaves to it. All texts of the block are
+        walked from left to right in step, each carrying its state; long ones in pieces
+        that begin two tokens early, after which the state is the same as on the whole.
+        """
+        texts = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
+        real = self.tokens != self.start
+        count = np.append(n1, 0)[self.tokens]
+        known = np.bincount(texts[real], count[real] > 0, minlength=len(self.sizes)).astype(np.int64)
+        base = np.bincount(texts[real], np.log10((count[real] + 1.0) / (total + distinct + 1)), minlength=len(self.sizes))
+        if not total:
+            return known, base, np.zeros(len(self.sizes))
+        context = np.append(n1, n1[self.words.index(END)] if END in self.words else 0).astype(float)
+        p1 = np.where(n1 > 0, n1 - DISCOUNT, DISCOUNT * distinct) / total
+        p2 = (n2 + PRIOR[0] * p1[self.last2]) / (context[self.head2] + PRIOR[0])
+        p3 = (n3 + PRIOR[1] * p2[self.tail3]) / (n2[self.head3] + PRIOR[1])
+        arc1, arc2, arc3 = np.log10(p1), np.log10(p2), np.append(np.log10(p3), 0.0)
+        fail1, fail2 = np.log10(PRIOR[0] / (context + PRIOR[0])), np.log10(PRIOR[1] / (n2 + PRIOR[1]))
+        has1, has2, has3 = n1 > 0, n2 > 0, np.append(n3 > 0, False)
+        starts = np.concatenate([np.arange(0, n, PIECE) for n in self.sizes.tolist()])
+        owner = np.repeat(np.arange(len(self.sizes)), -(-self.sizes // PIECE))
+        early = np.minimum(starts, 2)
+        length = np.minimum(self.sizes[owner] - starts, PIECE) + early
+        order = np.argsort(-length, kind="stable")
+        owner, early, length = owner[order], early[order], length[order]
+        at = self.begins[owner] + 1 + starts[order] - early
+        level = np.where(early == 0, 1, 0)  # tokens that the state stands for: the start of a text, or the root
+        sums = np.zeros(len(order))
+        going = np.searchsorted(-length, -np.arange(length.max(initial=0)), side="left")
+        for t, n in enumerate(going.tolist()):
+            here = at[:n] + t
+            token, before, two, three = self.tokens[here], self.tokens[here - 1], self.two[here], self.three[here]
+            state, gain = level[:n].copy(), np.zeros(n)
+            arc = (state == 2) & has3[three]
+            gain[arc] = arc3[three[arc]]
+            fail = (state == 2) & ~arc
+            gain[fail] = fail2[self.two[here[fail] - 1]]
+            state[fail] = 1
+            reached = arc
+            arc = (state == 1) & has2[two]
+            gain[arc] += arc2[two[arc]]
+            reached = reached | arc
+            fail = (state == 1) & ~arc
+            gain[fail] += fail1[before[fail]]
+            state[fail] = 0
+            rest = state == 0
+            gain[rest] += arc1[token[rest]]
+            level[:n] = np.where(reached, 2, np.where(has1[token], 1, 0))
+            sums[:n] += np.where(t >= early[:n], gain, 0.0)
+        return known, base, np.bincount(owner, sums, minlength=len(self.sizes))
+
+
+REQUEST = "shard int, block long, words array<binary>, own_words binary, grams binary, own_grams binary"
+ANSWER = "block long, shard int, more_words binary, more_grams binary, n_distinct long"
+
+
+def requests(n_shards: int):
+    """What a block asks of each shard: the corpus counts of its words, pairs and triples; with its own counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto: Automaton = received(shared)
-        grams = auto.grams
-        known = {w: i for i, w in enumerate(grams.words)}
-        score, plus_one = auto.scorer(), np.log10(auto.counts + 1.0)
-        pair = pa.struct([("word", pa.binary()), ("n", pa.int64())])
         for batch in batches:
-            texts = texts_in(batch, 2)
-            for k in range(0, len(texts), 500):
-                some = texts[k : k + 500]
-                rows = []
-                for text in some:
-                    ids, (words,) = grams.ids([text], known)
-                    ids = ids[1:]
-                    frequent = ids[ids >= 0]
-                    rare = Counter(words[i] for i in np.flatnonzero(ids < 0)) if len(frequent) < len(ids) else {}
-                    rows.append((len(ids), len(frequent), float(plus_one[frequent].sum()), score(ids.tolist()), [{"word": w, "n": n} for w, n in rare.items()]))
-                n, f, base, lp, rare = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 500), batch.column(1).slice(k, 500), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(base), pa.array(lp), pa.array(rare, pa.list_(pair))], ["id", "held_out", "n_tokens", "n_frequent", "base", "lp", "rare"])
+            for row in batch.to_pylist():
+                b = Block(row)
+                words, grams, code = b.dealt(n_shards)
+                own = np.concatenate((b.own2, b.own3)).astype(np.int32)
+                for lo in range(0, n_shards, 64):
+                    some = range(lo, min(lo + 64, n_shards))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(some, pa.int32()),
+                            pa.array([row["block"]] * len(some), pa.int64()),
+                            pa.array([[b.words[i] for i in words[s].tolist()] for s in some], pa.list_(pa.binary())),
+                            pa.array([b.own_words[words[s]].astype(np.int32).tobytes() for s in some], pa.binary()),
+                            pa.array([code[grams[s]].tobytes() for s in some], pa.binary()),
+                            pa.array([own[grams[s]].tobytes() for s in some], pa.binary()),
+                        ],
+                        ["shard", "block", "words", "own_words", "grams", "own_grams"],
+                    )
 
     return run
 
 
-def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, share: float = SHARE) -> DataFrame:
+def answered(asked: pa.Table) -> pa.Table:
+    """A shard's answer to each block: how much more often than in the block itself the training texts hold each item."""
+    column = lambda name: asked.column(name).to_pylist()
+    own_words = [np.frombuffer(x, np.int32).astype(np.int64) for x in column("own_words")]
+    words = column("words")
+    n: defaultdict[bytes, int] = defaultdict(int)
+    for some, own in zip(words, own_words, strict=True):
+        for w, k in zip(some, own.tolist(), strict=True):
+            n[w] += k
+    more_words = [(np.array([n[w] for w in some], np.int64) - own).tobytes() for some, own in zip(words, own_words, strict=True)]
+    distinct = sum(k > 0 for k in n.values())
+    del n, words
+    codes = [np.frombuffer(x, np.uint64) for x in column("grams")]
+    own = [np.frombuffer(x, np.int32) for x in column("own_grams")]
+    cuts = np.cumsum(list(map(len, codes)))[:-1]
+    codes, own = np.concatenate(codes), np.concatenate(own).astype(np.int64)
+    order = np.argsort(codes)
+    codes = codes[order]
+    group = np.cumsum(np.concatenate(([0], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
+    total = np.bincount(group, own[order]).astype(np.int64)
+    more = np.empty_like(own)
+    more[order] = total[group]
+    more -= own
+    first = [distinct] + [0] * (len(cuts))
+    return pa.table([asked.column("block"), asked.column("shard"), pa.array(more_words, pa.binary()), pa.array([x.tobytes() for x in np.split(more, cuts)], pa.binary()), pa.array(first, pa.int64())], names=["block", "shard", "more_words", "more_grams", "n_distinct"])
+
+
+def scored(n_shards: int, total: int, distinct: int):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        (row,) = blocks.to_pylist() if blocks.num_rows else (None,)
+        b = Block(row)
+        words, grams, _ = b.dealt(n_shards)
+        n1, n = b.own_words.astype(np.int64), np.concatenate((b.own2, b.own3)).astype(np.int64)
+        for a in answers.to_pylist():
+            n1[words[a["shard"]]] += np.frombuffer(a["more_words"], np.int64)
+            n[grams[a["shard"]]] += np.frombuffer(a["more_grams"], np.int64)
+        known, base, score = b.scores(n1, n[: len(b.own2)], n[len(b.own2) :], total, distinct)
+        ids = blocks.column("ids").combine_chunks()
+        ids = (ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids).flatten()
+        return pa.table([ids, pa.array(row["held"], pa.bool_()), pa.array(b.sizes), pa.array(known), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
+
+
+def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    The model learns from the rows where ``held_out`` is false. All their words are
-    counted by a shuffle. Words with at least ``share`` of the tokens (so at most
-    1 / share of them), and n-grams up to ``order`` of such words with as large a share,
-    form the automaton that every task gets; their counts are exact, over all n-grams of
-    frequent words. The other words are joined with their counts by a second shuffle,
-    once for each document and word. Smoothing is interpolated absolute discounting,
-    down to one class for all words not seen, so each context's probabilities sum to one.
+    The model is all words, pairs and triples of tokens of the rows where ``held_out`` is
+    false, with exact counts: none is dropped at any size of the corpus, and none is
+    held in one place. Texts are first written as blocks of token numbers. Each block then
+    asks the shards, to which n-grams are dealt by hash, for the counts of what it holds;
+    a shard adds up what all blocks have of its n-grams and answers with the difference,
+    which is nothing for the many n-grams of a single block. So each block gets the part
+    of the automaton that its texts can reach, and walks them. Pairs and triples are told
+    apart by 64 bits; words by their bytes.
+
+    Smoothing: a context seen c times gives a token seen n times after it the
+    probability (n + m p) / (c + m), p being the next shorter context's, down to
+    discounted word frequencies with one class for all words not seen; each context's
+    probabilities sum to one.
 
     Edge cases: null and empty texts hold the end token alone; with nothing to learn
     from, base_score is that of N = V = 0 and score is 0; repeated rows and ids are
     scored each for itself; other columns are ignored.
     """
     require(docs, (id_col, text_col))
-    spark = docs.sparkSession
     held = F.coalesce(held_out, F.lit(False))
-    train = docs.filter(~held).select(F.col(text_col).cast("string").alias("text"))
-    counts = saved(train.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(1.0, share * total)
-    top = counts.filter(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    grams = Grams(top.column("word").to_pylist())
-    ns = [top.column("n").to_numpy().astype(np.int64)]
-    for k in range(2, order + 1):
-        found = train.mapInArrow(count_grams(spread(spark, grams), k), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        kept = found.filter(F.col("n") >= least).toArrow().sort_by("code")
-        codes, n = kept.column("code").to_numpy(), kept.column("n").to_numpy()
-        trial = Grams(grams.words)
-        trial.codes = [*grams.codes, codes]
-        if k > 2 and len(codes):  # the part without the first token must be kept too; counts make sure but for the start of a text
-            probe = Automaton.__new__(Automaton)
-            probe.grams = trial
-            ok = probe.tails(codes, k) >= 0
-            codes, n = codes[ok], n[ok]
-        grams = Grams(grams.words)
-        grams.codes = [*trial.codes[:-1], codes]
-        ns.append(n)
-    n_starts = int(dict(zip(grams.words, ns[0].tolist(), strict=True)).get(END, 0)) or 1
-    auto = Automaton(grams, ns, n_starts, total)
-    out_type = docs.schema[id_col].dataType.simpleString()
-    shaped = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    scored = shaped.mapInArrow(score_texts(spread(spark, auto)), SCORED.format(id=out_type))
-    scored = saved(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
-    c = F.col("n")
-    unseen = DISCOUNT * distinct / total if total else 1.0
-    log_p = F.log10(F.when(c.isNull(), F.lit(unseen)).otherwise((c - DISCOUNT) / max(total, 1)))
-    per_row = rare.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce(c, F.lit(0)) + 1.0)).alias("rare_base"),
-        F.sum(F.col("times") * log_p).alias("rare_lp"),
-        F.sum(F.when(c.isNotNull(), F.col("times"))).alias("rare_known"),
-    )
-    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    norm = math.log10(total + distinct + 1)
-    return scored.drop("rare").join(per_row, "row", "left").select(
-        F.col("id").alias(id_col),
-        "held_out",
-        "n_tokens",
-        (F.col("n_frequent") + zero("rare_known")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rare_base") - F.col("n_tokens") * F.lit(norm)).cast("double").alias("base_score"),
-        (F.col("lp") + zero("rare_lp")).cast("double").alias("score") if total else F.lit(0.0).alias("score"),
-    )
+    id_type = docs.schema[id_col].dataType.simpleString()
+    slim = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
+    blocks = slim.mapInArrow(blocks_of(block), f"ids array<{id_type}>, held array<boolean>, sizes array<int>, tokens binary, words array<binary>")
+    blocks = saved(blocks.withColumn("block", F.monotonically_increasing_id()))
+    learnt = F.aggregate(F.arrays_zip("sizes", "held"), F.lit(0).cast("long"), lambda n, x: n + F.when(x["held"], 0).otherwise(x["sizes"]))
+    tokens, total = blocks.agg(F.coalesce(F.sum(F.length("tokens") / 4), F.lit(0.0)), F.coalesce(F.sum(learnt), F.lit(0))).first()
+    n_shards = max(1, math.ceil(tokens / shard))
+    answers = saved(blocks.mapInArrow(requests(n_shards), REQUEST).groupBy("shard").applyInArrow(answered, ANSWER))
+    distinct = answers.agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0]
+    shape = f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored(n_shards, total, distinct), shape)
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def held_out_fold(id_col: Column, modulus: int = 7, part: int = 2) -> Column:

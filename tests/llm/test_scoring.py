@@ -1,7 +1,7 @@
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -97,71 +97,54 @@ def test_mixing_edges(edges, nothing):
     assert mixing.mixed(edges).count() == out.agg(F.sum("copies")).first()[0]
 
 
-def slow_model(train, share, discount=lm_scoring.DISCOUNT):
-    """The probabilities of the model by definition, as nested dictionaries of counts."""
-    c = Counter(w for text in train for w in text)
-    total, start = sum(c.values()), b" S"
-    least = max(1.0, share * total)
-    heavy = {w for w in c if c[w] >= least}
-    n2, n3 = Counter(), Counter()
+def slow_model(train):
+    """The probabilities of the model by definition, from counts of all words, pairs and triples."""
+    start = b" S"
+    n = Counter()
     for text in train:
         z = [start, *text]
         for i in range(1, len(z)):
-            if z[i] in heavy and (z[i - 1] in heavy or i == 1):
-                n2[z[i - 1], z[i]] += 1
+            n[z[i],] += 1
+            n[tuple(z[i - 1 : i + 1])] += 1
             if i > 1:
-                n3[z[i - 2], z[i - 1], z[i]] += 1
-    k2 = {g for g, n in n2.items() if n >= least}
-    k3 = {g for g, n in n3.items() if n >= least and g[:2] in k2 and g[1:] in k2}
-    size = lambda h: (len(train) if h[0] == start else c[h[0]]) if len(h) == 1 else n2[h]
-    used = defaultdict(float)
-    for g in (*k2, *k3):
-        used[g[:-1]] += ((n2 if len(g) == 2 else n3)[g] - discount) / size(g[:-1])
+                n[tuple(z[i - 2 : i + 1])] += 1
+    total, distinct = sum(map(len, train)), sum(len(g) == 1 for g in n)
 
     def p(w, h):
         if not h:
-            return (c[w] - discount) / total if w in c else discount * len(c) / total
-        g = (*h, w)
-        own = ((n2 if len(g) == 2 else n3)[g] - discount) / size(h) if g in (k2 if len(g) == 2 else k3) else 0.0
-        return own + (1 - used.get(h, 0.0)) * p(w, h[1:])
+            return (n[w,] - lm_scoring.DISCOUNT if (w,) in n else lm_scoring.DISCOUNT * distinct) / total
+        times, prior = len(train) if h == (start,) else n[h], lm_scoring.PRIOR[len(h) - 1]
+        return (n[(*h, w)] + prior * p(w, h[1:])) / (times + prior)
 
-    def known(h):
-        return h in k2 if len(h) == 2 else h[0] in heavy or h[0] == start
+    return n, total, distinct, p, start
 
-    return c, total, p, known, start
 
-
-@pytest.mark.parametrize("share", [1e-6, 0.01])
-def test_lm_score_by_definition(make, share):
+@pytest.mark.parametrize(("block", "shard", "piece"), [(1 << 20, 1 << 21, 512), (50, 300, 4), (1, 100, 2)])
+def test_lm_score_by_definition(make, monkeypatch, block, shard, piece):
+    monkeypatch.setattr(lm_scoring, "PIECE", piece)
     rng = np.random.default_rng(5)
     vocabulary = ["the", "a", "of", "Cat", "dog", *(f"rare{k}" for k in range(60))]
     rows = [(k, " ".join(vocabulary[min(64, int(rng.exponential(4)))] for _ in range(int(rng.integers(0, 30)))), "en", "a") for k in range(200)]
-    rows += [(1000, None, "en", "a"), (1001, "", "en", "a"), (1002, "unseen word here", "en", "a")]
+    rows += [(1000, None, "en", "a"), (1001, "", "en", "a"), (1002, "unseen word here", "en", "a"), (1002, "unseen word here", "en", "a")]
     held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
     tokens = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t, *_ in rows}
-    c, total, p, known, start = slow_model([tokens[i] for i, *_ in rows if i not in held], share)
-    out = lm_scoring.lm_score(make(rows).repartition(3), lm_scoring.held_out_fold(F.col("doc_id")), share=share).collect()
+    n, total, distinct, p, start = slow_model([tokens[i] for i, *_ in rows if i not in held])
+    out = lm_scoring.lm_score(make(rows).repartition(3), lm_scoring.held_out_fold(F.col("doc_id")), block=block, shard=shard).collect()
     assert len(out) == len(rows)
     for r in out:
         z = [start, *tokens[r["doc_id"]]]
-        score = 0.0
-        for i in range(1, len(z)):
-            h = tuple(z[max(0, i - 2) : i])
-            while h and not known(h):
-                h = h[1:]
-            score += math.log10(p(z[i], h))
-        base = sum(math.log10((c[w] + 1) / (total + len(c) + 1)) for w in z[1:])
+        score = sum(math.log10(p(z[i], tuple(z[max(0, i - 2) : i]))) for i in range(1, len(z)))
+        base = sum(math.log10((n[w,] + 1) / (total + distinct + 1)) for w in z[1:])
         assert r["held_out"] == (r["doc_id"] in held) and r["n_tokens"] == len(z) - 1 and r["train_tokens"] == total
-        assert r["n_known"] == sum(w in c for w in z[1:])
+        assert r["n_known"] == sum((w,) in n for w in z[1:])
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
 
 
 def test_lm_probabilities_sum_to_one():
-    train = [w.split() for w in (b"a b a b c", b"a b a c", b"b a b a b")]
-    train = [[*t, b"\n"] for t in train]
-    c, _, p, known, start = slow_model(train, 0.05)
-    for h in [(), (b"a",), (b"b",), (start,), (b"a", b"b")]:
-        assert sum(p(w, h) for w in [*c, b"never"]) == pytest.approx(1.0)
+    train = [[*w.split(), b"\n"] for w in (b"a b a b c", b"a b a c", b"b a b a b")]
+    n, _, _, p, start = slow_model(train)
+    for h in [(), (b"a",), (b"b",), (start,), (b"a", b"b"), (start, b"a")]:
+        assert sum(p(w, h) for w in [*(g[0] for g in n if len(g) == 1), b"never"]) == pytest.approx(1.0)
 
 
 def test_lm_edges(edges, nothing):
