@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -19,48 +21,54 @@ END = b"\n"
 #: What a context of one and of two tokens takes from the next shorter one, in tokens (Dirichlet smoothing); taken from each word's count for words not seen.
 PRIOR, DISCOUNT = (200.0, 20.0), 0.75
 #: Tokens of a block of texts, tokens whose n-grams meet in a shard, places that a walk takes in step.
-BLOCK, SHARD, PIECE = 1 << 20, 1 << 21, 512
+BLOCK, SHARD, PIECE = 1 << 19, 1 << 20, 512
 START_HASH = np.uint64(0x2545F4914F6CDD1D)
 
 
-def texts_in(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
-    return batch.column(column).cast(pa.binary()).to_pylist()
-
-
 def blocks_of(size: int):
     """Texts in blocks of about ``size`` tokens, each a row: ids, folds, numbers of tokens, tokens as numbers of the block's words."""
 
-    def block(ids: list[pa.Array], held: list[bool], sizes: list[int], flat: list[bytes]) -> pa.RecordBatch:
-        number = dict.fromkeys(flat)
-        number = dict(zip(number, range(len(number)), strict=True))
-        tokens = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
+    def block(ids: list[pa.Array], held: list[bool], sizes: list[int], tokens: array, words: Iterable[bytes]) -> pa.RecordBatch:
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         all_ids = pa.concat_arrays(ids)
         return pa.RecordBatch.from_arrays(
-            [pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([tokens.tobytes()], pa.binary()), one(list(number), pa.binary())],
+            [pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([tokens.tobytes()], pa.binary()), pa.array([b" ".join(words)], pa.binary())],
             ["ids", "held", "sizes", "tokens", "words"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, sizes, flat = [], [], [], []
+        new = lambda: ([], [], [], array("i"), defaultdict(count().__next__))
+        ids, held, sizes, tokens, number = new()
         for batch in batches:
             first = 0
-            for k, (text, out) in enumerate(zip(texts_in(batch, 2), batch.column(1).to_pylist(), strict=True)):
+            for k, (text, out) in enumerate(zip(batch.column(2), batch.column(1).to_pylist(), strict=True)):
+                text = text.as_py()
                 words = text.lower().split() if text else []
-                flat += words
-                flat.append(END)
+                tokens.extend(map(number.__getitem__, words))
+                tokens.append(number[END])
                 held.append(out)
                 sizes.append(len(words) + 1)
-                if len(flat) >= size:
-                    yield block([*ids, batch.column(0).slice(first, k + 1 - first)], held, sizes, flat)
-                    ids, held, sizes, flat, first = [], [], [], [], k + 1
+                if len(tokens) >= size:
+                    yield block([*ids, batch.column(0).slice(first, k + 1 - first)], held, sizes, tokens, number)
+                    (ids, held, sizes, tokens, number), first = new(), k + 1
             ids.append(batch.column(0).slice(first))
-        if flat:
-            yield block(ids, held, sizes, flat)
+        if tokens:
+            yield block(ids, held, sizes, tokens, number)
 
     return run
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from zero as a byte each; those of 255 and more in full behind them."""
+    return np.minimum(numbers, 255).astype(np.uint8).tobytes() + numbers[numbers >= 255].astype(np.int64).tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, np.int64, offset=n)
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -76,12 +84,12 @@ class Block:
     """
 
     def __init__(self, row: dict):
-        self.words: list[bytes] = row["words"]
+        self.words: list[bytes] = row["words"].split(b" ")
         self.sizes = np.array(row["sizes"], np.int64)
         self.start = len(self.words)
         own = np.frombuffer(row["tokens"], np.int32)
         self.begins = np.cumsum(self.sizes + 1) - self.sizes - 1
-        self.tokens = np.full(len(own) + len(self.sizes), self.start, np.int64)
+        self.tokens = np.full(len(own) + len(self.sizes), self.start, np.int32)
         inside = np.ones(len(self.tokens), bool)
         inside[self.begins] = False
         self.tokens[inside] = own
@@ -89,15 +97,16 @@ class Block:
         self.own_words = np.bincount(self.tokens[learnt], minlength=self.start)[: self.start]
         width = self.start + 1
         at = np.flatnonzero(inside)
-        pairs, first, place = np.unique(self.tokens[at - 1] * width + self.tokens[at], return_index=True, return_inverse=True)
-        self.head2, self.last2 = pairs // width, pairs % width
-        self.two = np.full(len(self.tokens), -1)
+        pairs, first, place = np.unique(self.tokens[at - 1] * np.int64(width) + self.tokens[at], return_index=True, return_inverse=True)
+        self.head2, self.last2 = (x.astype(np.int32) for x in np.divmod(pairs, width))
+        self.two = np.full(len(self.tokens), -1, np.int32)
         self.two[at] = place
         self.own2 = np.bincount(place[learnt[at]], minlength=len(pairs))
         at = at[inside[at - 1]]
-        triples, first, place = np.unique(self.two[at - 1] * width + self.tokens[at], return_index=True, return_inverse=True)
-        self.head3, self.last3, self.tail3 = triples // width, triples % width, self.two[at[first]]
-        self.three = np.full(len(self.tokens), -1)
+        triples, first, place = np.unique(self.two[at - 1] * np.int64(width) + self.tokens[at], return_index=True, return_inverse=True)
+        self.head3, self.last3 = (x.astype(np.int32) for x in np.divmod(triples, width))
+        self.tail3 = self.two[at[first]]
+        self.three = np.full(len(self.tokens), -1, np.int32)
         self.three[at] = place
         self.own3 = np.bincount(place[learnt[at]], minlength=len(triples))
 
@@ -176,32 +185,34 @@ class Block:
         return known, base, np.bincount(owner, sums, minlength=len(self.sizes))
 
 
-REQUEST = "shard int, block long, words array<binary>, own_words binary, grams binary, own_grams binary"
+REQUEST = "shard int, block long, n_words int, words binary, own_words binary, grams binary, own_grams binary"
 ANSWER = "block long, shard int, more_words binary, more_grams binary, n_distinct long"
+#: Bytes of a hash that tell the n-grams of one shard apart.
+TOLD = 6
 
 
 def requests(n_shards: int):
     """What a block asks of each shard: the corpus counts of its words, pairs and triples; with its own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
-                words, grams, code = b.dealt(n_shards)
-                own = np.concatenate((b.own2, b.own3)).astype(np.int32)
-                for lo in range(0, n_shards, 64):
-                    some = range(lo, min(lo + 64, n_shards))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(some, pa.int32()),
-                            pa.array([row["block"]] * len(some), pa.int64()),
-                            pa.array([[b.words[i] for i in words[s].tolist()] for s in some], pa.list_(pa.binary())),
-                            pa.array([b.own_words[words[s]].astype(np.int32).tobytes() for s in some], pa.binary()),
-                            pa.array([code[grams[s]].tobytes() for s in some], pa.binary()),
-                            pa.array([own[grams[s]].tobytes() for s in some], pa.binary()),
-                        ],
-                        ["shard", "block", "words", "own_words", "grams", "own_grams"],
-                    )
+        for row in (row.as_py() for batch in batches for row in batch.to_struct_array()):
+            b = Block(row)
+            words, grams, code = b.dealt(n_shards)
+            own, code = np.concatenate((b.own2, b.own3)), code.view(np.uint8).reshape(-1, 8)[:, 8 - TOLD :]
+            for lo in range(0, n_shards, 64):
+                some = range(lo, min(lo + 64, n_shards))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(some, pa.int32()),
+                        pa.array([row["block"]] * len(some), pa.int64()),
+                        pa.array([len(words[s]) for s in some], pa.int32()),
+                        pa.array([b" ".join([b.words[i] for i in words[s].tolist()]) for s in some], pa.binary()),
+                        pa.array([packed(b.own_words[words[s]]) for s in some], pa.binary()),
+                        pa.array([code[grams[s]].tobytes() for s in some], pa.binary()),
+                        pa.array([packed(own[grams[s]]) for s in some], pa.binary()),
+                    ],
+                    ["shard", "block", "n_words", "words", "own_words", "grams", "own_grams"],
+                )
 
     return run
 
@@ -209,28 +220,32 @@ def requests(n_shards: int):
 def answered(asked: pa.Table) -> pa.Table:
     """A shard's answer to each block: how much more often than in the block itself the training texts hold each item."""
     column = lambda name: asked.column(name).to_pylist()
-    own_words = [np.frombuffer(x, np.int32).astype(np.int64) for x in column("own_words")]
-    words = column("words")
+    words = [x.split(b" ") if n else [] for x, n in zip(column("words"), column("n_words"), strict=True)]
+    own_words = [unpacked(x, len(w)) for x, w in zip(column("own_words"), words, strict=True)]
     n: defaultdict[bytes, int] = defaultdict(int)
     for some, own in zip(words, own_words, strict=True):
         for w, k in zip(some, own.tolist(), strict=True):
             n[w] += k
-    more_words = [(np.array([n[w] for w in some], np.int64) - own).tobytes() for some, own in zip(words, own_words, strict=True)]
+    more_words = [packed(np.fromiter(map(n.__getitem__, some), np.int64, len(some)) - own) for some, own in zip(words, own_words, strict=True)]
     distinct = sum(k > 0 for k in n.values())
     del n, words
-    codes = [np.frombuffer(x, np.uint64) for x in column("grams")]
-    own = [np.frombuffer(x, np.int32) for x in column("own_grams")]
-    cuts = np.cumsum(list(map(len, codes)))[:-1]
-    codes, own = np.concatenate(codes), np.concatenate(own).astype(np.int64)
-    order = np.argsort(codes)
-    codes = codes[order]
-    group = np.cumsum(np.concatenate(([0], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
+    grams = column("grams")
+    sizes = [len(x) // TOLD for x in grams]
+    own = np.concatenate([unpacked(x, k) for x, k in zip(column("own_grams"), sizes, strict=True)])
+    code = np.zeros((len(own), 8), np.uint8)
+    code[:, 8 - TOLD :] = np.frombuffer(b"".join(grams), np.uint8).reshape(-1, TOLD)
+    del grams
+    code = code.view(np.uint64).reshape(-1)
+    order = np.argsort(code)
+    code = code[order]
+    group = np.cumsum(np.concatenate(([0], code[1:] != code[:-1])), dtype=np.int32) if len(code) else np.zeros(0, np.int32)
+    del code
     total = np.bincount(group, own[order]).astype(np.int64)
     more = np.empty_like(own)
     more[order] = total[group]
     more -= own
-    first = [distinct] + [0] * (len(cuts))
-    return pa.table([asked.column("block"), asked.column("shard"), pa.array(more_words, pa.binary()), pa.array([x.tobytes() for x in np.split(more, cuts)], pa.binary()), pa.array(first, pa.int64())], names=["block", "shard", "more_words", "more_grams", "n_distinct"])
+    answers = [packed(x) for x in np.split(more, np.cumsum(sizes)[:-1])]
+    return pa.table([asked.column("block"), asked.column("shard"), pa.array(more_words, pa.binary()), pa.array(answers, pa.binary()), pa.array([distinct] + [0] * (len(sizes) - 1), pa.int64())], names=["block", "shard", "more_words", "more_grams", "n_distinct"])
 
 
 def scored(n_shards: int, total: int, distinct: int):
@@ -240,8 +255,9 @@ def scored(n_shards: int, total: int, distinct: int):
         words, grams, _ = b.dealt(n_shards)
         n1, n = b.own_words.astype(np.int64), np.concatenate((b.own2, b.own3)).astype(np.int64)
         for a in answers.to_pylist():
-            n1[words[a["shard"]]] += np.frombuffer(a["more_words"], np.int64)
-            n[grams[a["shard"]]] += np.frombuffer(a["more_grams"], np.int64)
+            w, g = words[a["shard"]], grams[a["shard"]]
+            n1[w] += unpacked(a["more_words"], len(w))
+            n[g] += unpacked(a["more_grams"], len(g))
         known, base, score = b.scores(n1, n[: len(b.own2)], n[len(b.own2) :], total, distinct)
         ids = blocks.column("ids").combine_chunks()
         ids = (ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids).flatten()
@@ -260,7 +276,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     a shard adds up what all blocks have of its n-grams and answers with the difference,
     which is nothing for the many n-grams of a single block. So each block gets the part
     of the automaton that its texts can reach, and walks them. Pairs and triples are told
-    apart by 64 bits; words by their bytes.
+    apart by 48 bits of hash within a shard of some millions; words by their bytes.
 
     Smoothing: a context seen c times gives a token seen n times after it the
     probability (n + m p) / (c + m), p being the next shorter context's, down to
@@ -274,8 +290,8 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     require(docs, (id_col, text_col))
     held = F.coalesce(held_out, F.lit(False))
     id_type = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
-    blocks = slim.mapInArrow(blocks_of(block), f"ids array<{id_type}>, held array<boolean>, sizes array<int>, tokens binary, words array<binary>")
+    slim = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    blocks = slim.mapInArrow(blocks_of(block), f"ids array<{id_type}>, held array<boolean>, sizes array<int>, tokens binary, words binary")
     blocks = saved(blocks.withColumn("block", F.monotonically_increasing_id()))
     learnt = F.aggregate(F.arrays_zip("sizes", "held"), F.lit(0).cast("long"), lambda n, x: n + F.when(x["held"], 0).otherwise(x["sizes"]))
     tokens, total = blocks.agg(F.coalesce(F.sum(F.length("tokens") / 4), F.lit(0.0)), F.coalesce(F.sum(learnt), F.lit(0))).first()
