@@ -23,6 +23,9 @@ FUNCTION_WORDS = {
     "es": "al como con de del el en es la las lo los mi no para pero por que se su un una y".split(),
 }
 
+#: Spark's setting that frees the shuffle files of a query at its end.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where it is unset."""
@@ -34,11 +37,17 @@ def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df``: write it as a table in the shared folder and read it again.
 
     A lost executor then costs only the tasks it was running, and random or
-    partition-dependent columns are computed once.
+    partition-dependent columns are computed once. Shuffle files go as soon as the table
+    is written, not when the driver next collects its garbage.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

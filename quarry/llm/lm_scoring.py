@@ -11,6 +11,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +22,18 @@ END = b"\n"
 #: What a context of one and of two tokens takes from the next shorter one, in tokens (Dirichlet smoothing); taken from each word's count for words not seen.
 PRIOR, DISCOUNT = (200.0, 20.0), 0.75
 #: Tokens of a block of texts, tokens whose n-grams meet in a shard, places that a walk takes in step.
-BLOCK, SHARD, PIECE = 1 << 19, 1 << 20, 512
+BLOCK, SHARD, PIECE = 1 << 19, 1 << 21, 512
 START_HASH = np.uint64(0x2545F4914F6CDD1D)
 
 
+def small(raw: bytes) -> bytes:
+    return zstandard.compress(raw, 1)
+
+
+def full(raw: bytes) -> bytes:
+    return zstandard.decompress(raw)
+
+
 def blocks_of(size: int):
     """Texts in blocks of about ``size`` tokens, each a row: ids, folds, numbers of tokens, tokens as numbers of the block's words."""
 
@@ -32,7 +41,7 @@ def blocks_of(size: int):
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         all_ids = pa.concat_arrays(ids)
         return pa.RecordBatch.from_arrays(
-            [pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([tokens.tobytes()], pa.binary()), pa.array([b" ".join(words)], pa.binary())],
+            [pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([small(tokens.tobytes())], pa.binary()), pa.array([small(b" ".join(words))], pa.binary())],
             ["ids", "held", "sizes", "tokens", "words"],
         )
 
@@ -60,10 +69,11 @@ def blocks_of(size: int):
 
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers from zero as a byte each; those of 255 and more in full behind them."""
-    return np.minimum(numbers, 255).astype(np.uint8).tobytes() + numbers[numbers >= 255].astype(np.int64).tobytes()
+    return small(np.minimum(numbers, 255).astype(np.uint8).tobytes() + numbers[numbers >= 255].astype(np.int64).tobytes())
 
 
 def unpacked(raw: bytes, n: int) -> np.ndarray:
+    raw = full(raw)
     out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
     out[out == 255] = np.frombuffer(raw, np.int64, offset=n)
     return out
@@ -84,10 +94,10 @@ class Block:
     """
 
     def __init__(self, row: dict):
-        self.words: list[bytes] = row["words"].split(b" ")
+        self.words: list[bytes] = full(row["words"]).split(b" ")
         self.sizes = np.array(row["sizes"], np.int64)
         self.start = len(self.words)
-        own = np.frombuffer(row["tokens"], np.int32)
+        own = np.frombuffer(full(row["tokens"]), np.int32)
         self.begins = np.cumsum(self.sizes + 1) - self.sizes - 1
         self.tokens = np.full(len(own) + len(self.sizes), self.start, np.int32)
         inside = np.ones(len(self.tokens), bool)
@@ -188,7 +198,7 @@ class Block:
 REQUEST = "shard int, block long, n_words int, words binary, own_words binary, grams binary, own_grams binary"
 ANSWER = "block long, shard int, more_words binary, more_grams binary, n_distinct long"
 #: Bytes of a hash that tell the n-grams of one shard apart.
-TOLD = 6
+TOLD = 5
 
 
 def requests(n_shards: int):
@@ -206,7 +216,7 @@ def requests(n_shards: int):
                         pa.array(some, pa.int32()),
                         pa.array([row["block"]] * len(some), pa.int64()),
                         pa.array([len(words[s]) for s in some], pa.int32()),
-                        pa.array([b" ".join([b.words[i] for i in words[s].tolist()]) for s in some], pa.binary()),
+                        pa.array([small(b" ".join([b.words[i] for i in words[s].tolist()])) for s in some], pa.binary()),
                         pa.array([packed(b.own_words[words[s]]) for s in some], pa.binary()),
                         pa.array([code[grams[s]].tobytes() for s in some], pa.binary()),
                         pa.array([packed(own[grams[s]]) for s in some], pa.binary()),
@@ -220,7 +230,7 @@ def requests(n_shards: int):
 def answered(asked: pa.Table) -> pa.Table:
     """A shard's answer to each block: how much more often than in the block itself the training texts hold each item."""
     column = lambda name: asked.column(name).to_pylist()
-    words = [x.split(b" ") if n else [] for x, n in zip(column("words"), column("n_words"), strict=True)]
+    words = [full(x).split(b" ") if n else [] for x, n in zip(column("words"), column("n_words"), strict=True)]
     own_words = [unpacked(x, len(w)) for x, w in zip(column("own_words"), words, strict=True)]
     n: defaultdict[bytes, int] = defaultdict(int)
     for some, own in zip(words, own_words, strict=True):
@@ -276,7 +286,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     a shard adds up what all blocks have of its n-grams and answers with the difference,
     which is nothing for the many n-grams of a single block. So each block gets the part
     of the automaton that its texts can reach, and walks them. Pairs and triples are told
-    apart by 48 bits of hash within a shard of some millions; words by their bytes.
+    apart by 40 bits of hash within a shard of some millions; words by their bytes.
 
     Smoothing: a context seen c times gives a token seen n times after it the
     probability (n + m p) / (c + m), p being the next shorter context's, down to
@@ -294,7 +304,8 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     blocks = slim.mapInArrow(blocks_of(block), f"ids array<{id_type}>, held array<boolean>, sizes array<int>, tokens binary, words binary")
     blocks = saved(blocks.withColumn("block", F.monotonically_increasing_id()))
     learnt = F.aggregate(F.arrays_zip("sizes", "held"), F.lit(0).cast("long"), lambda n, x: n + F.when(x["held"], 0).otherwise(x["sizes"]))
-    tokens, total = blocks.agg(F.coalesce(F.sum(F.length("tokens") / 4), F.lit(0.0)), F.coalesce(F.sum(learnt), F.lit(0))).first()
+    every = F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x)
+    tokens, total = blocks.agg(F.coalesce(F.sum(every), F.lit(0)), F.coalesce(F.sum(learnt), F.lit(0))).first()
     n_shards = max(1, math.ceil(tokens / shard))
     answers = saved(blocks.mapInArrow(requests(n_shards), REQUEST).groupBy("shard").applyInArrow(answered, ANSWER))
     distinct = answers.agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0]
