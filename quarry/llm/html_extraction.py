@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import require, saved
@@ -29,139 +31,251 @@ NOISE_NAMES = frozenset(
     "newsletter subscribe subscription signup login search share sharing social form "
     "comment comments commentlist respond disqus replies reply discussion contentinfo complementary".split()
 )
+#: Words that beside one of the above name a page part too, and in other names leave it open ("nav-link", but not "related-work").
+LAYOUT_NAMES = frozenset(
+    "box bar list item items link links wrap wrapper wrapping container section block area top bottom left right inner outer col column row grid "
+    "site page main global post posts entry article articles story stories user slot unit zone panel group button buttons btn field fields "
+    "icon icons label primary secondary sticky fixed mobile desktop js is has 0".split()
+)
 MAIN_TAGS = frozenset(("article", "main"))
 #: An open element ends where one of these begins inside it.
 ENDS = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>", re.S)
+ENDED_BY = {tag: frozenset(open_tag for open_tag, by in ENDS.items() if tag in by) for tag in set().union(*ENDS.values())}
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a tag, with quoted values; a tag whose quotes do not close within LONGEST characters ends at the next ">".
+REST = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
+LONGEST = 4096
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Elements that are open at a time; deeper ones count as part of their parent.
+DEEPEST = 512
 
-#: Pages of a host from which on repetition tells anything, and the importance under which a branch goes.
-ENOUGH, LEAST = 4, 0.3
+#: The importance under which a branch goes, and under which one goes whose names leave open what it is.
+LEAST, LEAST_OPEN = 0.3, 0.5
+#: Pages of all hosts together that weigh as much as the pages of one host: what a tree says of few pages is drawn to what all say.
+PRIOR = 2
+#: Share of the content in the importance of a node; the rest is presentation.
+CONTENT = 0.9
 
 NOISE, PLAIN, MAIN = 0, 1, 2
 
 
-def part(tag: str, attributes: str, above: int) -> tuple[str, int]:
-    """The signature of an element in the style tree, and what part of the page it opens."""
-    names = [w for m in NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()]
-    signature = ".".join([tag, *(re.sub(r"\d+", "0", n) for n in names[:3])])
+def named(attributes: str, above: int) -> tuple[list[str], bool, bool]:
+    """Names of an element; whether one of them names an unwanted part, and whether one might."""
+    names = [re.sub(r"\d+", "0", w) for m in NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()]
+    noise = doubt = False
+    for name in names:
+        words = [w for w in re.split(r"[-_:]+", name) if w]
+        unwanted = NOISE_NAMES - {"header", "masthead"} if above == MAIN else NOISE_NAMES
+        if any(w in unwanted or w.rstrip("0") in unwanted for w in words):
+            if all(w in unwanted or w.rstrip("0") in unwanted or w in LAYOUT_NAMES for w in words):
+                noise = True
+            else:
+                doubt = True
+    return names, noise, doubt
+
+
+def part(tag: str, attributes: str, above: int) -> tuple[str, int, bool]:
+    """The signature of an element in the style tree, what part of the page it opens, and whether its names leave that open."""
+    names, noise, doubt = named(attributes, above) if "=" in attributes else ([], False, False)
+    signature = ".".join([tag, *names[:3]])
     if above == NOISE or tag in NOISE_TAGS:
-        return signature, NOISE
+        return signature, NOISE, False
     # The header of a page goes, that of an article holds its title.
     if tag == "header" and above != MAIN:
-        return signature, NOISE
-    words = {w for n in names for w in re.split(r"[-_:]+", n)}
-    if above == MAIN:
-        words -= {"header", "masthead"}
-    if tag not in MAIN_TAGS and tag not in ("html", "body") and words & NOISE_NAMES:
-        return signature, NOISE
-    return signature, MAIN if tag in MAIN_TAGS or "main" in words or "article" in words else above
-
-
-def blocks(page: str | None) -> list[tuple[str, int, str]]:
-    """The blocks of one whole page in order: path of signatures, part of the page, text."""
-    out: list[tuple[str, int, str]] = []
-    stack: list[tuple[str, str, int]] = []
+        return signature, NOISE, False
+    if noise and tag not in MAIN_TAGS and tag not in ("html", "body"):
+        return signature, NOISE, False
+    return signature, MAIN if tag in MAIN_TAGS or (tag in BLOCKS and ("main" in names or "article" in names)) else above, doubt
+
+
+def blocks(page: str | None, markup: bool = True) -> list[tuple[int, int, bool, str]]:
+    """The blocks of one whole page in order: hash of the path of signatures, part of the page, doubt, text.
+
+    Text of unwanted parts is left out, be they blocks or stand inside one; without
+    ``markup`` no element or name makes a part unwanted. Time grows with the length of the
+    page, whatever it holds.
+    """
+    out: list[tuple[int, int, bool, str]] = []
+    stack: list[tuple[str, int, int, bool]] = []  # tag, hash of the path, part, doubt
+    opened: Counter[str] = Counter()
     held: list[str] = []
     page = page or ""
+    low = None
 
     def flush() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append(("/".join(x[1] for x in stack), stack[-1][2] if stack else PLAIN, text))
+                out.append((at_block[1], at_block[2], at_block[3], text))
 
-    def close(at: int) -> None:
-        if any(x[0] in BLOCKS for x in stack[at:]):
+    def close(k: int) -> None:
+        if any(x[0] in BLOCKS for x in stack[k:]):
             flush()
-        del stack[at:]
+        for x in stack[k:]:
+            opened[x[0]] -= 1
+        del stack[k:]
+
+    root = ("", 0, PLAIN, False)
+    at_block = root  # the element that the held text belongs to
+
+    def say(text: str) -> None:
+        nonlocal at_block
+        if text and (not stack or stack[-1][2] != NOISE):
+            if not held:
+                at_block = stack[-1] if stack else root
+            held.append(text)
+
+    at, end, missing = 0, len(page), set()
+
+    def until(what: str, start: int) -> int:
+        """Behind the next ``what``, or -1; what is missing once is missing from there on."""
+        if what in missing:
+            return -1
+        k = page.find(what, start)
+        if k < 0:
+            missing.add(what)
+            return -1
+        return k + len(what)
 
-    at, end = 0, len(page)
     while at < end:
-        m = TOKEN.search(page, at)
-        held.append(page[at : m.start()] if m else page[at:])
-        if not m:
+        k = page.find("<", at)
+        say(page[at:] if k < 0 else page[at:k])
+        if k < 0:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        at = k + 1
+        if page.startswith("!--", at):
+            at = until("-->", at + 3)
+            if at < 0:
+                break
             continue
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+        if page.startswith("![CDATA[", at) and (behind := until("]]>", at)) > 0:
+            at = behind
+            continue
+        if page.startswith(("!", "?"), at):
+            at = until(">", at)
+            if at < 0:
+                break
+            continue
+        closing = page.startswith("/", at)
+        name = NAME.match(page, at + closing)
+        if not name:
+            say("<")
+            continue
+        rest = REST.match(page, name.end(), min(end, name.end() + LONGEST))
+        behind = rest.end() if rest else until(">", name.end())
+        if behind < 0:
+            break
+        tag, attributes, at = name[0].lower(), page[name.end() : behind - 1], behind
+        if closing:
+            if opened[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
-        attributes = m[3] or m[6] or ""
         if tag in RAW:
             # What scripts, styles and embedded parts hold is not text of the page, whatever it looks like.
             if not attributes.endswith("/"):
-                found = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = found.end() if found else end
-            held.append(" ")
+                low = page.lower() if low is None else low
+                if len(low) != end:
+                    low = page
+                k = at
+                while True:
+                    k = low.find(f"</{tag}", k)
+                    if k < 0 or not low[k + len(tag) + 2 : k + len(tag) + 3].isalnum():
+                        break
+                    k += 1
+                at = end if k < 0 else until(">", k)
+                if at < 0:
+                    break
+            say(" ")
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if tag in ENDS.get(stack[k][0], ()):
-                close(k)
-                break
-            if stack[k][0] in BLOCKS and stack[k][0] not in ENDS:
-                break
+        enders = ENDED_BY.get(tag)
+        if enders and any(opened[x] > 0 for x in enders):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in enders:
+                    close(k)
+                    break
+                if stack[k][0] in BLOCKS and stack[k][0] not in ENDS:
+                    break
         if tag in BLOCKS:
             flush()
         elif tag in GAPS:
-            held.append(" ")
-        if tag not in VOID:
-            stack.append((tag, *part(tag, attributes, stack[-1][2] if stack else PLAIN)))
+            say(" ")
+        if tag not in VOID and len(stack) < DEEPEST:
+            above = stack[-1] if stack else root
+            signature, kind, doubt = part(tag, attributes, above[2])
+            if not markup:
+                kind, doubt = PLAIN, False
+            path = xxhash.xxh3_64_intdigest(signature.encode("utf-8", "replace"), above[1]) >> 1
+            stack.append((tag, path, kind, doubt or above[3]))
+            opened[tag] += 1
     flush()
     return out
 
 
-def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [blocks(h if isinstance(h, str) else None) for h in batch["html"]]
-        shaped = [[{"path": p, "part": k, "text": t} for p, k, t in page] for page in found]
-        # Where the tree tells nothing of a block, a page that names its main part is that part alone.
-        yield batch.drop(columns="html").assign(blocks=shaped, has_main=[any(k == MAIN for _, k, _ in page) for page in found])
+def parsed(markup: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [blocks(h if isinstance(h, str) else None, markup) for h in batch["html"]]
+            yield batch.drop(columns="html").assign(blocks=[[{"path": p, "part": k, "doubt": d, "text": t} for p, k, d, t in page] for page in found])
+
+    return run
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, importance) of the merged trees of each host's pages.
-
-    A path of signatures is a node. Its content importance is the entropy of the texts it
-    holds over the pages, its presentation importance that of the number of blocks it
-    has on a page; both in units of their largest value, so a branch that is the same
-    on every page has importance 0. Copies of a page are one page: that a page was fetched
-    again does not make it boilerplate. Texts are counted by hash before pages are, so a
-    host's rows meet as counts only.
+    """(host, path, doubt, importance) of the merged trees of each host's pages.
+
+    A path of signatures is a node. Its content importance is one less the entropy over
+    the pages of each text it holds, averaged over its texts; its presentation importance
+    the entropy of the number of blocks it has on a page; both in units of the largest
+    entropy that so many pages allow. A branch with the same texts on every page has
+    content importance 0. Copies of a page are one page: that a page was fetched again
+    does not make it boilerplate. What a host's few pages tell is drawn to what the
+    pages of all hosts tell of the same path, and that to 1: so a single page loses
+    nothing, and no number of pages switches the tree on. Texts are counted by hash
+    before pages are, so a host's rows meet as counts only.
     """
-    page = F.xxhash64(F.col("blocks.path"), F.col("blocks.text"))
-    slim = F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("h")))
-    once = pages.select("host", page.alias("page"), slim.alias("blocks")).dropDuplicates(["host", "page"])
-    node = once.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.path", "b.h")
-    texts = node.groupBy("host", "path", "h").agg(F.count("*").alias("n"))
-    shapes = node.groupBy("host", "path", "page").agg(F.count("*").alias("k")).groupBy("host", "path", "k").agg(F.count("*").alias("n"))
+    slim = F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["doubt"].alias("doubt"), F.xxhash64(b["text"]).alias("h")))
+    once = pages.select("host", F.xxhash64(F.col("blocks.path"), F.col("blocks.text")).alias("page"), slim.alias("blocks")).dropDuplicates(["host", "page"])
+    texts = once.select("host", F.explode(F.array_distinct("blocks")).alias("b")).groupBy("host", "b.path", "b.doubt", "b.h").agg(F.count("*").alias("n"))
+    counts = once.select("host", "page", F.explode("blocks.path").alias("path")).groupBy("host", "page", "path").agg(F.count("*").alias("k"))
+    shapes = counts.groupBy("host", "path", "k").agg(F.count("*").alias("n"))
+
+    def importance(texts: DataFrame, shapes: DataFrame, *by: str) -> DataFrame:
+        spread = lambda df: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.ln("n")).alias("log"))
+        both = spread(texts).join(spread(shapes).select(*by, F.col("n").alias("pages"), F.col("log").alias("shape_log")), list(by))
+        most = F.ln("pages")
+        content = F.greatest(F.lit(0.0), 1 - F.col("log") / (F.col("n") * most))
+        shape = 1 - F.col("shape_log") / (F.col("pages") * most)
+        return both.select(*by, "pages", F.when(F.col("pages") > 1, CONTENT * content + (1 - CONTENT) * shape).otherwise(1.0).alias("importance"))
+
+    own = importance(texts, shapes, "host", "path")
+    every = importance(texts.groupBy("path", "h").agg(F.sum("n").alias("n")), shapes.groupBy("path", "k").agg(F.sum("n").alias("n")), "path")
+    drawn = lambda n, x, to: (n * x + PRIOR * to) / (n + PRIOR)
+    every = every.select("path", drawn(F.col("pages") - 1, F.col("importance"), F.lit(1.0)).alias("general"))
+    doubt = texts.groupBy("path").agg(F.max("doubt").alias("doubt"))
+    return own.join(every, "path").join(doubt, "path").select("host", "path", "doubt", drawn(F.col("pages") - 1, F.col("importance"), F.col("general")).alias("importance"))
+
+
+def within(path: Column, low: Column) -> Column:
+    return F.coalesce(F.array_contains(low, path), F.lit(False))
 
-    def entropy(counts: DataFrame, name: str) -> DataFrame:
-        total, logs = F.sum("n"), F.sum(F.col("n") * F.ln("n"))
-        h = (F.ln(total) - logs / total) / F.ln(total)
-        return counts.groupBy("host", "path").agg(F.when(total > 1, h).otherwise(1.0).alias(name), total.alias(f"{name}_n"))
 
-    both = entropy(texts, "content").join(entropy(shapes, "shape"), ["host", "path"])
-    return both.select("host", "path", F.col("shape_n").alias("pages"), F.greatest("content", "shape").alias("importance"))
+#: Unimportant branches of all hosts that are broadcast; more are matched to pages by a shuffle.
+BROADCAST = 200_000
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", markup: bool = True, broadcast: int = BROADCAST) -> DataFrame:
     """One row per row of ``pages``: id, url, text, n_chars.
 
     Pages are parsed once, where they lie, into blocks with the path of elements that
-    leads to them. The trees of a host are merged by counting; blocks of scripts, menus,
-    headers, footers, sidebars, notices, adverts, forms and comments, told by element and
-    by class, id or role, have importance 0. The others stay where their branch has an
-    importance of ``LEAST`` or more, on marked pages as on others. Of a branch on fewer
-    than ``ENOUGH`` different pages of the host the tree tells nothing: it stays, but
-    beside a part marked as article or main. Text: references decoded, white space one
-    space, blocks joined by a line feed.
+    leads to them. What an element or a name alone tells, like ``nav`` or ``class="ad"``,
+    is left out there. The trees of a host are merged by counting, and of what is left
+    every page loses the branches with an importance under ``LEAST``, inside a part marked
+    as article or main as well as outside; under ``LEAST_OPEN`` if their names leave it
+    open what they are. Beside a marked part a page keeps the others only where they hold
+    more text than it. Without ``markup`` elements and names say nothing and the trees
+    decide alone. Text: references decoded, white space one space, blocks joined by a line
+    feed.
 
     Edge cases: null and empty html give an empty text; unclosed and crossed tags are
     closed where HTML implies it; a null url is a host of its own; repeated rows give
@@ -172,16 +286,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.monotonically_increasing_id().alias("row"), F.col(html_col).cast("string").alias("html"))
     id_type = pages.schema[id_col].dataType.simpleString()
     url_type = pages.schema[url_col].dataType.simpleString()
-    shape = f"id {id_type}, url {url_type}, host string, row long, blocks array<struct<path: string, part: int, text: string>>, has_main boolean"
-    trees = saved(slim.mapInPandas(parsed, shape))
-    told = style_tree(trees).filter(F.col("pages") >= ENOUGH)
-    # One row for each host: its unimportant paths, and the important ones that marked pages have beside their main part.
-    beside = trees.filter("has_main").select("host", F.explode("blocks").alias("b")).filter(F.col("b.part") == PLAIN).select("host", "b.path").distinct().withColumn("beside", F.lit(True))
-    told = told.join(beside, ["host", "path"], "left")
-    is_low = F.col("importance") < LEAST
-    told = saved(told.groupBy("host").agg(F.collect_set(F.when(is_low, F.col("path"))).alias("low"), F.collect_set(F.when(~is_low & F.col("beside"), F.col("path"))).alias("high")))
-    both = trees.join(told, "host", "left")
-    within = lambda name, b: F.coalesce(F.array_contains(name, b["path"]), F.lit(False))
-    keep = F.filter("blocks", lambda b: (b["part"] != NOISE) & ~within("low", b) & (~F.col("has_main") | (b["part"] == MAIN) | within("high", b)))
-    text = F.array_join(F.transform(keep, lambda b: b["text"]), "\n")
+    trees = saved(slim.mapInPandas(parsed(markup), f"id {id_type}, url {url_type}, host string, row long, blocks array<struct<path: long, part: int, doubt: boolean, text: string>>"))
+    told = style_tree(trees).filter(F.col("importance") < F.when(F.col("doubt"), LEAST_OPEN).otherwise(LEAST))
+    told = saved(told.select("host", "path"))
+    if told.count() <= broadcast:
+        both = trees.join(F.broadcast(told.groupBy("host").agg(F.collect_list("path").alias("low"))), "host", "left")
+    else:
+        held = trees.select("row", "host", F.explode(F.array_distinct("blocks.path")).alias("path"))
+        both = trees.join(held.join(told, ["host", "path"]).groupBy("row").agg(F.collect_list("path").alias("low")), "row", "left")
+    kept = F.filter("blocks", lambda b: ~within(b["path"], F.col("low")))
+    both = both.select("id", "url", kept.alias("kept"))
+    chars = lambda which: F.aggregate(F.filter("kept", lambda b: b["part"] == which), F.lit(0), lambda n, b: n + F.length(b["text"]))
+    both = both.withColumn("beside", chars(PLAIN) > chars(MAIN))
+    text = F.array_join(F.transform(F.filter("kept", lambda b: F.col("beside") | (b["part"] == MAIN)), lambda b: b["text"]), "\n")
     return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

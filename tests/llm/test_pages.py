@@ -1,11 +1,14 @@
+import math
 import re
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm.html_extraction import blocks, extract
+from quarry.llm.html_extraction import blocks, extract, style_tree
 from quarry.llm.sentencepiece_sampling import LITERAL, SPACE, Lattices, Pieces, decode, decode_ids, encode, encode_batch
 from quarry.llm.url_filter import RULES, url_filter
 
@@ -16,8 +19,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def test_blocks():
-    main = [t for _, part, t in blocks(PAGE) if part == 2]
-    assert main == ["Title & more", "One two", "three four", "a", "b", "five six"]
+    assert [t for _, _, _, t in blocks(PAGE)] == ["Title & more", "One two", "three four", "a", "b", "five six"]
     assert blocks(None) == blocks("") == []
 
 
@@ -45,6 +47,91 @@ def test_tree_decides_on_marked_pages(spark):
     assert {out[20 + k] for k in range(6)} == {"fetched again"}
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p>x <span class="ad">Buy now</span> y</p></article>', ["x y"]),
+        ("<article><p>x <button>Share</button> y</p><label>Mail</label></article>", ["x y"]),
+        ('<article><p>a</p><a class="nav-link">Home</a></article>', ["a"]),
+        ('<article><h2 class="related-work">R</h2><h1 class="search-results-title">S</h1><div class="text-form">body</div></article>', ["R", "S", "body"]),
+        ('<div class="ad-slot">q</div><div class="site-header">r</div><ol class="comment-list"><li>c</ol>ok', ["ok"]),
+        ("a < b <3 c", ["a < b <3 c"]),
+        ('<p title="x>unbalanced</p> next', ["unbalanced", "next"]),
+        ('a<SCRIPT>"</scriptx>"</SCRIPT >b', ["a b"]),
+        ("a<!-- never closed <p>b", ["a"]),
+    ],
+)
+def test_blocks_of_odd_pages(page, want):
+    assert [t for _, _, _, t in blocks(page)] == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<b>", "<b></i>", "<li><b>", "<![CDATA[", "<!--", "<script>", "<", '<a ">', "<p>x"])
+def test_time_to_parse_grows_with_the_page_alone(unit):
+    began = time.perf_counter()
+    blocks(unit * (500_000 // len(unit)))
+    assert time.perf_counter() - began < 20
+
+
+def slow_importance(pages):
+    """Importance of each path by definition, from the blocks of the distinct pages of each host."""
+
+    def entropy(counts):
+        return -sum(n / sum(counts) * math.log(n / sum(counts)) for n in counts)
+
+    def tree(pages):
+        on = defaultdict(list)
+        for page in pages:
+            by_path = defaultdict(list)
+            for path, *_, text in page:
+                by_path[path].append(text)
+            for path, texts in by_path.items():
+                on[path].append(texts)
+        out = {}
+        for path, each in on.items():
+            m = len(each)
+            holding = Counter(t for texts in each for t in set(texts))
+            # The entropy of a text over the pages that hold it once each is the logarithm of their number.
+            content = 1 - sum(n * math.log(n) for n in holding.values()) / (sum(holding.values()) * math.log(m)) if m > 1 else 1
+            shape = entropy(list(Counter(map(len, each)).values())) / math.log(m) if m > 1 else 1
+            out[path] = m, (0.9 * max(0, content) + 0.1 * shape if m > 1 else 1)
+        return out
+
+    every = {path: ((m - 1) * x + 2) / (m + 1) for path, (m, x) in tree([p for host in pages.values() for p in host]).items()}
+    return {(host, path): ((m - 1) * x + 2 * every[path]) / (m + 1) for host, own in pages.items() for path, (m, x) in tree(own).items()}
+
+
+def test_importance_by_definition(spark):
+    rng = np.random.default_rng(3)
+    pages = {}
+    rows = []
+    for host, n in (("a", 9), ("b", 2), ("c", 1), ("d", 30)):
+        pages[host] = []
+        for k in range(n):
+            page = [(1, 1, False, f"{host}{k}"), (1, 1, False, f"{k}"), (2, 1, True, "menu"), *[(3, 2, False, str(x)) for x in rng.integers(0, 4, int(rng.integers(1, 4)))]]
+            pages[host].append(page)
+            rows += [(host, page)] * (1 + k % 2)
+    df = spark.createDataFrame(rows, "host string, blocks array<struct<path: long, part: int, doubt: boolean, text: string>>")
+    got = {(r["host"], r["path"]): r["importance"] for r in style_tree(df).collect()}
+    assert got == pytest.approx(slow_importance(pages))
+
+
+def test_trees_alone_tell_what_a_site_repeats(spark):
+    def page(host, k):
+        links = "".join(f"<li><a>{host} link {x}</a>" for x in range(5))
+        return f"<nav><ul>{links}</ul></nav><article><h1>title {host} {k}</h1><p>text {host} {k}</p><p>more {k}</p></article><footer>by {host}</footer>"
+
+    rows = [(f"{host} {k}", f"http://{host}.example/{k}", page(host, k)) for host in "abc" for k in range(12)]
+    out = extract(spark.createDataFrame(rows, "page_id string, url string, html string"), markup=False)
+    assert {r["page_id"]: r["text"] for r in out.collect()} == {x: f"title {x}\ntext {x}\nmore {x.split()[1]}" for x, *_ in rows}
+
+
+def test_few_and_many_branches_give_the_same(spark):
+    boxed = lambda k: f"<body><p>own text {k}</p><div class='box'><p>same on each page</p></div></body>"
+    df = spark.createDataFrame([(k, "http://a.example/", boxed(k)) for k in range(9)], "page_id long, url string, html string")
+    few, many = ({r["page_id"]: r["text"] for r in extract(df, broadcast=n).collect()} for n in (1000, 0))
+    assert few == many == {k: f"own text {k}" for k in range(9)}
+
+
 def slow_rule(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
