@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,30 +17,72 @@ from quarry.llm.common import fresh, require, saved, words_of
 WIDTH, SEED, MAX_BITS = 3, 42, 3
 #: Fingerprints under one trie node that a task takes on, on average; pairs of nodes larger than this squared, four times, are split first.
 LEAF = 16_384
-#: Shingles whose bits are added at a time, and node pairs of the trie that are walked at a time.
-CHUNK, WALK = 65_535, 200_000
+#: Shingles whose bits are added at a time, node pairs of the trie that are walked at a time, pairs of fingerprints that a leaf compares at once.
+CHUNK, WALK, MANY = 65_535, 200_000, 1 << 20
+#: Near copies of whole texts: words in a shingle, least Jaccard similarity, and budgets of bits in the first quarter and in all 128, tight ones first.
+NEAR_WIDTH, LEAST = 5, 0.8
+BUDGETS = ((2, 8), (4, 16), (4, 26))
+#: As LEAF, where budgets are wide: a fingerprint goes to all nodes within its budget, so nodes are few and large.
+WIDE_LEAF = 1 << 20
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """The SimHash of all shingles of one whole text; no word at all: 0."""
+def shingles(text: str | None, width: int) -> list[bytes]:
+    """The shingles of one whole text in order, repeats included; a text with fewer words is one."""
     words = words_of(text)
     n = len(words)
-    if not n:
-        return 0
-    joined = b" ".join(words)
     if n <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return [b" ".join(words)] if n else []
+    joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    spans = zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=">u8")
+    return [joined[a:b] for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """The bits that more than half of the hashes have, given as rows of bytes."""
+    total, size = np.zeros(8 * hashes.shape[1], np.int64), hashes.shape[1]
     for at in range(0, len(hashes), CHUNK):
-        bits = np.unpackbits(hashes[at : at + CHUNK].view(np.uint8)).view(np.uint64).reshape(-1, 8)
+        bits = np.unpackbits(hashes[at : at + CHUNK], axis=1).view(np.uint64).reshape(-1, size)
         # Eight counters of a byte each in a word: 255 rows can be added without a carry.
         for k in range(0, len(bits), 255):
             total += np.add.reduce(bits[k : k + 255], axis=0).view(np.uint8)
-    return int(np.packbits(2 * total > len(hashes)).view(">u8")[0])
+    return np.packbits(2 * total > len(hashes)).tobytes()
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """The SimHash of all shingles of one whole text; no word at all: 0."""
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(x, SEED) for x in shingles(text, width)], dtype=">u8")
+    return int.from_bytes(majority(hashes.view(np.uint8).reshape(-1, 8)), "big")
+
+
+def distinct_hashes(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingles of one whole text as rows of 16 bytes of hash."""
+    found = set(map(xxhash.xxh3_128_digest, shingles(text, width)))
+    return np.frombuffer(b"".join(found), np.uint8).reshape(-1, 16)
+
+
+def wide_fingerprints(text: Column, width: int = NEAR_WIDTH) -> Column:
+    """128 bits of SimHash over the distinct shingles of each text, as two longs."""
+
+    @F.pandas_udf("hi long, lo long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            raw = b"".join(majority(distinct_hashes(t, width)) for t in texts)
+            yield pd.DataFrame(np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, 2), columns=["hi", "lo"])
+
+    return run(text)
+
+
+def shingle_sets(text: Column, width: int = NEAR_WIDTH) -> Column:
+    """The distinct shingles of each text, as 64 bits of hash each."""
+
+    @F.pandas_udf("array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.ascontiguousarray(distinct_hashes(t, width)[:, :8]).view(np.int64).reshape(-1) for t in texts], dtype=object)
+
+    return run(text)
 
 
 def fingerprints(text: Column, width: int = WIDTH) -> Column:
@@ -67,19 +109,31 @@ def joined_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def walk(keys: np.ndarray, split: int, same: bool, depth: int, err: int, max_bits: int, first_bits: int) -> np.ndarray:
-    """Walk a pair of trie nodes together and return the component of each key.
+def walk(keys: np.ndarray, rest: np.ndarray, split: int, same: bool, depth: int, err: int, max_bits: int, first_bits: int, label: np.ndarray) -> list[np.ndarray]:
+    """Walk a pair of trie nodes together: links between items as pairs of places, one for each two components that met.
 
     ``keys`` are sorted in either part: those of one node up to ``split``, then those of
     the other (``same``: one node, paired with itself). Both nodes lie ``depth`` bits deep
     and differ in ``err`` bits so far. Pairs of children add a bit where they differ and
     are left out beyond ``max_bits``, or beyond ``first_bits`` within the first 32 bits.
-    A pair whose keys all share a component already needs no walk.
+    Bits in ``rest`` follow those of the keys and are counted at the leaves. Components
+    are kept in ``label``; a pair of nodes whose items all share one needs no walk.
     """
-    label = np.arange(len(keys))
+    found = [np.zeros((0, 2), np.int64)]
+
+    def linked(i: np.ndarray, j: np.ndarray) -> None:
+        near = np.bitwise_count(keys[i] ^ keys[j]).astype(np.int64) + np.bitwise_count(rest[i] ^ rest[j]) <= max_bits
+        near &= label[i] != label[j]
+        i, j = i[near], j[near]
+        if len(i):
+            a, b = label[i], label[j]
+            _, one = np.unique(np.minimum(a, b) * len(keys) + np.maximum(a, b), return_index=True)
+            found.append(np.stack((i[one], j[one]), axis=1))
+            joined_labels(label, i, j)
+
     cut = len(keys) if same else split
     start = (0, cut, 0 if same else cut, len(keys))
-    stack = [(depth, *(np.array([x]) for x in (*start, err)))]
+    stack = [(depth, *(np.array([x]) for x in (*start, err)))] if err <= first_bits and len(keys) else []
     while stack:
         depth, alo, ahi, blo, bhi, e = stack.pop()
         if len(alo) > WALK:
@@ -90,20 +144,25 @@ def walk(keys: np.ndarray, split: int, same: bool, depth: int, err: int, max_bit
         keep = ~one
         alo, ahi, blo, bhi, e = (x[keep] for x in (alo, ahi, blo, bhi, e))
         many = (ahi - alo) * (bhi - blo)
-        leaf = (many <= 32) | (depth >= 64)
-        if leaf.any():
-            n = many[leaf]
-            pair = np.repeat(np.flatnonzero(leaf), n)
+        large = (depth >= 64) & (many > MANY)
+        for a0, a1, b0, b1 in zip(*(x[large].tolist() for x in (alo, ahi, blo, bhi)), strict=True):
+            # Equal keys: each against all, until one component holds them.
+            b = np.arange(b0, b1)
+            for i in range(a0, a1):
+                linked(np.full(len(b), i), b)
+                if (label[a0:a1] == label[a0]).all() and (label[b] == label[a0]).all():
+                    break
+        leaf = ((many <= 32) | (depth >= 64)) & ~large
+        for some in np.array_split(np.flatnonzero(leaf), 1 + int(many[leaf].sum()) // (4 * MANY)):
+            n = many[some]
+            pair = np.repeat(some, n)
             nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             wide = (bhi - blo)[pair]
-            i, j = alo[pair] + nth // wide, blo[pair] + nth % wide
-            differ = keys[i] ^ keys[j]
-            near = np.bitwise_count(differ) <= max_bits
-            near &= i != j
-            joined_labels(label, i[near], j[near])
-        if leaf.all():
+            linked(alo[pair] + nth // wide, blo[pair] + nth % wide)
+        go = ~(leaf | large)
+        if not go.any():
             continue
-        alo, ahi, blo, bhi, e = (x[~leaf] for x in (alo, ahi, blo, bhi, e))
+        alo, ahi, blo, bhi, e = (x[go] for x in (alo, ahi, blo, bhi, e))
         # Within a node the keys with a zero at this bit come first.
         zeros = np.concatenate(([0], np.cumsum((keys >> np.uint64(63 - depth)) & np.uint64(1) == 0)))
         amid, bmid = alo + zeros[ahi] - zeros[alo], blo + zeros[bhi] - zeros[blo]
@@ -117,67 +176,75 @@ def walk(keys: np.ndarray, split: int, same: bool, depth: int, err: int, max_bit
         nxt = [np.concatenate(x) for x in zip(*children, strict=True)]
         if len(nxt[0]):
             stack.append((depth + 1, *nxt))
-    return label
+    return found
+
+
+def in_turns(points: DataFrame, *words: Column) -> DataFrame:
+    """(turn, key, rest, node): each fingerprint, given in parts of 32 bits, once with each part in front; two parts make a key."""
+    n = len(words)
+    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    joined = lambda a, b: F.shiftleft(low(words[a % n]), 32).bitwiseOR(low(words[b % n]))
+    turns = [F.struct(F.lit(t).alias("turn"), joined(t, t + 1).alias("key"), (joined(t + 2, t + 3) if n == 4 else F.lit(0).cast("long")).alias("rest")) for t in range(n)]
+    return points.select("node", F.explode(F.array(*turns)).alias("x")).select("x.*", "node")
 
 
-def turned(key: Column) -> Column:
-    """The two halves of a fingerprint exchanged."""
-    return F.shiftleft(key, 32).bitwiseOR(F.shiftrightunsigned(key, 32))
+def halves(fp: Column) -> list[Column]:
+    return [F.shiftrightunsigned(fp, 32), fp]
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column fp) that join all within ``max_bits`` bits.
+def links(both: DataFrame, n: int, budgets: Sequence[tuple[int, int]], leaf: int) -> DataFrame:
+    """Links (u, v) between nodes that join all whose fingerprints lie within a budget; ``both`` as from :func:`in_turns`, ``n`` its rows in a turn.
 
-    Of a pair with at most ``max_bits`` errors, one half has at most half of them. So two
-    tries are walked, one for each half in front, with that smaller budget for the first
-    32 bits. The walk starts at a depth where nodes hold about ``leaf`` fingerprints: a
-    node is paired with itself and with those that differ within the budget. Node pairs
-    that are still large are split four bits at a time, by joins; the others are each
-    walked in one task. Each task sends a spanning forest of what it links, not all pairs.
+    A budget is (bits in the first part, all bits). Of a pair with that many errors, one
+    part has at most its share of them. So a trie is walked for each part in front, with
+    the smaller budget for the first 32 bits. The walk starts at a depth where nodes hold
+    about ``leaf`` fingerprints: a node is paired with itself and with those that differ
+    within the budget. Node pairs that are still large are split four bits at a time, by
+    joins; the others are each walked in one task. Tighter budgets are walked first, and
+    each task sends a spanning forest of what it links, not all pairs.
     """
-    spark = fps.sparkSession
-    first = max_bits // 2
-    n = fps.count()
+    spark = both.sparkSession
+    first, most = budgets[-1]
     depth = min(32, max(1, math.ceil(math.log2(max(n, 2) / leaf))))
-    both = fps.select(F.lit(0).alias("turn"), F.col("fp").alias("key")).unionByName(fps.select(F.lit(1).alias("turn"), turned(F.col("fp")).alias("key")))
     prefix = lambda d: F.shiftrightunsigned("key", 64 - d) if d < 64 else F.col("key")
-    nodes = saved(both.groupBy("turn", prefix(depth).alias("node")).agg(F.count("*").alias("n")))
+    nodes = saved(both.groupBy("turn", prefix(depth).alias("trie")).agg(F.count("*").alias("n")))
     masks = [0]
     for _ in range(first):
         masks = sorted({m ^ (1 << k) for m in masks for k in range(depth)} | set(masks))
-    flips = F.explode(F.array(*(F.struct(F.col("node").bitwiseXOR(F.lit(m)).alias("b"), F.lit(m.bit_count()).alias("err")) for m in masks)))
-    pairs = nodes.select("turn", F.col("node").alias("a"), F.col("n").alias("na"), flips.alias("x")).select("turn", "a", "na", "x.b", "x.err").filter("a <= b")
-    pairs = saved(pairs.join(nodes.select("turn", F.col("node").alias("b"), F.col("n").alias("nb")), ["turn", "b"]).withColumn("depth", F.lit(depth)))
+    flips = F.explode(F.array(*(F.struct(F.col("trie").bitwiseXOR(F.lit(m)).alias("b"), F.lit(m.bit_count()).alias("err")) for m in masks)))
+    pairs = nodes.select("turn", F.col("trie").alias("a"), F.col("n").alias("na"), flips.alias("x")).select("turn", "a", "na", "x.b", "x.err").filter("a <= b")
+    pairs = saved(pairs.join(nodes.select("turn", F.col("trie").alias("b"), F.col("n").alias("nb")), ["turn", "b"]).withColumn("depth", F.lit(depth)))
     walked = []
     while True:
         large = (F.col("na") * F.col("nb").cast("double") > 4.0 * leaf * leaf) & (F.col("depth") < 64)
         small = pairs.filter(~large)
-        sides = small.select("turn", "depth", "a", "b", "err", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.col("a"))).otherwise(F.array("a", "b"))).alias("node"))
-        walked.append(sides.join(both.withColumn("node", prefix(depth)), ["turn", "node"]).withColumn("second", F.col("node") != F.col("a")).drop("node"))
+        sides = small.select("turn", "depth", "a", "b", "err", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.col("a"))).otherwise(F.array("a", "b"))).alias("trie"))
+        walked.append(sides.join(both.withColumn("trie", prefix(depth)), ["turn", "trie"]).withColumn("second", F.col("trie") != F.col("a")).drop("trie"))
         big = pairs.filter(large)
         if big.isEmpty():
             break
         depth = min(64, depth + 4)
         step = depth - big.first()["depth"]
         busy = big.select("turn", F.col("a").alias("up")).union(big.select("turn", F.col("b").alias("up"))).distinct()
-        child = both.groupBy("turn", prefix(depth).alias("node")).agg(F.count("*").alias("n")).withColumn("up", F.shiftrightunsigned("node", step))
+        child = both.groupBy("turn", prefix(depth).alias("trie")).agg(F.count("*").alias("n")).withColumn("up", F.shiftrightunsigned("trie", step))
         child = saved(child.join(busy, ["turn", "up"], "left_semi"))
-        left = child.select("turn", F.col("up").alias("a"), F.col("node").alias("a2"), F.col("n").alias("na"))
-        right = child.select("turn", F.col("up").alias("b"), F.col("node").alias("b2"), F.col("n").alias("nb"))
+        left = child.select("turn", F.col("up").alias("a"), F.col("trie").alias("a2"), F.col("n").alias("na"))
+        right = child.select("turn", F.col("up").alias("b"), F.col("trie").alias("b2"), F.col("n").alias("nb"))
         err = F.col("err") + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")).bitwiseAND(F.lit((1 << step) - 1)))
         down = big.select("turn", "a", "b", "err").join(left, ["turn", "a"]).join(right, ["turn", "b"]).withColumn("err", err)
-        within = F.col("err") <= (first if depth <= 32 else max_bits)
+        within = F.col("err") <= (first if depth <= 32 else most)
         ordered = (F.col("a") != F.col("b")) | (F.col("a2") <= F.col("b2"))
         pairs = saved(down.filter(within & ordered).select("turn", F.col("a2").alias("a"), F.col("b2").alias("b"), "na", "nb", "err", F.lit(depth).alias("depth")))
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
-        pdf = pdf.assign(bits=pdf["key"].to_numpy().view(np.uint64)).sort_values(["second", "bits"])
-        keys = pdf["bits"].to_numpy()
-        label = walk(keys, int((~pdf["second"]).sum()), bool(row["a"] == row["b"]), int(row["depth"]), int(row["err"]), max_bits, first)
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        back = lambda k: ((k << np.uint64(32)) | (k >> np.uint64(32))) if row["turn"] else k
-        return pd.DataFrame({"u": back(keys[moved]).view(np.int64), "v": back(keys[label[moved]]).view(np.int64)})
+        same, depth, err = bool(row["a"] == row["b"]), int(row["depth"]), int(row["err"])
+        keys, second = pdf["key"].to_numpy().view(np.uint64), pdf["second"].to_numpy(bool)
+        order = np.lexsort((keys, second))
+        keys, rest, node = keys[order], pdf["rest"].to_numpy().view(np.uint64)[order], pdf["node"].to_numpy()[order]
+        split, label = int((~second).sum()), np.arange(len(keys))
+        found = np.concatenate([x for first, most in budgets for x in walk(keys, rest, split, same, depth, err, most, first, label)])
+        return pd.DataFrame({"u": node[found[:, 0]], "v": node[found[:, 1]]})
 
     out = None
     for part in walked:
@@ -213,7 +280,8 @@ def components(edges: DataFrame) -> DataFrame:
 def grouped(marked: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
     """(fp, root, component_id) for each fingerprint of ``marked`` (id, fp): the smallest fingerprint and the smallest id of its component."""
     fps = saved(marked.groupBy("fp").agg(F.min("id").alias("id")))
-    comp = saved(components(links(fps.select("fp"), max_bits, leaf)))
+    both = in_turns(fps.select(F.col("fp").alias("node")), *halves(F.col("node")))
+    comp = saved(components(links(both, fps.count(), [(max_bits // 2, max_bits)], leaf)))
     linked = saved(comp.join(fps, comp["node"] == fps["fp"]).select("fp", "root", "id"))
     least = linked.groupBy("root").agg(F.min("id").alias("component_id"))
     named = linked.join(least, "root").select("fp", "root", "component_id")
@@ -239,19 +307,50 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     return marked.join(named, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
+def similar(docs: DataFrame, id_col: str, text_col: str, width: int, least: float, budgets: Sequence[tuple[int, int]], leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, digest, hi, lo) of the documents, and (hi, lo, root) of their fingerprints: those joined by confirmed links share a root.
+
+    Links that the trie self-join finds are confirmed by the Jaccard similarity of the
+    whole texts' shingles, worked out in Spark for the texts that have any.
+    """
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    marked = docs.select(F.col(id_col).alias("id"), digest.alias("digest"), wide_fingerprints(F.col(text_col), width).alias("fp"))
+    marked = saved(marked.select("id", "digest", "fp.hi", "fp.lo"))
+    nodes = saved(marked.groupBy("hi", "lo").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "digest")).alias("x")).withColumn("node", F.xxhash64("hi", "lo")))
+    both = in_turns(nodes, *halves(F.col("hi")), *halves(F.col("lo")))
+    n = nodes.count()
+    # At least a few nodes, so that a small table too is walked by several tasks.
+    found = links(both, n, budgets, min(leaf, max(4096, n // 4)))
+    found = saved(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    met = found.select(F.col("u").alias("node")).union(found.select("v")).distinct()
+    wanted = nodes.join(met, "node", "left_semi").select("node", F.col("x.id").alias("wanted_id"), F.col("x.digest").alias("wanted_digest"))
+    texts = docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).alias("text"))
+    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("digest") == F.col("wanted_digest"))).select("node", "text")
+    sets = saved(texts.dropDuplicates(["node"]).select("node", shingle_sets(F.col("text"), width).alias("s")))
+    pairs = found.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    confirmed = pairs.filter(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
+    comp = saved(components(confirmed))
+    named = nodes.join(comp, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
+    return marked, named
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, least: float = LEAST, budgets: Sequence[tuple[int, int]] = BUDGETS, leaf: int = WIDE_LEAF) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest id; all columns stay.
 
-    Rows are told apart by id and digest of the text, groups by their root: so a null or
-    repeated id costs no document, and a document without an id stays where its group has no other.
+    Texts are linked whose shingles of ``width`` words have a Jaccard similarity of
+    ``least`` or more, among those that the trie self-join of 128-bit fingerprints brings
+    together within ``budgets``. Rows are told apart by id and digest of the text, groups by
+    their root: so a null or repeated id costs no document, and a document without an id
+    stays where its group has no other. Texts without a word are one group; an empty
+    table gives an empty result.
     """
     require(docs, (id_col, text_col))
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    marked = saved(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), fingerprints(F.col(text_col), width).alias("fp")))
-    named = grouped(marked, max_bits, leaf)
-    each = marked.groupBy("fp", "id", "digest").agg(F.count("*").alias("n"))
-    first = each.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "digest", "n")).alias("x"))
-    stays = named.join(first, "fp").groupBy("root").agg(F.min("x").alias("x"))
+    marked, named = similar(docs, id_col, text_col, width, least, budgets, leaf)
+    each = marked.groupBy("hi", "lo", "id", "digest").agg(F.count("*").alias("n"))
+    first = each.groupBy("hi", "lo").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "digest", "n")).alias("x"))
+    stays = named.join(first, ["hi", "lo"]).groupBy("root").agg(F.min("x").alias("x"))
     key, text_key = fresh(docs, "near_key"), fresh(docs, "near_digest")
     stays = saved(stays.select(F.col("x.id").alias(key), F.col("x.digest").alias(text_key), "x.n"))
     rest = docs.join(stays.select(key, text_key), F.col(id_col).eqNullSafe(F.col(key)) & (digest == F.col(text_key)), "left_semi")

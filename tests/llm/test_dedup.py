@@ -97,7 +97,9 @@ def test_walk_finds_all_links():
                 x ^= 1 << int(k)
             keys.append(x)
     keys = np.array(sorted(set(keys)), np.uint64)
-    label = walk(keys, len(keys), True, 0, 0, 3, 3)
+    label = np.arange(len(keys))
+    found = np.concatenate(walk(keys, np.zeros_like(keys), len(keys), True, 0, 0, 3, 3, label))
+    assert all((int(keys[i]) ^ int(keys[j])).bit_count() <= 3 for i, j in found)
     want = slow_components([int(k) for k in keys])
     assert len(set(zip(label.tolist(), want, strict=True))) == len(set(label.tolist())) == len(set(want))
 
@@ -127,8 +129,52 @@ def test_simhash_edges(edges, nothing):
     empty = {r["component_id"] for r in out if r["fingerprint"] == "0" * 16}
     assert empty == {3}
     kept = drop_near_copies(edges)
-    assert kept.columns == edges.columns
-    assert kept.count() == len({r["component_id"] for r in out})
+    assert kept.columns == edges.columns and drop_near_copies(nothing).count() == 0
+    rows = edges.collect()
+    want = near_groups([r["text"] for r in rows])
+    assert kept.count() == len(set(want))
+
+
+def near_groups(texts, least=0.8):
+    """The group of each text by definition: a chain of pairs whose sets of five-word shingles are similar enough."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()})
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return [root(x) for x in range(len(sets))]
+
+
+def test_near_copies_are_those_of_brute_force(make):
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(500)]
+    rows = []
+    for k in range(40):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([3, 8, 150, 400]))]
+        for n_edits in (0, 1, 1, 2, len(words) // 20):
+            copy = list(words)
+            for _ in range(n_edits):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy), "en", "a"))
+    # A large group of copies of one text, each with an edit of its own, and one where a third of each text is shared.
+    long = [rng.choice(vocabulary) for _ in range(200)]
+    for k in range(300):
+        rows.append((len(rows), " ".join([*long[: k % 200], f"own{k}", *long[k % 200 + 1 :]]), "en", "a"))
+        rows.append((len(rows), " ".join([*long[:60], *(rng.choice(vocabulary) for _ in range(120))]), "en", "a"))
+    kept = {r["doc_id"] for r in drop_near_copies(make(rows).repartition(3)).collect()}
+    want = near_groups([t for _, t, *_ in rows])
+    assert kept == set(want)
 
 
 def test_drop_near_copies_keeps_one_of_each_group_whatever_the_ids(make):
