@@ -87,8 +87,8 @@ class Lattices:
     """Lattices of segments as flat arrays, filtered forwards once for each distinct segment.
 
     A node is a place in a segment; its edges come from earlier places. ``bound`` holds
-    for each edge the share of its node's probability up to and with this edge, ``back``
-    how many places before the edge starts.
+    for each edge the share of its node's probability up to and with this edge, in units of
+    2^-32, ``back`` how many places before the edge starts.
     """
 
     def __init__(self, pieces: Pieces, alpha: float):
@@ -110,7 +110,7 @@ class Lattices:
     def clear(self) -> None:
         self.of: dict[str, int] = {}
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each segment: its first node, its nodes
-        self.bound, self.back, self.piece = np.zeros(0, np.float32), np.zeros(0, np.uint8), np.zeros(0, np.int32)  # of each edge
+        self.bound, self.back, self.piece = np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(0, np.int32)  # of each edge
         self.edges_to = np.zeros(0, np.int64)  # of each node: the number of edges up to and with its own
 
     def edges(self, code: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -165,13 +165,14 @@ class Lattices:
         share = np.exp(mass[source] + weight - mass[node])
         per_node = np.bincount(node, minlength=len(mass))
         last = np.cumsum(per_node) - 1
-        up = np.cumsum(share)
-        before = np.where(last - per_node >= 0, up[np.maximum(last - per_node, 0)], 0.0)
-        up = np.clip(up - before[node], 0.0, 1.0)
-        up[last[per_node > 0]] = 1.0
+        # Shares are added up inside each node, so that a bound does not depend on the segments beside it.
+        for nth in range(1, per_node.max(initial=0)):
+            edge = last[per_node > nth] - per_node[per_node > nth] + 1 + nth
+            share[edge] += share[edge - 1]
+        up = np.minimum(np.floor(share * 2.0**32), 2.0**32 - 1).astype(np.uint32)
         base = len(self.edges_to)
         self.edges_to = np.concatenate((self.edges_to, last + len(self.bound) + 1))
-        self.bound = np.concatenate((self.bound, up.astype(np.float32)))
+        self.bound = np.concatenate((self.bound, up))
         self.back = np.concatenate((self.back, (node - source).astype(np.uint8)))
         self.piece = np.concatenate((self.piece, piece))
         self.of.update(zip(new, range(len(self.first), len(self.first) + len(new)), strict=True))
@@ -204,11 +205,11 @@ def spelled(ids: np.ndarray, ends: np.ndarray, byte_ids: np.ndarray) -> tuple[np
 
 
 def uniform(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Numbers in [0, 1) that depend on seed and place alone (SplitMix64)."""
+    """Numbers of 32 bits that depend on seed and place alone (SplitMix64)."""
     x = seed + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
 
 
 def encode_batch(lattices: Lattices, texts: list[str | None], keys: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +233,7 @@ def encode_batch(lattices: Lattices, texts: list[str | None], keys: list[str], s
     left = np.argsort(number, kind="stable")
     at, steps, count = (start + n - 1)[left], [], np.zeros(len(number), np.int64)
     while len(left):
-        draw = uniform(seeds[left], before[left] + at - start[left]).astype(np.float32)
+        draw = uniform(seeds[left], before[left] + at - start[left])
         edge = edges_to[at - 1]
         below = np.flatnonzero((bound[edge] <= draw) & (edge + 1 < edges_to[at]))
         while len(below):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm.html_extraction import blocks, extract, style_tree
-from quarry.llm.sentencepiece_sampling import LITERAL, SPACE, Lattices, Pieces, decode, decode_ids, encode, encode_batch
+from quarry.llm.sentencepiece_sampling import LITERAL, SPACE, Lattices, Pieces, decode, decode_ids, encode, encode_batch, segments
 from quarry.llm.url_filter import RULES, url_filter
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav>
@@ -196,6 +196,20 @@ def test_round_trip_and_batches(pieces):
     assert LITERAL not in "".join(TEXTS)
 
 
+def test_bounds_do_not_depend_on_the_batch(spark, pieces):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(300).collect()]
+    parts = list(dict.fromkeys(x for t in texts if t for x in segments(SPACE + t.replace(" ", SPACE), pieces.bounded)))
+    every = Lattices(pieces, 0.5)
+    every.add(parts)
+    at, some = 0, Lattices(pieces, 0.5)
+    for k in range(0, len(parts), 7):
+        some.clear()
+        some.add(parts[k : k + 7])
+        assert np.array_equal(some.bound, every.bound[at : at + len(some.bound)]) and np.array_equal(some.piece, every.piece[at : at + len(some.bound)])
+        at += len(some.bound)
+    assert at == len(every.bound) and len(parts) > 10_000
+
+
 def test_encode(edges, nothing):
     out = encode(edges)
     assert out.columns == [*edges.columns, "ids", "lossless"]
