@@ -216,7 +216,7 @@ def parsed(markup: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [blocks(h if isinstance(h, str) else None, markup) for h in batch["html"]]
-            yield batch.drop(columns="html").assign(blocks=[[{"path": p, "part": k, "doubt": d, "text": t} for p, k, d, t in page] for page in found])
+            yield batch.drop(columns="html").assign(blocks=[[{"path": p, "part": k, "doubt": d, "chars": len(t), "text": t} for p, k, d, t in page] for page in found])
 
     return run
 
@@ -286,7 +286,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.monotonically_increasing_id().alias("row"), F.col(html_col).cast("string").alias("html"))
     id_type = pages.schema[id_col].dataType.simpleString()
     url_type = pages.schema[url_col].dataType.simpleString()
-    trees = saved(slim.mapInPandas(parsed(markup), f"id {id_type}, url {url_type}, host string, row long, blocks array<struct<path: long, part: int, doubt: boolean, text: string>>"))
+    trees = saved(slim.mapInPandas(parsed(markup), f"id {id_type}, url {url_type}, host string, row long, blocks array<struct<path: long, part: int, doubt: boolean, chars: int, text: string>>"))
     told = style_tree(trees).filter(F.col("importance") < F.when(F.col("doubt"), LEAST_OPEN).otherwise(LEAST))
     told = saved(told.select("host", "path"))
     if told.count() <= broadcast:
@@ -294,9 +294,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     else:
         held = trees.select("row", "host", F.explode(F.array_distinct("blocks.path")).alias("path"))
         both = trees.join(held.join(told, ["host", "path"]).groupBy("row").agg(F.collect_list("path").alias("low")), "row", "left")
-    kept = F.filter("blocks", lambda b: ~within(b["path"], F.col("low")))
-    both = both.select("id", "url", kept.alias("kept"))
-    chars = lambda which: F.aggregate(F.filter("kept", lambda b: b["part"] == which), F.lit(0), lambda n, b: n + F.length(b["text"]))
-    both = both.withColumn("beside", chars(PLAIN) > chars(MAIN))
-    text = F.array_join(F.transform(F.filter("kept", lambda b: F.col("beside") | (b["part"] == MAIN)), lambda b: b["text"]), "\n")
+    low = lambda b: within(b["path"], F.col("low"))
+    more = lambda b, part: F.when((b["part"] == part) & ~low(b), b["chars"]).otherwise(0)
+    beside = F.aggregate("blocks", F.lit(0), lambda n, b: n + more(b, PLAIN) - more(b, MAIN)) > 0
+    both = both.select("id", "url", "blocks", "low", beside.alias("beside"))
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: (F.col("beside") | (b["part"] == MAIN)) & ~low(b)), lambda b: b["text"]), "\n")
     return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
