@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import uuid
 from collections.abc import Iterable
 
@@ -28,9 +29,27 @@ FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/quarry"
+    """The folder of this application under the one that driver and executors share (``spark.checkpoint.dir``).
+
+    Where that is unset a local folder will do for a local master alone: on a cluster each
+    executor would write to its own disk.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or '/tmp/checkpoints').rstrip('/')}/quarry/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; results that were not written yet are lost with them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def all_columns(df: DataFrame) -> Column:
+    """A hash of a whole row: an order of rows that agree in their keys which no rerun changes."""
+    return F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh, normalised, require, saved
+from quarry.llm.common import all_columns, fresh, normalised, require, saved
 
 SUMMARY = "digest binary, n long"
 
@@ -62,7 +62,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the row with the smallest id stays. A Misra-Gries pass over the SHA-256 digests
     finds at most ``counters`` frequent ones; those that an exact count confirms
     (more than rows / (counters + 1)) are broadcast and their rows decided where they
-    lie. All other digests, each with a bounded share of the rows, are shuffled.
+    lie. All other digests are shuffled: summed up by digest, and the sums joined back.
 
     Edge cases: null text counts as empty, and all empty texts form one group; a null
     id sorts last within its group; of rows that repeat the same id and text exactly
@@ -79,8 +79,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winners = hashed.join(candidates, "digest", "left_semi").groupBy("digest").agg(F.min(rank).alias("keep"), F.count("*").alias("group_size")).filter(F.col("group_size") > least)
     # At most `counters` rows: collected once so that both joins see the same small table.
     winners = F.broadcast(spark.createDataFrame(winners.collect(), winners.schema))
-    same = Window.partitionBy("digest")
-    light = hashed.join(winners.select("digest"), "digest", "left_anti").select("id", "row", "digest", F.min(rank).over(same).alias("keep"), F.count("*").over(same).alias("group_size"))
+    # Sums by digest are joined back rather than windowed: no task holds a group of copies.
+    rest = hashed.join(winners.select("digest"), "digest", "left_anti")
+    sums = rest.groupBy("digest").agg(F.min(rank).alias("keep"), F.count("*").alias("group_size"))
+    light = rest.join(sums, "digest").select("id", "row", "digest", "keep", "group_size")
     heavy = hashed.join(winners, "digest").select("id", "row", "digest", "keep", "group_size")
     return light.unionByName(heavy).select(
         F.col("id").alias(id_col),
@@ -104,5 +106,5 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     joined = docs.join(kept, same, "left_semi")
     if decided.filter(~F.col("kept") & F.col(id_col).eqNullSafe(F.col("keep_id"))).isEmpty():
         return joined
-    once = Window.partitionBy(id_col, F.sha2(normalised(F.col(text_col)), 256)).orderBy(F.lit(1))
+    once = Window.partitionBy(id_col, F.sha2(normalised(F.col(text_col)), 256)).orderBy(all_columns(docs))
     return joined.withColumn(copy, F.row_number().over(once)).filter(F.col(copy) == 1).select(*docs.columns)

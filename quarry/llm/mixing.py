@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, fresh, require, saved
+from quarry.llm.common import WORD, all_columns, fresh, require, saved
 
 # Weights of the sources in code point order, repeating; the share of all words to take; the most copies.
 WEIGHTS = (3, 1, 2)
@@ -156,7 +156,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     per_id = taken.groupBy(F.col(id_col).alias(key), F.col("size").alias(size)).agg(F.sum("copies").alias(copies), F.count("*").alias(at))
     joined = docs.join(per_id, F.col(id_col).eqNullSafe(F.col(key)) & (n_words(F.col(text_col)) == F.col(size)))
     if not per_id.filter(F.col(at) > 1).isEmpty():
-        turn = Window.partitionBy(key, size).orderBy(F.lit(1))
+        turn = Window.partitionBy(key, size).orderBy(all_columns(docs))
         nth = F.row_number().over(turn)
         joined = joined.withColumn(copies, F.floor((F.col(copies) + F.col(at) - nth) / F.col(at)))
     times = F.sequence(F.lit(1), F.col(copies).cast("int"))
