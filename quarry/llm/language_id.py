@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import received, remainder, require, spread
 
 #: Documents of each language that are learnt from, at most.
-SAMPLE, SALTS = 2_000, 32
+SAMPLE, SALTS = 4_000, 32
 #: Longest n-gram; least occurrences in the sample for a word and for an n-gram.
 LONGEST, WORD_LEAST, GRAM_LEAST = 5, 3, 5
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -150,9 +150,12 @@ class Scorer:
 def learnt(docs: DataFrame, trainable: Column, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` documents of each language, the first of each share in the order of a hash of the id."""
     usable = docs.filter(trainable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    # Each language is dealt to SALTS shares, so that a frequent one is not ranked in one task.
-    first = Window.partitionBy("lang", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SALTS))).orderBy(F.xxhash64("id"), "id")
-    ids = usable.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= max(1, sample // SALTS)).select("id").distinct()
+    # Hashes are even, so the first n of a language lie below about n / total of their range; only twice that is ranked, dealt to SALTS shares.
+    totals = usable.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * sample / F.count("*")).alias("part"))
+    h = F.xxhash64("id")
+    near = usable.join(totals, "lang").filter(h <= (F.lit(-(2.0**63)) + F.col("part") * (2.0**64 - 4096)).cast("long"))
+    first = Window.partitionBy("lang", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SALTS))).orderBy(h, "id")
+    ids = near.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= max(1, sample // SALTS)).select("id").distinct()
     texts = docs.filter(trainable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     counted = texts.join(F.broadcast(ids), "id").select("lang", "text").mapInPandas(count, "lang string, kind int, term string, n long")
     total = counted.groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
