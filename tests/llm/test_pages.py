@@ -162,6 +162,23 @@ def test_url_filter(spark):
     assert url_filter(pages.limit(0), labels).count() == 0
 
 
+def test_rules_of_long_shared_paths(spark):
+    """Tokens that always come together are mined as one, and nested paths make no more rules than their number."""
+    rows, marks = [], []
+    for k in range(300):
+        bad = k % 3 == 0
+        depth = 20 if k % 2 else 5 + k % 15
+        path = "/".join(f"{'cheap' if bad else 'good'}{'abcdefghijklmnopqrst'[x]}" for x in range(depth))
+        rows.append((k, f"http://one.example.edu/{path}/x{k}"))
+        marks.append((k, 0 if bad else 1))
+    rows += [(1000, None), (1001, "http://other.example.edu/cheapa/" + "y/" * 3000), rows[0]]
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    began = time.perf_counter()
+    out = [(r["page_id"], r["verdict"]) for r in url_filter(pages, labels).collect()]
+    assert time.perf_counter() - began < 90
+    assert sorted(out) == sorted((i, "block" if i == 1001 or (i < 300 and i % 3 == 0) else "allow") for i, _ in rows)
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return Pieces.load()
@@ -230,6 +247,7 @@ def test_pipeline(spark, edges, tmp_path):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = f"{tmp_path}/{k}"
         before = docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
         stage(spark, docs, str(tmp_path)).write.parquet(out)
         docs = spark.read.parquet(out)
         counts.append(docs.count())

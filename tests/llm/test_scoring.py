@@ -200,6 +200,10 @@ def test_toxicity(spark, make, edges, nothing):
     assert sum(a == b for a, b in scored) / len(scored) > 0.95
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
     assert toxicity.toxicity(nothing, labels, held).count() == 0
+    # Rows that any given fold holds out are not learnt from: with all toxic rows held out there is one class, and the net keeps its start.
+    start = toxicity.learnt(make(rows), labels, F.lit(False))
+    without = toxicity.learnt(make(rows), labels, F.col("doc_id") % 4 != 0)
+    assert np.array_equal(start.out, without.out) and not np.array_equal(start.out, toxicity.learnt(make(rows), labels, F.col("doc_id") % 8 != 0).out)
     assert toxicity.toxicity(edges, labels.limit(0), held).count() == edges.count()
     assert toxicity.drop_toxic(make(rows), labels).columns == edges.columns
 
