@@ -49,8 +49,9 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_sel
     """(query_id, chunk_id, score, rank): exact cosine top k of every query over all ``vectors`` (chunk_id, embedding).
 
     Queries go out in blocks of bounded size; each Arrow batch of vectors is one matrix
-    product and sends at most k rows for each query on, so the shuffle carries
-    candidates, not pairs.
+    product and sends at most k rows for each query on, whatever ties, so the shuffle
+    carries candidates, not pairs. Scores are rounded to nine digits, as equal vectors give
+    scores that differ in their last digits by place in a batch; ties go to the lesser id.
     """
     spark = vectors.sparkSession
     numbered = queries.select("query_id", "embedding")
@@ -69,21 +70,23 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_sel
                     continue
                 cid = batch.column(0).to_numpy(zero_copy_only=False)
                 v = unit(np.array(batch.column(1).to_pylist(), dtype=float))
-                score = q @ v.T
+                score = np.round(q @ v.T, 9)
                 if exclude_self:
                     score[ids[:, None] == cid[None, :]] = -np.inf
                 m = min(k, len(cid))
-                # All that tie with the m-th best go on, so that ties are broken over the whole input.
-                floor = np.partition(score, len(cid) - m, axis=1)[:, len(cid) - m]
-                i, j = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+                # By id first: of those that tie with the m-th best, the first have the lesser ids.
+                by_id = np.argsort(cid, kind="stable")
+                cid, score = cid[by_id], score[:, by_id]
+                floor = np.partition(score, len(cid) - m, axis=1)[:, len(cid) - m, None]
+                above, tied = score > floor, score == floor
+                room = m - above.sum(axis=1, keepdims=True)
+                i, j = np.nonzero((above | (tied & (np.cumsum(tied, axis=1) <= room))) & (score > -np.inf))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(cid[j]), pa.array(score[i, j])], ["query_id", "chunk_id", "score"])
 
         found = vectors.select("chunk_id", "embedding").filter("embedding IS NOT NULL").mapInArrow(best, "query_id long, chunk_id long, score double")
         out = found if out is None else out.unionByName(found)
-    # Equal vectors give scores that differ in their last digits by place in a batch: ranks go by what is shown.
-    ranked = out.withColumn("score", F.round("score", 9))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def embed(df: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], text_col: str = "content", out_col: str = "embedding", batch: int = 50) -> DataFrame:

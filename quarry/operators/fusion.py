@@ -56,6 +56,18 @@ def fuse(hits: DataFrame, method: str = "rrf", weights: dict[str, float] | None
     return rrf(hits, k=k)
 
 
+def fusion_report(hits: DataFrame, constant: int = RRF_K) -> DataFrame:
+    """For each query: lists that were fused by reciprocal ranks, duplicates that went, mean score before and after."""
+    each = hits.groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.collect_set("path").alias("paths"), F.round(F.sum(1 / (constant + F.col("rank"))), 9).alias("s"))
+    n = F.sum("n")
+    return each.groupBy("query_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("paths")))).alias("lists"),
+        (n - F.count("*")).alias("duplicates"),
+        F.round(F.sum("total") / n, 6).alias("mean_before"),
+        F.round(F.avg("s"), 6).alias("mean_after"),
+    )
+
+
 def rule_rerank(hits: DataFrame) -> DataFrame:
     """Rule scores of hits with content, source and keywords; .3 of the score they had, .7 of the rules'."""
     body = F.lower("content")
@@ -78,9 +90,16 @@ def rrf_rerank(hits: DataFrame, paths: tuple[str, ...] = ("vector", "fulltext"),
     return out.withColumn("confidence", F.least(F.lit(1.0), 10 * F.col("score"))).withColumn("reason", F.concat(F.lit("RRF排名 #"), F.col("rank").cast("string")))
 
 
-def filter_results(hits: DataFrame, min_score: float | None = None, per_doc: bool = False, per_content: bool = False, extensions: tuple[str, ...] = (), rules: tuple[Column, ...] = ()) -> DataFrame:
-    """Drop by score, extension and own rules; then keep the first of each document, or of each content."""
-    for keep in (None if min_score is None else F.col("score") >= min_score, F.lower(F.regexp_extract("source", r"\.([^./]+)$", 1)).isin(*extensions) if extensions else None, *rules):
+def filter_results(hits: DataFrame, min_score: float | None = None, per_doc: bool = False, per_content: bool = False, extensions: tuple[str, ...] = (), languages: tuple[str, ...] = (), max_age: float | None = None, rules: tuple[Column, ...] = ()) -> DataFrame:
+    """Drop by score, extension, language (column ``lang``), age (column ``age_days``) and own rules; then keep the first of each document, or of each content."""
+    extension = F.lower(F.regexp_extract("source", r"\.([^./]+)$", 1))
+    tests = (
+        None if min_score is None else F.col("score") >= min_score,
+        extension.isin(*extensions) if extensions else None,
+        F.col("lang").isin(*languages) if languages else None,
+        None if max_age is None else F.col("age_days") <= max_age,
+    )
+    for keep in (*tests, *rules):
         hits = hits if keep is None else hits.filter(keep)
     for on, key in ((per_doc, F.col("doc_id")), (per_content, F.sha2("content", 256)) if per_content else (False, None)):
         if on:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import chosen
@@ -167,3 +167,32 @@ def coverage(hits: DataFrame) -> DataFrame:
     each = hits.withColumn("coverage", 0.7 * held(F.col("core")) + 0.3 * held(F.col("related")))
     mean = each.groupBy("query_id").agg(F.avg("coverage").alias("coverage"))
     return mean.withColumn("supplement", F.col("coverage") < 0.7)
+
+
+# Forms of a vague query with their kinds; tokens that each step may use, by complexity.
+VAGUE = (("那个什么.*", "vague-reference"), ("好像.*的样子", "uncertain"), ("类似.*的", "analogy"))
+BUDGET = {"complex": {"rewrite": 200, "decompose": 300, "rerank": 500}, "other": {"rewrite": 100, "decompose": 0, "rerank": 200}}
+
+
+def vague(text: Column) -> Column:
+    """The kind of a vague query, or null."""
+    return chosen(((text.rlike(pattern), F.lit(kind)) for pattern, kind in VAGUE), F.lit(None).cast("string"))
+
+
+def budget(parsed: DataFrame) -> DataFrame:
+    """Tokens that each step of a parsed query may use."""
+    share = lambda step: F.when(F.col("complexity") == "complex", BUDGET["complex"][step]).otherwise(BUDGET["other"][step]).alias(step)
+    return parsed.withColumn("budget", F.struct(*map(share, BUDGET["complex"])))
+
+
+def tfidf(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` heaviest tokens of each query: how often it has them, by how rare they are among the chunks."""
+    split = lambda text: F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    tf = queries.select("query_id", F.explode(split(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("tf"))
+    wanted = tf.select("token").distinct()
+    df = chunks.select(F.explode(F.array_distinct(split(F.col("content")))).alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    n = chunks.agg(F.count("*").alias("n"))
+    idf = F.ln((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    weighed = tf.join(df, "token", "left").join(F.broadcast(n), how="cross").withColumn("weight", F.round(F.col("tf") * idf, 6))
+    order = Window.partitionBy("query_id").orderBy(F.col("weight").desc(), "token")
+    return weighed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "token", "weight", "rank")

@@ -34,8 +34,9 @@ def fulltext_topk(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
     q = q.withColumn("token", longest["token"])
     body = chunks.select("chunk_id", F.lower("content").alias("body"))
     keyed = q.filter("token IS NOT NULL")
-    wanted = keyed.select("token").distinct()
-    met = body.withColumn("token", F.explode(F.array_distinct(F.split("body", r"\s+")))).join(wanted, "token", "left_semi").join(keyed, "token")
+    # Only ids and tokens meet; texts are fetched for those that did.
+    held = body.select("chunk_id", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("token"))
+    met = held.join(keyed, "token").drop("token").join(body, "chunk_id")
     hits = met.filter(F.col("body").contains(F.col("needle"))).select("query_id", "chunk_id")
     short = q.filter("token IS NULL").select("query_id", "needle")
     rest = body.join(short, F.col("body").contains(F.col("needle"))).select("query_id", "chunk_id")
@@ -57,12 +58,13 @@ def code_recall(vectors: DataFrame, kinds: DataFrame, queries: DataFrame, k: int
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 over distinct query tokens. Only postings of query tokens are shuffled; lengths and document counts are sums."""
+    """BM25 over distinct query tokens. Only postings of query tokens are shuffled, by chunk: so a chunk's scores for all
+    queries are added up where its postings lie, and only the best of each query go on."""
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
     wanted = q.select("token").distinct()
     terms = chunks.select("chunk_id", tokens(F.col("content")).alias("t"))
     size = terms.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    postings = terms.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("token")).join(wanted, "token", "left_semi").groupBy("token", "chunk_id", "len").agg(F.count("*").alias("tf"))
+    postings = terms.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("token")).join(wanted, "token", "left_semi").repartition("chunk_id").groupBy("chunk_id", "token", "len").agg(F.count("*").alias("tf"))
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
     n, mean = size.first()
     idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -79,6 +81,13 @@ def merge_recalls(hits: DataFrame, path_order: Column, limit: int = 40) -> DataF
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("seen")
 
 
+def normalised(hits: DataFrame) -> DataFrame:
+    """Scores of each query and path brought to 0..1, so that paths on different scales can be merged; one score alone, or equal ones, are 1."""
+    w = Window.partitionBy("query_id", "path")
+    low, high = F.min("score").over(w), F.max("score").over(w)
+    return hits.withColumn("score", F.round(F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0), 9))
+
+
 def hybrid_concat(vector_hits: DataFrame, text_hits: DataFrame, k: int = 10) -> DataFrame:
     """Vector hits, then the full-text hits they lack, cut to k."""
     rest = text_hits.join(vector_hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
@@ -105,3 +114,11 @@ def in_all(hits: DataFrame, n_conditions: int) -> DataFrame:
     """Chunks that every condition of a query found (column ``condition``), with their mean score."""
     met = hits.groupBy("query_id", "chunk_id").agg(F.countDistinct("condition").alias("n"), F.avg("score").alias("score"))
     return met.filter(F.col("n") == n_conditions).drop("n")
+
+
+def weighted_conditions(hits: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Chunks that any condition of a query found, with the weighted sum of their scores; a condition without a weight counts once."""
+    w = F.lit(1.0)
+    for name, x in weights.items():
+        w = F.when(F.col("condition") == name, F.lit(float(x))).otherwise(w)
+    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("score") * w), 9).alias("score"))

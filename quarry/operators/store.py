@@ -10,7 +10,7 @@ from quarry.functions.text import chosen
 # What is not to be indexed, the largest file without a warning, searches a minute.
 SENSITIVE = (".env", "secret", "credential", "password", "key.pem", "id_rsa", ".git")
 MOST_BYTES, MOST_SEARCHES = 10 * 1024 * 1024, 100
-RECENT = 100
+RECENT, PREVIEW = 100, 500
 
 
 def upsert(stored: DataFrame, changes: DataFrame, key: str = "id", version: str = "indexed_at") -> DataFrame:
@@ -45,6 +45,13 @@ def listing(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return documents.join(n, "doc_id", "left").withColumn("chunks_count", F.coalesce("chunks_count", F.lit(0)))
 
 
+def view(documents: DataFrame, chunks: DataFrame, preview: int = PREVIEW) -> DataFrame:
+    """Each document with the beginning of its content and its chunks in order of position; join ids to look some up."""
+    parts = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos"))).alias("chunks"))
+    shown = documents.select("doc_id", "path", F.left("content", F.lit(preview)).alias("preview"))
+    return shown.join(parts, "doc_id", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast("array<struct<start_pos: int, end_pos: int>>")))
+
+
 def recent(rows: DataFrame, by: Column, order: list[Column], most: int = RECENT) -> DataFrame:
     """The newest ``most`` rows of each group."""
     nth = F.row_number().over(Window.partitionBy(by).orderBy(*order))
@@ -82,6 +89,20 @@ def sync(server: DataFrame, local: DataFrame, key: str, value: str, version: str
     return both.select(key, F.when(use_local, F.col("lv")).otherwise(F.col("sv")).alias(value), F.when(use_local, F.lit("local")).otherwise(F.lit("server")).alias("origin"), conflict.alias("conflict"))
 
 
+def pending(server: DataFrame, local: DataFrame, key: str, value: str, version: str, since: Column | None = None) -> DataFrame:
+    """What an incremental sync moves: keys that either side lacks or holds differently, and in which direction.
+
+    With ``since``, only rows changed after it are compared. Equal rows drop out before
+    the sides meet in full, so a small change moves little.
+    """
+    new = lambda df: df if since is None else df.filter(F.col(version) > since)
+    up = new(local).join(server.select(key, value), [key, value], "left_anti").select(key, F.col(version).alias("lt"))
+    down = new(server).join(local.select(key, value), [key, value], "left_anti").select(key, F.col(version).alias("st"))
+    both = up.join(down, key, "full_outer")
+    upload = F.col("st").isNull() | (F.col("lt") > F.col("st"))
+    return both.select(key, F.when(upload, F.lit("upload")).otherwise(F.lit("download")).alias("direction"))
+
+
 def cache_victims(entries: DataFrame, now: Column, room: int) -> DataFrame:
     """What leaves a cache: expired entries, then those with the fewest hits, oldest first, until ``room`` stay."""
     live = entries.filter(F.col("expires_at") > now)

@@ -25,8 +25,8 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query for each benchmark passage: its first 40 characters."""
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(40)).alias("query"))
+    """A query for each benchmark passage: the whole of it."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,13 +161,16 @@ def code_topk(spark, d):
 def tiered(spark, d):
     asked = text_queries(spark, d).withColumn("query_id", F.col("query_id") * 50)
     out = recall.tiered(whole_documents(spark, d), vectors(spark, d), asked, vector_queries(spark, d), fusion.path_rank(("bm25", "vector")))
-    return out.filter("rank <= 20").select("query_id", "chunk_id", "path", F.round("score", 6).alias("score"), "rank")
+    words = asked.select("query_id", F.slice(recall.tokens(F.col("query")), 1, 5).alias("keywords"))
+    docs = corpus(spark, d).select(F.col("doc_id").alias("chunk_id"), "content", F.col("path").alias("source"))
+    best = fusion.rule_rerank(out.filter("rank <= 50").join(docs, "chunk_id").join(words, "query_id"))
+    return best.filter("rank <= 20").select("query_id", "chunk_id", "path", F.col("rerank_score").alias("score"), "rank")
 
 
 def semantic_cache(spark, d):
-    """Whether an earlier query is near enough to answer: the nearest other query, at a cosine of .95 or more."""
+    """Whether a query that was answered before is near enough: the nearest other vector, at a cosine of .95 or more."""
     q = vector_queries(spark, d)
-    best = recall.vector_recall(q.withColumnRenamed("query_id", "chunk_id"), q, 1)
+    best = recall.vector_recall(vectors(spark, d), q, 1)
     return q.select("query_id").join(best.select("query_id", F.col("chunk_id").alias("nearest"), F.round("score", 6).alias("score")), "query_id", "left").withColumn("hit", F.coalesce(F.col("score") > 0.95, F.lit(False)))
 
 
@@ -210,7 +213,7 @@ def fuse_weighted_rrf(spark, d):
 
 
 def rrf_rerank(spark, d):
-    return six(fusion.rrf_rerank(both_hits(spark, d))).join(fusion.rrf_rerank(both_hits(spark, d)).select("query_id", "chunk_id", F.round("confidence", 6).alias("confidence"), "reason"), ["query_id", "chunk_id"])
+    return six(fusion.rrf_rerank(both_hits(spark, d)).withColumn("confidence", F.round("confidence", 6)), "confidence", "reason")
 
 
 def reranked(spark, d):
@@ -221,7 +224,7 @@ def reranked(spark, d):
 
 
 def rule_rerank(spark, d):
-    return reranked(spark, d).select("query_id", "chunk_id", *(F.round(c, 6).alias(c) for c in ("exact", "density", "source_quality", "rerank_score", "confidence")), "reason")
+    return reranked(spark, d).select("query_id", "chunk_id", *(F.round(c, 6).alias(c) for c in ("exact", "density", "source_quality", "confidence")), "rerank_score", "reason")
 
 
 def result_filter(spark, d):
@@ -305,6 +308,56 @@ def metrics_last100(spark, d):
     return store.moving_mean(e, "value", "event_type", ["ts", "event_id"])
 
 
+def doc_view(spark, d):
+    at = F.transform("chunks", lambda c: F.concat_ws("-", c["start_pos"].cast("string"), c["end_pos"].cast("string")))
+    return store.view(corpus(spark, d), chunking.fixed_size(corpus(spark, d))).select("doc_id", "path", "preview", F.array_join(at, ",").alias("chunks"))
+
+
+def store_delta(spark, d):
+    return store.pending(stored(spark, d), changed(spark, d), "id", "n_chars", "indexed_at")
+
+
+def recall_normalised(spark, d):
+    asked = text_queries(spark, d).withColumn("query_id", F.col("query_id") * 50)
+    hits = recall.bm25_topk(whole_documents(spark, d), asked, 20).unionByName(recall.vector_recall(vectors(spark, d), vector_queries(spark, d), 20))
+    out = recall.merge_recalls(recall.normalised(hits), fusion.path_rank(("bm25", "vector")), 20)
+    return out.select("query_id", "chunk_id", "path", "score", "rank")
+
+
+def fusion_report(spark, d):
+    return fusion.fusion_report(both_hits(spark, d))
+
+
+def result_filter_language(spark, d):
+    told = reranked(spark, d).join(read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang"), "chunk_id")
+    out = fusion.filter_results(told, min_score=1.0, per_doc=True, languages=("en", "fr"))
+    return out.select("query_id", "chunk_id", "rank")
+
+
+def multi_condition(spark, d):
+    """Two conditions for each passage, the first five tokens and the rest: what meets both, and the weighted sum of each."""
+    t = recall.tokens(F.col("query"))
+    part = lambda name, words: recall.bm25_topk(whole_documents(spark, d), text_queries(spark, d).withColumn("query", F.array_join(words, " ")), 50).withColumn("condition", F.lit(name))
+    hits = part("head", F.slice(t, 1, 5)).unionByName(part("rest", F.slice(t, 6, 1_000_000)))
+    both = recall.in_all(hits, 2).withColumnRenamed("score", "both")
+    out = recall.weighted_conditions(hits, {"head": 0.3, "rest": 0.7}).join(both, ["query_id", "chunk_id"], "left")
+    return out.select("query_id", "chunk_id", F.col("score").alias("weighted"), F.round("both", 9).alias("mean_of_both"))
+
+
+def query_tfidf(spark, d):
+    return query.tfidf(text_queries(spark, d), corpus(spark, d))
+
+
+def query_vague(spark, d):
+    q, n = F.col("query"), F.col("query_id") % 4
+    form = chosen(((n == 0, F.concat(F.lit("那个什么"), q)), (n == 1, F.concat(F.lit("好像"), q, F.lit("的样子"))), (n == 2, F.concat(F.lit("类似"), q, F.lit("的")))), q)
+    return questions(spark, d).withColumn("query", form).select("query_id", "query", query.vague(F.col("query")).alias("vague"))
+
+
+def query_budget(spark, d):
+    return query.budget(query.parse(questions(spark, d))).select("query_id", "budget.*")
+
+
 def rate_limit(spark, d):
     out = store.rate_limited(read(spark, d, "events").select("event_type", "ts"), "event_type", 2, "10 minutes")
     return out
@@ -353,6 +406,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fulltext_topk, bm25_topk, recall_merge, hybrid_concat, fuse_weighted, fuse_max, fuse_weighted_rrf, rrf_rerank, rule_rerank,
         result_filter, query_parse, query_route, query_decompose, query_expand, path_weights, eval_metrics, store_upsert, store_delete,
         store_stats, store_sync, doc_listing, history_last100, metrics_last100, rate_limit, constraint_check, event_health, span_report,
-        cache_stats, coverage, regression_report,
+        cache_stats, coverage, regression_report, doc_view, store_delta, recall_normalised, fusion_report, result_filter_language,
+        multi_condition, query_tfidf, query_vague, query_budget,
     )
 }

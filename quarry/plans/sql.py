@@ -38,7 +38,7 @@ VECTOR = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e, label FRO
 sims AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(q.e, v.embedding::DOUBLE[]), 9) AS score, v.label FROM q, embeddings v WHERE query_id <> vec_id),
 vhits AS (SELECT query_id, chunk_id, score, 'vector' AS path, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sims) WHERE rank <= 10)"""
 
-TEXT_QUERIES = "tq AS (SELECT item_id AS query_id, left(text, 40) AS query FROM benchmark)"
+TEXT_QUERIES = "tq AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 TEXT_HITS = DOCS + ", " + TEXT_QUERIES + """,
 thits AS (SELECT query_id, chunk_id, score, 'fulltext' AS path, rank FROM (
   SELECT query_id * 50 AS query_id, doc_id AS chunk_id, 0.5::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank
@@ -66,17 +66,23 @@ scored AS (
   FROM post JOIN df USING (token) JOIN qt USING (token), size GROUP BY ALL
 ), bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)"""
 
-RERANKED = BM25 + r""",
-kw AS (SELECT query_id, list_filter(string_split_regex(lower(query), '\s+'), lambda x: x <> '')[1:5] AS keywords FROM tq),
+
+
+def reranked(hits: str, factor: int = 1) -> str:
+    """Rule scores of ``hits`` (query_id, chunk_id, score, rank, path_found), for the keywords of the text queries."""
+    return rf"""kw AS (SELECT query_id * {factor} AS query_id, list_filter(string_split_regex(lower(query), '\s+'), lambda x: x <> '')[1:5] AS keywords FROM tq),
 feats AS (
-  SELECT bm.query_id, bm.chunk_id, bm.score, bm.rank, content, path AS source,
+  SELECT h.query_id, h.chunk_id, h.score, h.rank, h.path_found, content, docs.path AS source,
     len(list_filter(keywords, lambda w: contains(lower(content), w)))::DOUBLE / greatest(len(keywords), 1) AS exact,
     least(1.0::DOUBLE, list_sum(list_transform(keywords, lambda w: (length(content) - length(replace(lower(content), w, '')))::DOUBLE / length(w))) / greatest(length(content) / 100.0::DOUBLE, 1.0::DOUBLE)) AS density,
-    (CASE WHEN regexp_matches(path, '\.(md|ts)$') THEN 0.9 WHEN regexp_matches(path, '\.(js|py)$') THEN 0.85 WHEN path LIKE '%.json' THEN 0.7 ELSE 0.8 END)::DOUBLE AS source_quality
-  FROM bm JOIN docs ON doc_id = chunk_id JOIN kw ON kw.query_id = bm.query_id WHERE bm.rank <= 20
+    (CASE WHEN regexp_matches(docs.path, '\.(md|ts)$') THEN 0.9 WHEN regexp_matches(docs.path, '\.(js|py)$') THEN 0.85 WHEN docs.path LIKE '%.json' THEN 0.7 ELSE 0.8 END)::DOUBLE AS source_quality
+  FROM ({hits}) h JOIN docs ON doc_id = chunk_id JOIN kw ON kw.query_id = h.query_id
 ), rr AS (SELECT *, round(0.3::DOUBLE * score + 0.7::DOUBLE * (2.0 * exact + 0.5::DOUBLE * density + 0.1::DOUBLE + 0.3::DOUBLE * source_quality), 9) AS rerank_score FROM feats),
 ranked AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, chunk_id) AS rank FROM rr)"""
 
+
+RERANKED = BM25 + ", " + reranked("SELECT *, 'bm25' AS path_found FROM bm WHERE rank <= 20")
+
 FORMS = """forms AS (
   SELECT conv_id * 1000 + turn AS query_id, (conv_id + turn) % 10 AS n,
     coalesce(list_filter(string_split(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g'), ' '), lambda x: length(x) > 2)[1], 'alpha') AS a,
@@ -113,7 +119,7 @@ SQL["vector_topk"] = f"WITH {VECTOR} SELECT query_id, chunk_id, round(score, 6)
 SQL["code_topk"] = f"""WITH {VECTOR}, wide AS (SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM sims) WHERE r <= 20),
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM wide WHERE chunk_id % 6 BETWEEN 1 AND 3)
 SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM c WHERE rank <= 10"""
-SQL["semantic_cache"] = f"""WITH {VECTOR}, best AS (SELECT query_id, chunk_id AS nearest, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM sims WHERE chunk_id % 50 = 0) WHERE r = 1)
+SQL["semantic_cache"] = f"""WITH {VECTOR}, best AS (SELECT query_id, chunk_id AS nearest, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM sims) WHERE r = 1)
 SELECT q.query_id, nearest, score, coalesce(score > 0.95, false) AS hit FROM q LEFT JOIN best USING (query_id)"""
 SQL["recall_merge"] = f"""WITH {BOTH}, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY p, rank) AS nth FROM hits) WHERE nth = 1),
 m AS (SELECT query_id, chunk_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p, rank) AS r FROM once)
@@ -180,7 +186,7 @@ SQL["fulltext_topk"] = f"WITH {DOCS}, {TEXT_QUERIES}, {fixed('f', 500, 50)}" + "
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM h)
 SELECT * FROM r WHERE rank <= 10"""
 SQL["bm25_topk"] = f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM bm WHERE rank <= 10"
-SQL["rule_rerank"] = f"WITH {RERANKED}" + """ SELECT query_id, chunk_id, round(exact, 6) AS exact, round(density, 6) AS density, round(source_quality, 6) AS source_quality, round(rerank_score, 6) AS rerank_score,
+SQL["rule_rerank"] = f"WITH {RERANKED}" + """ SELECT query_id, chunk_id, round(exact, 6) AS exact, round(density, 6) AS density, round(source_quality, 6) AS source_quality, rerank_score,
   round(least(1.0, rerank_score / 3), 6) AS confidence, coalesce(nullif(concat_ws('，', CASE WHEN exact > 0.8 THEN '关键词高度匹配' END, CASE WHEN density > 0.5 THEN '关键词密度高' END, CASE WHEN source_quality > 0.8 THEN '来源质量高' END), ''), '相关性一般') AS reason FROM ranked"""
 SQL["result_filter"] = f"WITH {RERANKED}" + r""", ok AS (SELECT * FROM ranked WHERE score >= 1.0 AND regexp_matches(lower(source), '\.(md|ts|py|txt)$')),
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, content ORDER BY rank, chunk_id) AS nth FROM ok) WHERE nth = 1)
@@ -271,5 +277,41 @@ SELECT query_id, CASE WHEN dep THEN 'sequential' ELSE 'parallel' END AS fusion,
 SQL["tiered"] = f"WITH {VECTOR}, {BM25}" + """, fast AS (SELECT query_id * 50 AS query_id, chunk_id, score, rank, 'bm25' AS path, 0 AS p FROM bm WHERE rank <= 200),
 wide AS (SELECT query_id, chunk_id, score, rank, 'vector' AS path, 1 AS p FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sims) WHERE rank <= 100),
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY p, rank) AS nth FROM (FROM fast UNION ALL FROM wide)) WHERE nth = 1),
-m AS (SELECT query_id, chunk_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p, rank) AS r FROM once)
-SELECT query_id, chunk_id, path, round(score, 6) AS score, r AS rank FROM m WHERE r <= 20"""
+m AS (SELECT query_id, chunk_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p, rank) AS r FROM once), """ + reranked("SELECT query_id, chunk_id, score, r AS rank, path AS path_found FROM m WHERE r <= 50", 50) + """
+SELECT query_id, chunk_id, path_found AS path, rerank_score AS score, rank FROM ranked WHERE rank <= 20"""
+SQL["doc_view"] = f"WITH {DOCS}, {fixed('f', 500, 50)}, n AS (SELECT doc_id, string_agg(start_pos || '-' || end_pos, ',' ORDER BY start_pos) AS chunks FROM f GROUP BY ALL) SELECT doc_id, path, left(content, 500) AS preview, coalesce(chunks, '') AS chunks FROM docs LEFT JOIN n USING (doc_id)"
+SQL["store_delta"] = f"""WITH {DOCS}, {STORED}
+SELECT coalesce(s.id, c.id) AS id, CASE WHEN s.id IS NULL OR c.indexed_at > s.indexed_at THEN 'upload' ELSE 'download' END AS direction
+FROM stored s FULL JOIN changed c ON s.id = c.id WHERE s.id IS NULL OR c.id IS NULL OR s.n_chars <> c.n_chars"""
+SQL["recall_normalised"] = f"WITH {VECTOR}, {BM25}" + """, h AS (
+  SELECT query_id * 50 AS query_id, chunk_id, score, rank, 'bm25' AS path, 0 AS p FROM bm WHERE rank <= 20
+  UNION ALL SELECT query_id, chunk_id, score, rank, 'vector' AS path, 1 AS p FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sims) WHERE rank <= 20
+), scaled AS (
+  SELECT query_id, chunk_id, rank, path, p, CASE WHEN high > low THEN round((score - low) / (high - low), 9) ELSE 1.0 END AS score
+  FROM (SELECT *, min(score) OVER w AS low, max(score) OVER w AS high FROM h WINDOW w AS (PARTITION BY query_id, path))
+), once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY p, rank) AS nth FROM scaled) WHERE nth = 1)
+SELECT query_id, chunk_id, path, score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p, rank) AS r FROM once) WHERE r <= 20"""
+SQL["fusion_report"] = f"WITH {BOTH}" + """, f AS (SELECT query_id, chunk_id, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS s FROM hits GROUP BY ALL),
+b AS (SELECT query_id, count(DISTINCT path) AS lists, count(*) AS n, round(avg(score), 6) AS mean_before FROM hits GROUP BY ALL),
+a AS (SELECT query_id, count(*) AS m, round(avg(s), 6) AS mean_after FROM f GROUP BY ALL)
+SELECT query_id, lists, n - m AS duplicates, mean_before, mean_after FROM b JOIN a USING (query_id)"""
+SQL["result_filter_language"] = f"WITH {RERANKED}" + """, ok AS (SELECT ranked.* FROM ranked JOIN documents d ON d.doc_id = chunk_id WHERE score >= 1.0 AND d.lang IN ('en', 'fr'))
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS rank FROM ok"""
+
+
+def bm25_of(name: str, words: str) -> str:
+    """BM25 of the text queries cut to some of their tokens; tables with names of their own."""
+    return rf"""{name}_qt AS (SELECT DISTINCT query_id, unnest((list_filter(string_split_regex(lower(query), '\s+'), lambda x: x <> '')){words}) AS token FROM tq),
+{name}_s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score
+  FROM post JOIN df USING (token) JOIN {name}_qt USING (token), size GROUP BY ALL),
+{name} AS (SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {name}_s) WHERE rank <= 50)"""
+
+
+SQL["multi_condition"] = f"WITH {BM25}, {bm25_of('head', '[1:5]')}, {bm25_of('rest', '[6:]')}" + """, h AS (SELECT *, 0.3::DOUBLE AS w FROM head UNION ALL SELECT *, 0.7::DOUBLE AS w FROM rest)
+SELECT query_id, chunk_id, round(sum(score * w), 9) AS weighted, CASE WHEN count(*) = 2 THEN round(avg(score), 9) END AS mean_of_both FROM h GROUP BY ALL"""
+SQL["query_tfidf"] = f"WITH {BM25}" + r""", tf AS (SELECT query_id, token, count(*) AS tf FROM (SELECT query_id, unnest(list_filter(string_split_regex(lower(query), '\s+'), lambda x: x <> '')) AS token FROM tq) GROUP BY ALL),
+w AS (SELECT query_id, token, round(tf * (ln((1.0::DOUBLE + n) / (1 + coalesce(df, 0))) + 1), 6) AS weight FROM tf LEFT JOIN df USING (token), size)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, token) AS rank FROM w) WHERE rank <= 5"""
+SQL["query_vague"] = f"WITH {FORMS}" + """, v AS (SELECT query_id, CASE query_id % 4 WHEN 0 THEN '那个什么' || query WHEN 1 THEN '好像' || query || '的样子' WHEN 2 THEN '类似' || query || '的' ELSE query END AS query FROM asked)
+SELECT query_id, query, CASE WHEN regexp_matches(query, '那个什么.*') THEN 'vague-reference' WHEN regexp_matches(query, '好像.*的样子') THEN 'uncertain' WHEN regexp_matches(query, '类似.*的') THEN 'analogy' END AS vague FROM v"""
+SQL["query_budget"] = "SELECT query_id, CASE WHEN complexity = 'complex' THEN 200 ELSE 100 END AS rewrite, CASE WHEN complexity = 'complex' THEN 300 ELSE 0 END AS decompose, CASE WHEN complexity = 'complex' THEN 500 ELSE 200 END AS rerank FROM (" + SQL["query_parse"] + ")"
