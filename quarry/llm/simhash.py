@@ -17,7 +17,7 @@ from quarry.llm.common import fresh, require, saved, words_of
 WIDTH, SEED, MAX_BITS = 3, 42, 3
 #: Fingerprints under one trie node that a task takes on, on average; pairs of nodes larger than this squared, four times, are split first.
 LEAF = 16_384
-#: Shingles whose bits are added at a time, node pairs of the trie that are walked at a time, pairs of fingerprints that a leaf compares at once.
+#: Shingles whose bits are added at a time, node pairs of the trie that are walked at a time, pairs of fingerprints from which equal keys are compared one by one (leaves: a quarter at a time).
 CHUNK, WALK, MANY = 65_535, 200_000, 1 << 20
 #: Near copies of whole texts: words in a shingle, least Jaccard similarity, and budgets of bits in the first quarter and in all 128, tight ones first.
 NEAR_WIDTH, LEAST = 5, 0.8
@@ -153,7 +153,7 @@ def walk(keys: np.ndarray, rest: np.ndarray, split: int, same: bool, depth: int,
                 if (label[a0:a1] == label[a0]).all() and (label[b] == label[a0]).all():
                     break
         leaf = ((many <= 32) | (depth >= 64)) & ~large
-        for some in np.array_split(np.flatnonzero(leaf), 1 + int(many[leaf].sum()) // (4 * MANY)):
+        for some in np.array_split(np.flatnonzero(leaf), 1 + int(many[leaf].sum()) // (MANY // 4)):
             n = many[some]
             pair = np.repeat(some, n)
             nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
