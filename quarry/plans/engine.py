@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,42 +23,91 @@ PROMPTS = {
 class Engine:
     """A store under ``root``: tables documents and chunks, each change a new version of the folder.
 
-    A table is written in full under a new name before its pointer moves, so readers
-    and reruns never see half of it.
+    A table is written in full under a new name; then one row appended to the manifest
+    makes it the current one. So readers and reruns never see half of it, and another
+    engine on the same root finds what is there.
     """
 
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
         self.history: list[dict] = []
-        self.tables: dict[str, str] = {}
-
-    def _write(self, name: str, df: DataFrame) -> None:
-        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.tables[name] = path
+        self.tables: dict[str, str] = self._manifest()
+
+    def _manifest(self) -> dict[str, str]:
+        try:
+            rows = self.spark.read.parquet(f"{self.root}/manifest").groupBy("name").agg(F.max_by("path", "version").alias("path")).collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = []
+        return {r["name"]: r["path"] for r in rows}
+
+    def _write(self, **tables: DataFrame) -> None:
+        """Write tables and make all of them current at once."""
+        paths = {name: f"{self.root}/{name}/{uuid.uuid4().hex}" for name in tables}
+        for name, df in tables.items():
+            df.write.parquet(paths[name])
+        rows = [(name, path, time.time_ns()) for name, path in paths.items()]
+        self.spark.createDataFrame(rows, "name string, path string, version long").coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        self.tables |= paths
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.tables[name])
 
     def index(self, docs: DataFrame) -> DataFrame:
-        """Index documents (doc_id, path, content); those that are there already are replaced with all their chunks."""
-        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "content").withColumn("indexed_at", F.current_timestamp()).withColumn("size", F.length("content"))
-        chunks = chunking.index_chunks(docs)
-        chunks = with_mock_embedding(chunks.withColumn("chunk_id", F.xxhash64("doc_id", "ordinal")), "content", self.config.get("embedding.dimension"))
+        """Index documents (doc_id, path, content): the new state of the store, with how many were indexed, skipped and failed.
+
+        A document that is there already is replaced with all its chunks, but skipped
+        where its content is the same; one without content (a file that could not be
+        read) is an error and leaves the store as it is.
+        """
+        given = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "path", "content").withColumn("hash", F.sha2("content", 256))
+        good = given.filter("content IS NOT NULL")
         if "documents" in self.tables:
-            keep = store.delete(self.table("chunks"), docs, "doc_id")
-            self._write("documents", store.upsert(self.table("documents"), docs, "doc_id"))
-            self._write("chunks", keep.unionByName(chunks))
+            new = good.join(self.table("documents").select("doc_id", "hash"), ["doc_id", "hash"], "left_anti")
         else:
-            self._write("documents", docs)
-            self._write("chunks", chunks)
-        return self.status()
-
-    def search(self, queries: DataFrame, mode: str | None = None, k: int | None = None) -> DataFrame:
-        """Hits of ``queries`` (query_id, query) by vector, fulltext, code, hybrid (reciprocal ranks) or hybrid-concat."""
+            new = good
+        counts = [df.agg(F.count("*").alias(name)) for name, df in (("given", given), ("good", good), ("indexed", new))]
+        n = {k: v for df in counts for k, v in df.first().asDict().items()}
+        if n["indexed"] or not self.tables:
+            fresh = new.withColumn("indexed_at", F.current_timestamp()).withColumn("size", F.length("content"))
+            chunks = chunking.index_chunks(fresh)
+            chunks = with_mock_embedding(chunks.withColumn("chunk_id", F.xxhash64("doc_id", "ordinal")), "content", self.config.get("embedding.dimension"))
+            if self.tables:
+                chunks = store.delete(self.table("chunks"), fresh, "doc_id").unionByName(chunks)
+                fresh = store.upsert(self.table("documents"), fresh, "doc_id")
+            self._write(documents=fresh, chunks=chunks)
+        report = {"indexed": n["indexed"], "skipped": n["good"] - n["indexed"], "errors": n["given"] - n["good"]}
+        return self.status().select("*", *(F.lit(v).alias(k) for k, v in report.items()))
+
+    def document(self, doc_id: str) -> DataFrame:
+        """One document with the beginning of its content and its chunks by position."""
+        own = self.table("documents").filter(F.col("doc_id") == str(doc_id))
+        return store.view(own, self.chunks_of(doc_id))
+
+    def chunk(self, chunk_id: int) -> DataFrame:
+        return self.table("chunks").filter(F.col("chunk_id") == chunk_id)
+
+    def chunks_of(self, doc_id: str) -> DataFrame:
+        return self.table("chunks").filter(F.col("doc_id") == str(doc_id)).orderBy("start_pos")
+
+    def documents(self) -> DataFrame:
+        """All documents with their number of chunks, the newest first."""
+        return store.listing(self.table("documents").drop("content"), self.table("chunks")).orderBy(F.col("indexed_at").desc(), "doc_id")
+
+    def search(self, queries: DataFrame, mode: str | None = None, k: int | None = None, extensions: tuple[str, ...] = (), paths: str | None = None) -> DataFrame:
+        """Hits of ``queries`` (query_id, query) by vector, fulltext, code, hybrid (reciprocal ranks) or hybrid-concat.
+
+        Only documents with one of ``extensions``, and whose path matches the pattern ``paths``, are searched.
+        """
         mode, k = mode or self.config.get("retrieval.mode"), k or self.config.get("retrieval.top_k")
         began = time.time()
         chunks = self.table("chunks")
+        if extensions or paths:
+            docs = self.table("documents")
+            docs = docs.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions)) if extensions else docs
+            docs = docs.filter(F.col("path").rlike(paths)) if paths else docs
+            chunks = chunks.join(docs.select("doc_id"), "doc_id", "left_semi")
         vectors = with_mock_embedding(queries, "query", self.config.get("embedding.dimension"))
         vector = lambda: recall.vector_recall(chunks, vectors, k)
         text = lambda: recall.fulltext_topk(chunks, queries, k)
@@ -80,10 +130,11 @@ class Engine:
 
     def delete(self, paths: DataFrame) -> DataFrame:
         docs, chunks, report = store.delete_by_path(self.table("documents"), self.table("chunks"), paths)
-        report = self.spark.createDataFrame(report.collect(), report.schema)
-        self._write("documents", docs)
-        self._write("chunks", chunks)
-        return report
+        # The report reads the tables as they were; Spark may read it at any later time.
+        path = f"{self.root}/deleted/{uuid.uuid4().hex}"
+        report.write.parquet(path)
+        self._write(documents=docs, chunks=chunks)
+        return self.spark.read.parquet(path)
 
     def status(self) -> DataFrame:
         return store.stats(self.table("documents"), self.table("chunks"))

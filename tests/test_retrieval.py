@@ -245,11 +245,19 @@ def test_engine(spark, tmp_path):
     found = read_folder(spark, str(tmp_path / "in")).orderBy("path").collect()
     assert [x["path"].rsplit("/")[-1] for x in found] == ["a.md", "bad.txt", "b.py"] and found[1]["error"] == "not UTF-8"
     assert len({x["doc_id"] for x in found}) == 3
-    d = docs(spark, *[(x["path"], x["content"]) for x in found if not x["error"]])
-    e = Engine(spark, str(tmp_path / "store"), Config({"embedding": {"dimension": 16}}))
+    d = read_folder(spark, str(tmp_path / "in"))
+    settings = Config({"embedding": {"dimension": 16}})
+    e = Engine(spark, str(tmp_path / "store"), settings)
     first = e.index(d).first()
-    assert first["documents"] == 2 and first["chunks"] >= 2
-    assert e.index(d).first() == first
+    assert first["documents"] == 2 and first["chunks"] >= 2 and (first["indexed"], first["skipped"], first["errors"]) == (2, 0, 1)
+    again = Engine(spark, str(tmp_path / "store"), settings).index(d).first()
+    assert (again["documents"], again["chunks"]) == (first["documents"], first["chunks"]) and (again["indexed"], again["skipped"], again["errors"]) == (0, 2, 1)
+    some = e.documents().first()["doc_id"]
+    shown = e.document(some).first()
+    assert shown["chunks"] == sorted(shown["chunks"]) and len(shown["chunks"]) == e.chunks_of(some).count()
+    one = e.chunks_of(some).first()
+    assert e.chunk(one["chunk_id"]).first() == one
+    assert {r["doc_id"] for r in e.search(asked(spark, "fox"), "vector", 3, extensions=("md",)).collect()} == {r["doc_id"] for r in d.filter("path LIKE '%.md'").collect()}
     q = asked(spark, "brown fox jumps")
     for mode in ("vector", "fulltext", "code", "hybrid", "hybrid-concat"):
         assert e.search(q, mode, 3).count() <= 3
