@@ -266,7 +266,7 @@ def test_engine(spark, tmp_path):
         e.search(q, "no such mode")
     gone = e.delete(d.filter("path LIKE '%.md'").select("path")).first()
     assert gone["deleted_chunks"] >= 1 and e.status().first()["documents"] == 1
-    assert "fox" in e.prompt("search-optimize", query="fox") and len(e.history) == 6
+    assert "fox" in e.prompt("search-optimize", query="fox") and len(e.history) == 7
 
 
 def test_text_functions(spark):
