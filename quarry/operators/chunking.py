@@ -104,7 +104,7 @@ def recursive(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Data
         for texts in batches:
             yield pd.Series([[{"start_pos": s, "content": c} for s, c in split_recursively(t or "", size, overlap)] for t in texts])
 
-    at = docs.withColumn("parts", parts("content")).select("*", F.posexplode("parts").alias("ordinal", "p"))
+    at = docs.withColumn("parts", parts.asNondeterministic()("content")).select("*", F.posexplode("parts").alias("ordinal", "p"))
     out = at.withColumn("content", F.col("p.content")).withColumn("start_pos", F.col("p.start_pos"))
     return out.withColumn("end_pos", F.col("start_pos") + F.length("content")).withColumn("section", F.lit(None).cast("string")).drop("p", "parts")
 
@@ -114,22 +114,11 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
 
     Sections over ``SECTION_MOST`` characters are split recursively and lose their title.
     """
-    parts = F.split("content", r"(?m)(?=^#{1,6}\s+.+$)")
-    at = docs.withColumn("parts", parts)
-    before = F.transform(F.col("parts"), lambda x, i: F.struct(x.alias("content"), F.coalesce(F.length(F.array_join(F.slice(F.col("parts"), 1, i), "")), F.lit(0)).alias("start_pos")))
-    at = at.withColumn("sections", F.filter(before, lambda x: x["content"].rlike(r"\S"))).drop("parts")
-    each = at.select("*", F.posexplode("sections").alias("nth", "s")).withColumn("content", F.col("s.content")).withColumn("base", F.col("s.start_pos")).drop("sections", "s")
-    title = F.regexp_extract("content", r"^#{1,6}\s+(.+)", 1)
-    short = each.filter(F.length("content") <= SECTION_MOST).withColumn("section", F.nullif(title, F.lit(""))).withColumn("start_pos", F.col("base")).withColumn("sub", F.lit(0))
-    long = recursive(each.filter(F.length("content") > SECTION_MOST), SECTION_SIZE, OVERLAP).withColumn("start_pos", F.col("base") + F.col("start_pos")).withColumnRenamed("ordinal", "sub")
-    short = short.withColumn("end_pos", F.lit(None).cast("int"))
-    both = short.unionByName(long.select(*short.columns)).withColumn("end_pos", F.col("start_pos") + F.length("content"))
-    order = Window.partitionBy("doc_id").orderBy("nth", "sub")
-    return both.withColumn("ordinal", F.row_number().over(order) - 1).drop("nth", "sub", "base")
+    return by_strategy(docs.withColumn("strategy", F.lit("markdown-section"))).drop("strategy")
 
 
 def markdown_parts(content: str) -> list[tuple[int, str, str | None]]:
-    """``markdown_sections`` for one text: start, text and title of each chunk."""
+    """The sections of one text: start, text and title of each chunk."""
     cuts = sorted({0, *(m.start() for m in HEADING.finditer(content)), len(content)})
     out: list[tuple[int, str, str | None]] = []
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -162,7 +151,11 @@ PARTS = "array<struct<start_pos: int, content: string, section: string>>"
 
 
 def by_strategy(docs: DataFrame) -> DataFrame:
-    """Cut each document by its ``strategy``, all in one pass; a name that is not known is recursive."""
+    """Cut each document by its ``strategy``, all in one pass; a name that is not known is recursive.
+
+    The function is declared nondeterministic so that Spark does not run it once more to
+    leave out documents without chunks before they are exploded.
+    """
 
     @F.pandas_udf(PARTS)
     def parts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -174,7 +167,7 @@ def by_strategy(docs: DataFrame) -> DataFrame:
     starts = F.when(sliding & (F.length("content") > 0), F.sequence(F.lit(0), F.length("content") - 1, F.lit(SIZE - WINDOW_OVERLAP)))
     windows = F.transform(starts, lambda at, i: F.struct(at.alias("start_pos"), F.substring(F.col("content"), at + 1, F.lit(SIZE)).alias("content"), F.concat(F.lit("window-"), i.cast("string")).alias("section")))
     # Texts that expressions cut are not sent to Python.
-    out = docs.withColumn("cut", parts(F.when(~sliding, F.col("content")), F.col("strategy")))
+    out = docs.withColumn("cut", parts.asNondeterministic()(F.when(~sliding, F.col("content")), F.col("strategy")))
     out = out.withColumn("cut", F.when(sliding, windows.cast(PARTS)).otherwise(F.col("cut")))
     out = out.select("*", F.posexplode("cut").alias("ordinal", "p")).withColumns({"content": F.col("p.content"), "start_pos": F.col("p.start_pos"), "section": F.col("p.section")})
     return out.withColumn("end_pos", F.col("start_pos") + F.length("content")).drop("cut", "p")

@@ -70,7 +70,7 @@ def by_parts(docs: DataFrame, split: Callable[[str], list[tuple[int, str]]]) ->
         for texts in batches:
             yield pd.Series([[{"start_pos": s, "content": c} for s, c in split(t or "")] for t in texts])
 
-    at = docs.withColumn("parts", parts("content")).select("*", F.posexplode("parts").alias("ordinal", "p"))
+    at = docs.withColumn("parts", parts.asNondeterministic()("content")).select("*", F.posexplode("parts").alias("ordinal", "p"))
     out = at.withColumn("content", F.col("p.content")).withColumn("start_pos", F.col("p.start_pos")).drop("p", "parts")
     return out.withColumn("end_pos", F.col("start_pos") + F.length("content")).withColumn("section", F.lit(None).cast("string"))
 
@@ -83,12 +83,12 @@ def code_units(docs: DataFrame, most: int = MOST) -> DataFrame:
     return by_parts(docs, lambda t: code_parts(t, most))
 
 
-def nested_parts(content: str) -> list[tuple[str, int, int, str]]:
-    """(granularity, number of the parent in the granularity above or -1, start, text), coarse parts first."""
+def nested_parts(content: str) -> list[tuple[str, int, int, int, str]]:
+    """(granularity, number of the parent in the granularity above or -1, own number, start, text), coarse parts first."""
     out, above = [], [(-1, 0, content)]
     for name, (least, most) in (("coarse", COARSE), ("medium", MEDIUM), ("fine", FINE)):
         own = [(k, at + s, t) for k, at, whole in above for s, t in semantic_parts(whole, least, most)]
-        out += [(name, k, s, t) for k, s, t in own]
+        out += [(name, k, nth, s, t) for nth, (k, s, t) in enumerate(own)]
         above = [(k, s, t) for k, (_, s, t) in enumerate(own)]
     return out
 
@@ -96,17 +96,12 @@ def nested_parts(content: str) -> list[tuple[str, int, int, str]]:
 def multi_granularity(docs: DataFrame) -> DataFrame:
     """Chunks at three sizes: granularity, ordinal within it, parent (ordinal in the next larger one, or -1)."""
 
-    @F.pandas_udf("array<struct<granularity: string, parent: int, start_pos: int, content: string>>")
+    @F.pandas_udf("array<struct<granularity: string, parent: int, ordinal: int, start_pos: int, content: string>>")
     def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names = ("granularity", "parent", "ordinal", "start_pos", "content")
         for texts in batches:
-            yield pd.Series([[{"granularity": g, "parent": k, "start_pos": s, "content": c} for g, k, s, c in nested_parts(t or "")] for t in texts])
+            yield pd.Series([[dict(zip(names, x, strict=True)) for x in nested_parts(t or "")] for t in texts])
 
-    at = docs.withColumn("parts", parts("content"))
-    number = F.transform(F.col("parts"), lambda p, i: F.struct(p.alias("p"), (i - F.size(F.filter(F.col("parts"), lambda q: rank(q) < rank(p)))).alias("ordinal")))
-    each = at.withColumn("x", F.explode(number)).drop("parts", "content")
-    out = each.select("*", "x.p.*", "x.ordinal").drop("x")
+    each = docs.withColumn("x", F.explode(parts.asNondeterministic()("content"))).drop("content")
+    out = each.select("*", "x.*").drop("x")
     return out.withColumn("end_pos", F.col("start_pos") + F.length("content"))
-
-
-def rank(part):
-    return F.when(part["granularity"] == "coarse", 0).when(part["granularity"] == "medium", 1).otherwise(2)

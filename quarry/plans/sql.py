@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from quarry.operators.chunking import CODE_EXTENSIONS
+
+CODE = ", ".join(f"'{x}'" for x in CODE_EXTENSIONS)
 DOCS = """docs AS (
   SELECT doc_id, '/corpus/' || source || '/' || doc_id || '.' || (['md', 'ts', 'js', 'py', 'json', 'txt'])[(doc_id % 6 + 1)::INT] AS path,
          coalesce(text, '') AS content, source, lang, n_chars
@@ -315,3 +318,9 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weigh
 SQL["query_vague"] = f"WITH {FORMS}" + """, v AS (SELECT query_id, CASE query_id % 4 WHEN 0 THEN '那个什么' || query WHEN 1 THEN '好像' || query || '的样子' WHEN 2 THEN '类似' || query || '的' ELSE query END AS query FROM asked)
 SELECT query_id, query, CASE WHEN regexp_matches(query, '那个什么.*') THEN 'vague-reference' WHEN regexp_matches(query, '好像.*的样子') THEN 'uncertain' WHEN regexp_matches(query, '类似.*的') THEN 'analogy' END AS vague FROM v"""
 SQL["query_budget"] = "SELECT query_id, CASE WHEN complexity = 'complex' THEN 200 ELSE 100 END AS rewrite, CASE WHEN complexity = 'complex' THEN 300 ELSE 0 END AS decompose, CASE WHEN complexity = 'complex' THEN 500 ELSE 200 END AS rerank FROM (" + SQL["query_parse"] + ")"
+SQL["chunk_code"] = f"WITH {DOCS}" + r""", code AS (SELECT doc_id, content FROM docs WHERE regexp_extract(path, '\.([^./]+)$', 1) IN (CODE) AND length(content) > 0),
+lines AS (SELECT doc_id, content, i, l, sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(l) - 1 AS pos FROM (SELECT doc_id, content, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS l FROM (SELECT *, string_split(content, E'\n') AS x FROM code))),
+cuts AS (SELECT doc_id, content, pos AS a, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), length(content)) AS b FROM lines
+  WHERE i = 1 OR regexp_matches(l, '^(?:export\s+|public\s+|async\s+)*(?:def|class|function|interface|func|type|enum)\b')),
+pieces AS (SELECT doc_id, content, b, a + unnest(range(0, (b - a)::BIGINT, 1000)) AS s FROM cuts)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS ordinal, s::INT AS start_pos, least(s + 1000, b)::INT AS end_pos, substr(content, (s + 1)::BIGINT, (least(s + 1000, b) - s)::BIGINT) AS content FROM pieces""".replace("CODE", CODE)
