@@ -18,13 +18,31 @@ def judged(hits: DataFrame, relevant: DataFrame) -> DataFrame:
     return expected.join(found, "query_id", "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
 
 
+def judged_by_class(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """As :func:`judged`, where all other chunks (chunk_id, label) with the query's label (query_id, label) are relevant.
+
+    Relevant chunks are only counted by label, never listed by query; hits look their label up.
+    """
+    sizes = chunks.groupBy("label").agg(F.count("*").alias("n"))
+    itself = chunks.select(F.col("chunk_id").alias("query_id"), "label").groupBy("query_id", "label").agg(F.count("*").alias("own"))
+    expected = queries.join(sizes, "label", "left").join(itself, ["query_id", "label"], "left").withColumn("expected", F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))).filter("expected > 0")
+    found = hits.filter("query_id != chunk_id").join(chunks.select("chunk_id", F.col("label").alias("found")), "chunk_id").join(queries, "query_id").filter("found = label")
+    ranks = found.groupBy("query_id").agg(F.array_sort(F.collect_set("rank")).alias("ranks"))
+    return expected.select("query_id", "expected").join(ranks, "query_id", "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
+
+
 def metrics(hits: DataFrame, relevant: DataFrame, depths: Sequence[int] = DEPTHS) -> DataFrame:
+    """The metrics of :func:`measured` for hits against relevant chunks (query_id, chunk_id)."""
+    return measured(judged(hits, relevant), depths)
+
+
+def measured(each: DataFrame, depths: Sequence[int] = DEPTHS) -> DataFrame:
     """k, hit_rate, precision, recall, ndcg_micro, ndcg_macro, mrr, over all queries with something relevant.
 
     ndcg_micro divides the sum of all gains by the sum of all ideal ones; mrr reads the
     whole list at every k.
     """
-    per = judged(hits, relevant).withColumn("k", F.explode(F.array(*map(F.lit, depths))))
+    per = each.withColumn("k", F.explode(F.array(*map(F.lit, depths))))
     top = F.filter("ranks", lambda r: r <= F.col("k"))
     gain = lambda ranks: F.aggregate(ranks, F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1.0))
     ideal = gain(F.sequence(F.lit(1), F.least(F.col("expected").cast("int"), F.col("k"))))

@@ -258,9 +258,8 @@ def path_weights(spark, d):
 
 
 def eval_metrics(spark, d):
-    q = vector_queries(spark, d).select("query_id", "label")
-    relevant = q.join(vectors(spark, d).select("chunk_id", "label"), "label").filter("query_id != chunk_id").select("query_id", "chunk_id")
-    return evaluation.metrics(vector_hits(spark, d, 20), relevant)
+    each = evaluation.judged_by_class(vector_hits(spark, d, 20), vector_queries(spark, d).select("query_id", "label"), vectors(spark, d).select("chunk_id", "label"))
+    return evaluation.measured(each)
 
 
 def stored(spark, d):

@@ -320,3 +320,33 @@ def test_thresholds_and_conditions(spark):
     assert [tuple(r) for r in recall.in_all(c, 2).collect()] == [(1, 1, 0.5)]
     h = spark.createDataFrame([(1, 1, 0.5, 100), (1, 2, 0.5, 0)], "query_id long, chunk_id long, rerank_score double, age int")
     assert fusion.with_freshness(h, F.col("age"), F.lit(0.5)).filter("rank = 1").first()["chunk_id"] == 2
+
+
+def test_vector_ties_go_to_lesser_ids(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(400)]
+    v = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(5)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (1000, [0.0, 2.0])], "query_id long, embedding array<float>")
+    out = sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in vector_topk(v, q, 3).collect())
+    assert out == [(1, 1, 3, 1.0), (1, 2, 5, 1.0), (1, 3, 7, 1.0), (1000, 1, 0, 1.0), (1000, 2, 2, 1.0), (1000, 3, 4, 1.0)]
+
+
+def test_filters_by_age_and_language(spark):
+    rows = [(1, k, k + 1, 1.0, f"/d/{k}.md", lang, age) for k, (lang, age) in enumerate([("en", 1.0), ("de", 1.0), ("en", 9.0), (None, 1.0), ("fr", None)])]
+    h = spark.createDataFrame(rows, "query_id long, chunk_id long, rank int, score double, source string, lang string, age_days double")
+    kept = lambda **criteria: [r["chunk_id"] for r in fusion.filter_results(h, **criteria).orderBy("rank").collect()]
+    assert kept(languages=("en", "fr")) == [0, 2, 4] and kept(max_age=5.0) == [0, 1, 3] and kept(languages=("en",), max_age=5.0) == [0]
+
+
+def test_pending_since(spark):
+    kind = "id long, v long, at long"
+    server = spark.createDataFrame([(1, 1, 1), (2, 2, 5), (3, 3, 1), (4, 4, 9)], kind)
+    local = spark.createDataFrame([(1, 1, 1), (2, 9, 7), (5, 5, 2), (4, 7, 3)], kind)
+    moves = lambda **more: {(r["id"], r["direction"]) for r in store.pending(server, local, "id", "v", "at", **more).collect()}
+    assert moves() == {(2, "upload"), (3, "download"), (4, "download"), (5, "upload")}
+    assert moves(since=F.lit(4)) == {(2, "upload"), (4, "download")}
+
+
+def test_scores_on_one_scale(spark):
+    h = spark.createDataFrame([(1, 1, "a", 10.0), (1, 2, "a", 30.0), (1, 3, "a", 20.0), (1, 1, "b", 0.5), (2, 1, "a", 7.0)], "query_id long, chunk_id long, path string, score double")
+    out = {(r["query_id"], r["path"], r["chunk_id"]): r["score"] for r in recall.normalised(h).collect()}
+    assert out == {(1, "a", 1): 0.0, (1, "a", 2): 1.0, (1, "a", 3): 0.5, (1, "b", 1): 1.0, (2, "a", 1): 1.0}
