@@ -166,9 +166,12 @@ class Lattices:
         per_node = np.bincount(node, minlength=len(mass))
         last = np.cumsum(per_node) - 1
         # Shares are added up inside each node, so that a bound does not depend on the segments beside it.
-        for nth in range(1, per_node.max(initial=0)):
-            edge = last[per_node > nth] - per_node[per_node > nth] + 1 + nth
+        several = np.flatnonzero(per_node > 1)
+        edge, room = last[several] - per_node[several] + 1, per_node[several] - 1
+        while len(edge):
+            edge, room = edge + 1, room - 1
             share[edge] += share[edge - 1]
+            edge, room = edge[room > 0], room[room > 0]
         up = np.minimum(np.floor(share * 2.0**32), 2.0**32 - 1).astype(np.uint32)
         base = len(self.edges_to)
         self.edges_to = np.concatenate((self.edges_to, last + len(self.bound) + 1))
