@@ -184,6 +184,53 @@ def test_language_id(make, edges, nothing):
     assert {r["lang_pred"] for r in language_id.language_id(edges, F.lit(True)).collect()} == {"und"}
 
 
+def slow_language(train, text):
+    """Shares of the languages for one text by definition, with the words and n-grams of ``train`` (text, lang)."""
+    letters, longest = re.compile(r"[^\W\d_]+"), language_id.LONGEST
+    names = sorted({lang for _, lang in train})
+    counts = [{lang: Counter() for lang in names} for _ in range(2)]
+    for t, lang in train:
+        for w in letters.findall((t or "").lower()):
+            counts[0][lang][w] += 1
+            b = f"^{w}$"
+            for i in range(len(b)):
+                for n in range(1, min(longest, len(b) - i) + 1):
+                    counts[1][lang][b[i : i + n]] += 1
+    tables = []
+    for by_lang, least in zip(counts, (language_id.WORD_LEAST, language_id.GRAM_LEAST), strict=True):
+        every = sum(by_lang.values(), Counter())
+        kept = [t for t in every if every[t] >= least]
+        size = {lang: sum(by_lang[lang][t] for t in kept) for lang in names}
+        table = {}
+        for t in kept:
+            common = every[t] / max(1, sum(size.values()))
+            logs = [math.log((by_lang[lang][t] + language_id.PRIOR * common + 1e-3) / (size[lang] + language_id.PRIOR)) for lang in names]
+            table[t] = [min(4, max(-4, x - sum(logs) / len(names))) for x in logs]
+        tables.append(table)
+    total = [0.0] * len(names)
+    for w in letters.findall((text or "").lower()):
+        if w in tables[0]:
+            found = [tables[0][w]]
+        else:
+            b = f"^{w}$"
+            found = [next((tables[1][b[i:j]] for j in range(min(i + longest, len(b)), i, -1) if b[i:j] in tables[1]), None) for i in range(len(b))]
+            found = [x for x in found if x]
+        for k in range(len(names) if found else 0):
+            total[k] += sum(x[k] for x in found) / len(found)
+    best = max(range(len(names)), key=lambda k: total[k])
+    return names[best], 1 / sum(math.exp(x - total[best]) for x in total)
+
+
+def test_language_by_definition(make):
+    rows = language_rows(120) + [(1, "katzenhaus undx maisonette", None, "a"), (2, "12 The zz CAT", None, "a"), (3, "qqq", "en", "a")]
+    fold = language_id.held_out_fold(F.col("doc_id"))
+    train = [(t, lang) for i, t, lang, _ in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    text = {i: t for i, t, *_ in rows}
+    for r in language_id.language_id(make(rows).repartition(3), fold).collect():
+        lang, score = slow_language(train, text[r["doc_id"]])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, rel=1e-3)
+
+
 def test_toxicity(spark, make, edges, nothing):
     rng = np.random.default_rng(12)
     plain = [f"word{k}" for k in range(200)]
@@ -215,3 +262,33 @@ def test_toxicity_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(toxicity, "TOKENS", 7)
     parts, _ = toxicity.raw_scores(net, w, docs)
     assert whole == pytest.approx(parts, abs=1e-4)
+
+
+def slow_toxicity(net, text):
+    """The score of one text by definition: the sum of rows for each word, filters at each place, their maximum, a logit, a threshold."""
+    edges = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    bare = [w.strip(edges) or w for w in (re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(text))]
+    vectors = [sum((net.table[r] for r in toxicity.hashed_features(w.encode())), np.zeros(toxicity.DIM)) for w in bare] or [np.zeros(toxicity.DIM)]
+    pooled = np.zeros((len(toxicity.WIDTHS), toxicity.FILTERS))
+    for k, width in enumerate(toxicity.WIDTHS):
+        padded = [*vectors, *[np.zeros(toxicity.DIM)] * width]
+        pooled[k] = np.max([net.bias[k] + sum(padded[i + j] @ net.filters[k][j] for j in range(width)) for i in range(len(vectors))], axis=0)
+    logit = (np.maximum(pooled, 0) * net.out).sum() + net.shift
+    seen = Counter()
+    for k, own in enumerate(toxicity.FUNCTION_WORDS.values()):
+        seen[k] += sum(w in own and sum(w in x for x in toxicity.FUNCTION_WORDS.values()) == 1 for w in bare)
+    language = max(seen, key=lambda k: (seen[k], -k)) if any(seen.values()) else len(seen)
+    return 1 / (1 + math.exp(-min(30, max(-30, logit - net.threshold[language]))))
+
+
+def test_toxicity_by_definition(spark, make, edges):
+    rng = np.random.default_rng(4)
+    plain = ["the", "and", "der", "und", "le", *(f"word{k}" for k in range(60))]
+    rows = [(k, " ".join([*(plain[int(x)] for x in rng.integers(0, len(plain), int(rng.integers(1, 30)))), *(["(Vile)"] if k % 3 == 0 else [])]), "en", "a") for k in range(150)]
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(150)], "doc_id long, quality int, toxic int")
+    df = make(rows).unionByName(edges.filter("doc_id != 10 AND doc_id != 11"))
+    net = toxicity.learnt(df, labels)
+    net.threshold[:] = np.arange(len(net.threshold)) / 10
+    scored = df.select("text", toxicity.score_column(F.col("text"), toxicity.spread(spark, net)).alias("score")).collect()
+    for r in scored:
+        assert r["score"] == pytest.approx(slow_toxicity(net, r["text"]), abs=1e-3)
