@@ -14,11 +14,13 @@ RECENT, PREVIEW = 100, 500
 
 
 def upsert(stored: DataFrame, changes: DataFrame, key: str = "id", version: str = "indexed_at") -> DataFrame:
-    """The newest row of each key. Only keys that change are compared; all others pass through an anti join."""
-    fresh = Window.partitionBy(key).orderBy(F.col(version).desc())
+    """The newest row of each key. Only keys that change are compared; all others pass through an anti join.
+
+    Of rows with the same version a change beats what is stored; of such changes, the last by content.
+    """
     touched = changes.select(key).distinct()
     both = stored.join(touched, key, "left_semi").withColumn("new", F.lit(0)).unionByName(changes.withColumn("new", F.lit(1)))
-    newest = both.withColumn("nth", F.row_number().over(fresh.orderBy(F.col(version).desc(), F.col("new").desc()))).filter("nth = 1").drop("nth", "new")
+    newest = both.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.col(version).desc(), F.col("new").desc(), F.to_json(F.struct(*stored.columns)).desc()))).filter("nth = 1").drop("nth", "new")
     return stored.join(touched, key, "left_anti").unionByName(newest)
 
 

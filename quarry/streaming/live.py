@@ -25,24 +25,29 @@ def session_stream(events: DataFrame, by: str = "user_id", gap: str = "30 minute
 
 
 def cached_stream(lookups: DataFrame, ttl_ms: int) -> DataFrame:
-    """(key, ts) lookups against a cache whose entries live for ``ttl_ms`` from their last load: key, hits, misses."""
+    """(key, ts) lookups against a cache whose entries live for ``ttl_ms`` from their last load: key, hits, misses.
+
+    Counts are those of one batch, to be added up: the state is the entry's end alone and
+    goes with the entry.
+    """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        until, hits, misses = state.get if state.exists else (0, 0, 0)
+        (until,) = state.get if state.exists else (0,)
+        hits = misses = 0
         for ts in sorted(int(t.timestamp() * 1000) for b in batches for t in b["ts"]):
             if ts < until:
                 hits += 1
             else:
                 misses, until = misses + 1, ts + ttl_ms
-        state.update((until, hits, misses))
+        state.update((until,))
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [key[0]], "hits": [hits], "misses": [misses]})
 
     late = lookups.withWatermark("ts", "1 minute")
-    return late.groupBy("key").applyInPandasWithState(step, "key string, hits long, misses long", "until long, hits long, misses long", "update", GroupStateTimeout.EventTimeTimeout)
+    return late.groupBy("key").applyInPandasWithState(step, "key string, hits long, misses long", "until long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str, split: Callable[[DataFrame], DataFrame] = fixed_size):
