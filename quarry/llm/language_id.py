@@ -153,7 +153,8 @@ def learnt(docs: DataFrame, trainable: Column, id_col: str, text_col: str, lang_
     # Hashes are even, so the first n of a language lie below about n / total of their range; only twice that is ranked, dealt to SALTS shares.
     totals = usable.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * sample / F.count("*")).alias("part"))
     h = F.xxhash64("id")
-    near = usable.join(totals, "lang").filter(h <= (F.lit(-(2.0**63)) + F.col("part") * (2.0**64 - 4096)).cast("long"))
+    # One row a language, of which the model itself holds far more: rows stay where they lie.
+    near = usable.join(F.broadcast(totals), "lang").filter(h <= (F.lit(-(2.0**63)) + F.col("part") * (2.0**64 - 4096)).cast("long"))
     first = Window.partitionBy("lang", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SALTS))).orderBy(h, "id")
     ids = near.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= max(1, sample // SALTS)).select("id").distinct()
     texts = docs.filter(trainable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
