@@ -45,50 +45,91 @@ def with_mock_embedding(df: DataFrame, text_col: str, dim: int = 384, out_col: s
     return hashed.withColumn(out_col, mock_embedding(F.col("text_hash"), dim)).drop("text_hash")
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows brought to length 1."""
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def packed(rows: DataFrame, id_col: str, key: list[Column | str], names: tuple[str, str], vec_col: str = "embedding") -> DataFrame:
+    """One row for each ``key``: ids, and their vectors one behind the other. Keys must bound how many rows meet in one."""
+    each = rows.groupBy(*key).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))).alias("pack"))
+    keys = [c for c in each.columns if c != "pack"]
+    return each.select(*keys, F.col("pack.id").alias(names[0]), F.flatten("pack.v").alias(names[1]))
+
+
+def matrix(batch: pa.RecordBatch, row: int, ids: str, values: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of one pack, as a matrix."""
+    own = batch.column(ids)[row].values.to_numpy(zero_copy_only=False)
+    return own, batch.column(values)[row].values.to_numpy(zero_copy_only=False).reshape(len(own), -1)
+
+
+def best_pairs(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query its k best, by cosine rounded to nine digits, then by id; whatever ties, no more than k."""
+    # By id first: of those that tie with the k-th best, the first have the lesser ids.
+    by_id = np.argsort(ids, kind="stable")
+    ids, score = ids[by_id], np.round(q @ v[by_id].T, 9)
+    if exclude_self:
+        score[q_ids[:, None] == ids[None, :]] = -np.inf
+    m = min(k, len(ids))
+    floor = np.partition(score, len(ids) - m, axis=1)[:, len(ids) - m, None]
+    above, tied = score > floor, score == floor
+    room = m - above.sum(axis=1, keepdims=True)
+    i, j = np.nonzero((above | (tied & (np.cumsum(tied, axis=1) <= room))) & (score > -np.inf))
+    return q_ids[i], ids[j], score[i, j]
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact cosine top k of every query over all ``vectors`` (chunk_id, embedding).
 
-    Queries go out in blocks of bounded size; each Arrow batch of vectors is one matrix
-    product and sends at most k rows for each query on, whatever ties, so the shuffle
+    Up to ``block`` queries are counted first and then sent to where the vectors lie. More of
+    them are dealt in blocks, as the vectors are, and each block meets each other once, in one
+    scan and one shuffle however many queries there are. Either way two blocks are one
+    matrix product, which sends at most k rows for each query on, so that the last shuffle
     carries candidates, not pairs. Scores are rounded to nine digits, as equal vectors give
-    scores that differ in their last digits by place in a batch; ties go to the lesser id.
+    scores that differ in their last digits by place in a block; ties go to the lesser id.
     """
     spark = vectors.sparkSession
-    numbered = queries.select("query_id", "embedding")
-    n_blocks = max(1, -(-numbered.count() // block))
-    out = None
-    for b in range(n_blocks):
-        own = numbered.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).toArrow()
+    asked, given = queries.select("query_id", "embedding").filter("embedding IS NOT NULL"), vectors.select("chunk_id", "embedding").filter("embedding IS NOT NULL")
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {given.schema['chunk_id'].dataType.simpleString()}, score double"
+    names = ["query_id", "chunk_id", "score"]
+    rows = lambda found: pa.RecordBatch.from_arrays([pa.array(x) for x in found], names)
+    n = asked.count()
+    if n <= block:
+        own = asked.toArrow()
         shared = spark.sparkContext.broadcast((own.column("query_id").to_numpy(), own.column("embedding").to_pylist()))
 
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, rows = shared.value
-            unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            q = unit(np.array(rows, dtype=float)) if len(rows) else np.zeros((0, 0))
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, lists = shared.value
+            q = unit(np.array(lists, dtype=float)) if len(lists) else np.zeros((0, 0))
+            for batch in batches:
+                if batch.num_rows and len(q):
+                    v = unit(np.array(batch.column(1).to_pylist(), dtype=float))
+                    yield rows(best_pairs(ids, q, batch.column(0).to_numpy(zero_copy_only=False), v, k, exclude_self))
+
+        out = given.mapInArrow(best, schema)
+    else:
+        n_q, n_v = -(-n // block), max(1, -(-given.count() // (4 * block)))
+        dealt = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+        blocks = packed(given, "chunk_id", [dealt("chunk_id", n_v).alias("block")], ("ids", "v"))
+        to_all = packed(asked, "query_id", [dealt("query_id", n_q).alias("q_block")], ("q_ids", "q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows or not len(q):
-                    continue
-                cid = batch.column(0).to_numpy(zero_copy_only=False)
-                v = unit(np.array(batch.column(1).to_pylist(), dtype=float))
-                score = np.round(q @ v.T, 9)
-                if exclude_self:
-                    score[ids[:, None] == cid[None, :]] = -np.inf
-                m = min(k, len(cid))
-                # By id first: of those that tie with the m-th best, the first have the lesser ids.
-                by_id = np.argsort(cid, kind="stable")
-                cid, score = cid[by_id], score[:, by_id]
-                floor = np.partition(score, len(cid) - m, axis=1)[:, len(cid) - m, None]
-                above, tied = score > floor, score == floor
-                room = m - above.sum(axis=1, keepdims=True)
-                i, j = np.nonzero((above | (tied & (np.cumsum(tied, axis=1) <= room))) & (score > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(cid[j]), pa.array(score[i, j])], ["query_id", "chunk_id", "score"])
-
-        found = vectors.select("chunk_id", "embedding").filter("embedding IS NOT NULL").mapInArrow(best, "query_id long, chunk_id long, score double")
-        out = found if out is None else out.unionByName(found)
+                for i in range(batch.num_rows):
+                    (q_ids, q), (ids, v) = matrix(batch, i, "q_ids", "q"), matrix(batch, i, "ids", "v")
+                    yield rows(best_pairs(q_ids, unit(q), ids, unit(v), k, exclude_self))
+
+        out = to_all.join(blocks, "block").mapInArrow(meet, schema)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two vectors to nine digits, as a column expression; 0 where one has no length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, t: s + t)
+    return F.round(F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0)), 9)
+
+
 def embed(df: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], text_col: str = "content", out_col: str = "embedding", batch: int = 50) -> DataFrame:
     """``df`` with vectors from a model that ``make`` builds once in each task, and ``embed_error``.
 

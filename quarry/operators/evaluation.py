@@ -62,3 +62,32 @@ def regression(cases: DataFrame) -> DataFrame:
     """Pass rate, counts and mean latency by category of cases (category, passed, latency_ms, most_ms)."""
     ok = F.col("passed") & (F.col("most_ms").isNull() | (F.col("latency_ms") <= F.col("most_ms")))
     return cases.groupBy("category").agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("passed"), F.round(F.avg(ok.cast("double")), 6).alias("pass_rate"), F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms"))
+
+
+def details(hits: DataFrame, relevant: DataFrame, shown: int = 10) -> DataFrame:
+    """For each query of ``relevant`` (query_id, chunk_id): hit, rank of the first relevant hit (0 if none), and its first hits with their relevance."""
+    truth = relevant.select("query_id", "chunk_id").distinct().withColumn("relevant", F.lit(True))
+    each = hits.join(truth, ["query_id", "chunk_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+    item = F.struct("rank", "chunk_id", "relevant")
+    found = each.groupBy("query_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"), F.sort_array(F.collect_list(F.when(F.col("rank") <= shown, item))).alias("shown"))
+    out = truth.select("query_id").distinct().join(found, "query_id", "left")
+    return out.select("query_id", F.col("first").isNotNull().alias("hit"), F.coalesce("first", F.lit(0)).alias("first_rank"), F.coalesce("shown", F.array().cast("array<struct<rank:int,chunk_id:bigint,relevant:boolean>>")).alias("shown"))
+
+
+def compared(measures: DataFrame, first: str, second: str, draws: int = 1000) -> DataFrame:
+    """Two stored runs (query_id, run, value) by query: n, means, difference, wins, losses, and the p-value of a paired permutation test.
+
+    Under the hypothesis that the runs do not differ, each query's difference may as well
+    have the other sign. A draw flips signs by a hash of query and draw, so that reruns agree
+    whatever the partitions; the p-value is the share of draws, the data being one of them, whose
+    sum is as far from 0. Sums are added up by draw before anything is shuffled. Queries
+    that only one run has are left out; of repeated values the mean counts.
+    """
+    side = lambda run, name: measures.filter(F.col("run") == run).groupBy("query_id").agg(F.avg("value").alias(name))
+    both = side(first, "a").join(side(second, "b"), "query_id").withColumn("d", F.round(F.col("a") - F.col("b"), 9))
+    plain = both.agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("mean_first"), F.round(F.avg("b"), 6).alias("mean_second"), F.round(F.avg("d"), 6).alias("difference"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"), F.abs(F.sum("d")).alias("far"))
+    flips = F.substring(F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("draw").cast("string"))), 1, 1).isin(*"01234567")
+    sums = both.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).groupBy("draw").agg(F.abs(F.sum(F.when(flips, -F.col("d")).otherwise(F.col("d")))).alias("s"))
+    # One row against at most ``draws``.
+    p = sums.join(F.broadcast(plain.select("far"))).agg(F.round((F.count_if(F.col("s") >= F.col("far") - 1e-9) + 1) / (F.lit(draws) + 1), 6).alias("p_value"))
+    return plain.drop("far").join(F.broadcast(p))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +71,50 @@ def fusion_report(hits: DataFrame, constant: int = RRF_K) -> DataFrame:
     )
 
 
+def first_linked(ranks: list[int], edges: list[tuple[int, int]]) -> list[int]:
+    """For each of some ranks the least one that its links reach."""
+    top = {r: r for r in ranks}
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for x, y in edges:
+        a, b = sorted((find(x), find(y)))
+        top[b] = a
+    return [find(r) for r in ranks]
+
+
+def semantic_merge(hits: DataFrame, similar: float = 0.8) -> DataFrame:
+    """Hits (query_id, chunk_id, score, rank, content) of a query with like contents as one: the first of them, with its members by rank.
+
+    Two contents are alike if their sets of words are, by Jaccard, and so are those that are
+    linked by others. Hits of a query meet on the words they share; only links come
+    together for the components, so lists must be cut to a bounded number of hits before.
+    Contents without words are like each other.
+    """
+    split = F.array_distinct(F.filter(F.split(F.lower("content"), r"\s+"), lambda x: x != ""))
+    words = F.when(F.size(split) > 0, split).otherwise(F.array(F.lit("")))
+    each = hits.select("query_id", "rank", words.alias("words")).select("query_id", "rank", F.size("words").alias("n"), F.explode("words").alias("word"))
+    other = each.select("query_id", F.col("rank").alias("y"), F.col("n").alias("m"), "word")
+    common = each.join(other, ["query_id", "word"]).filter(F.col("rank") < F.col("y")).groupBy("query_id", "rank", "y", "n", "m").agg(F.count("*").alias("c"))
+    links = common.filter(F.col("c") / (F.col("n") + F.col("m") - F.col("c")) >= similar).groupBy("query_id").agg(F.collect_list(F.struct(F.col("rank").alias("x"), "y")).alias("links"))
+
+    @F.pandas_udf("array<int>")
+    def groups(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ranks, edges in batches:
+            yield pd.Series([first_linked(list(r), [] if e is None else [(x["x"], x["y"]) for x in e]) for r, e in zip(ranks, edges, strict=True)])
+
+    listed = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("h"))
+    told = listed.join(links, "query_id", "left").select("query_id", "h", groups(F.col("h.rank"), F.col("links")).alias("group"))
+    rows = told.select("query_id", F.explode(F.arrays_zip("h", "group")).alias("x")).select("query_id", "x.group", "x.h.*")
+    merged = rows.groupBy("query_id", "group").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("m"), F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("group")
+    return merged.select("query_id", F.col("m")[0]["chunk_id"].alias("chunk_id"), "score", F.row_number().over(order).alias("rank"), F.col("m.chunk_id").alias("members"))
+
+
 def rule_rerank(hits: DataFrame) -> DataFrame:
     """Rule scores of hits with content, source and keywords; .3 of the score they had, .7 of the rules'."""
     body = F.lower("content")

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import vector_topk
+from quarry.operators import text_index
+from quarry.operators.fusion import rrf
+from quarry.operators.text_index import K1, B, tokens
 
-# The score of a full-text hit, and what BM25 takes as usual.
-TEXT_SCORE, K1, B = 0.5, 1.2, 0.75
+# The score of a full-text hit.
+TEXT_SCORE = 0.5
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -16,32 +19,31 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-
-
 def fulltext_topk(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Chunks (chunk_id, content) that hold the query as a substring, whatever its case; the first k by id.
 
     A text that holds the query holds its inner tokens whole, so chunks and queries meet
-    on the longest of these and are then compared in full. Queries without an inner token
-    are compared with every chunk.
+    on the longest of these and are then compared in full. A query without an inner token
+    stands, with its longest part, inside one piece (a token or a stretch of white space):
+    pieces that hold that part are found by an index of grams over the dictionary of all
+    pieces, which grows far slower than the texts, and then meet their chunks like tokens.
     """
     q = queries.select("query_id", F.lower("query").alias("needle")).filter(F.col("needle") != "")
-    parts = F.split("needle", r"\s+")
-    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(F.filter(inner, lambda x: x != ""), lambda x: F.struct(F.length(x).alias("n"), x.alias("token"))))
-    q = q.withColumn("token", longest["token"])
+    split = F.split("needle", r"\s+")
+    inner = F.slice(split, 2, F.greatest(F.size(split) - 2, F.lit(0)))
+    longest = lambda parts: F.array_max(F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.struct(F.length(x).alias("n"), x.alias("token"))))["token"]
+    q = q.withColumn("token", longest(inner)).withColumn("part", F.coalesce(longest(split), F.col("needle")))
     body = chunks.select("chunk_id", F.lower("content").alias("body"))
-    keyed = q.filter("token IS NOT NULL")
     # Only ids and tokens meet; texts are fetched for those that did.
     held = body.select("chunk_id", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("token"))
-    met = held.join(keyed, "token").drop("token").join(body, "chunk_id")
-    hits = met.filter(F.col("body").contains(F.col("needle"))).select("query_id", "chunk_id")
-    short = q.filter("token IS NULL").select("query_id", "needle")
-    rest = body.join(short, F.col("body").contains(F.col("needle"))).select("query_id", "chunk_id")
-    found = hits.unionByName(rest).withColumn("score", F.lit(TEXT_SCORE))
-    return ranked(found, k).withColumn("path", F.lit("fulltext"))
+    met = held.join(q.filter("token IS NOT NULL").select("query_id", "token"), "token").select("query_id", "chunk_id")
+    short = q.filter("token IS NULL").select("query_id", "part")
+    if short.head(1):
+        all_pieces = text_index.written(body.select("chunk_id", F.explode(text_index.pieces(F.col("body"))).alias("piece")))
+        found = text_index.pieces_holding(all_pieces.select("piece").distinct(), short)
+        met = met.unionByName(all_pieces.join(found, "piece").select("query_id", "chunk_id").distinct())
+    hits = met.join(body, "chunk_id").join(q.select("query_id", "needle"), "query_id").filter(F.col("body").contains(F.col("needle"))).select("query_id", "chunk_id")
+    return ranked(hits.withColumn("score", F.lit(TEXT_SCORE)), k).withColumn("path", F.lit("fulltext"))
 
 
 def vector_recall(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -58,19 +60,8 @@ def code_recall(vectors: DataFrame, kinds: DataFrame, queries: DataFrame, k: int
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 over distinct query tokens. Only postings of query tokens are shuffled, by chunk: so a chunk's scores for all
-    queries are added up where its postings lie, and only the best of each query go on."""
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
-    wanted = q.select("token").distinct()
-    terms = chunks.select("chunk_id", tokens(F.col("content")).alias("t"))
-    size = terms.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    postings = terms.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("token")).join(wanted, "token", "left_semi").repartition("chunk_id").groupBy("chunk_id", "token", "len").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    n, mean = size.first()
-    idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean)))
-    scored = postings.join(df, "token").withColumn("w", weight).join(q, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return ranked(scored, k).withColumn("path", F.lit("bm25"))
+    """BM25 over distinct query tokens; blocks of chunks that cannot reach a query's k-th score are skipped."""
+    return ranked(text_index.block_max(chunks, queries, k, k1, b).scored, k).withColumn("path", F.lit("bm25"))
 
 
 def merge_recalls(hits: DataFrame, path_order: Column, limit: int = 40) -> DataFrame:
@@ -122,3 +113,49 @@ def weighted_conditions(hits: DataFrame, weights: dict[str, float]) -> DataFrame
     for name, x in weights.items():
         w = F.when(F.col("condition") == name, F.lit(float(x))).otherwise(w)
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("score") * w), 9).alias("score"))
+
+
+def feedback_rounds(chunks: DataFrame, queries: DataFrame, k: int = 10, rounds: int = 3, good: float = 0.8, docs: int = 3, terms: int = 5) -> DataFrame:
+    """(query_id, chunk_id, round, score, rank): BM25 in rounds, a query growing by terms of its first hits until they are good enough.
+
+    A query leaves once one of its hits holds more than ``good`` of its own tokens. To the
+    others the ``terms`` heaviest new tokens of the first ``docs`` hits are added, weighed by
+    how often these have them and how rare they are among all chunks. A chunk stays with the
+    round that found it first; hits go by round, then rank. The driver only counts rounds:
+    queries leave by a filter.
+    """
+    frequency = text_index.written(chunks.select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("token")).groupBy("token").agg(F.count("*").alias("df")))
+    n = chunks.count()
+    body = chunks.select("chunk_id", tokens(F.col("content")).alias("t"))
+    own = F.array_distinct(tokens(F.col("query")))
+    active = text_index.written(queries.select("query_id", own.alias("asked"), F.array_join(own, " ").alias("query")))
+    found = None
+    for nth in range(1, rounds + 1):
+        hits = text_index.written(bm25_topk(chunks, active.select("query_id", "query"), k).select("query_id", "chunk_id", "score", "rank"))
+        this = hits.withColumn("round", F.lit(nth))
+        found = this if found is None else found.unionByName(this)
+        if nth == rounds:
+            break
+        seen = hits.join(body, "chunk_id").join(active, "query_id")
+        held = F.size(F.array_intersect("asked", F.array_distinct("t"))) / F.size("asked")
+        done = seen.groupBy("query_id").agg(F.max(held).alias("held")).filter(F.col("held") > good)
+        tf = seen.filter(F.col("rank") <= docs).join(done, "query_id", "left_anti").select("query_id", "query", F.explode("t").alias("token")).filter(~F.array_contains(tokens(F.col("query")), F.col("token"))).groupBy("query_id", "token").agg(F.count("*").alias("tf"))
+        weight = F.round(F.col("tf") * (F.ln((F.lit(n) + 1) / (F.col("df") + 1)) + 1), 6)
+        heaviest = Window.partitionBy("query_id").orderBy(F.col("weight").desc(), "token")
+        best = tf.join(frequency, "token").withColumn("weight", weight).withColumn("nth", F.row_number().over(heaviest)).filter(F.col("nth") <= terms)
+        more = best.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("token")), " ").alias("more"))
+        # Without new terms another round would find the same.
+        active = text_index.written(active.join(more, "query_id").select("query_id", "asked", F.concat_ws(" ", "query", "more").alias("query")))
+        if not active.head(1):
+            break
+    first = found.groupBy("query_id", "chunk_id").agg(F.min(F.struct("round", "rank", "score")).alias("x"))
+    order = Window.partitionBy("query_id").orderBy("x.round", "x.rank")
+    return first.select("query_id", "chunk_id", "x.round", "x.score", F.row_number().over(order).alias("rank"))
+
+
+def offline(cached: DataFrame, vector_hits: DataFrame, text_hits: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Hits of a cache (query_id, chunk_id, score, rank) for the queries it knows; vector and text hits, fused, for the others alone."""
+    missed = queries.select("query_id").join(cached.select("query_id").distinct(), "query_id", "left_anti")
+    both = vector_hits.unionByName(text_hits).join(missed, "query_id", "left_semi")
+    from_cache = cached.filter(F.col("rank") <= k).withColumn("sources", F.lit("cache"))
+    return from_cache.select("query_id", "chunk_id", "score", "rank", "sources").unionByName(rrf(both, k=k).select("query_id", "chunk_id", "score", "rank", "sources"))

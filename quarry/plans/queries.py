@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import chosen
-from quarry.functions.vectors import mock_embedding, mock_hash
-from quarry.operators import chunking, evaluation, fusion, query, recall, splitters, store
+from quarry.functions.vectors import mock_embedding, mock_hash, with_mock_embedding
+from quarry.operators import boundaries, chunking, code_units, evaluation, fusion, late, query, recall, splitters, store
+from quarry.operators.vector_index import VectorIndex
+from quarry.plans import search
 from quarry.sources.files import corpus
+from quarry.sources.segments import Change, Segments, work_folder
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,13 +96,22 @@ def chunk_recursive(spark, d):
 
 
 def chunk_semantic(spark, d):
-    return splitters.semantic_boundary(corpus(spark, d)).select(*CHUNK)
+    return boundaries.semantic_chunks(corpus(spark, d)).select(*CHUNK)
 
 
 def chunk_code(spark, d):
     return splitters.code_units(corpus(spark, d).filter(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*chunking.CODE_EXTENSIONS))).select(*CHUNK)
 
 
+def code_nested(spark, d):
+    """Each document as code: a class of its own, with a method for each line that returns it."""
+    quoted = lambda line: F.replace(F.replace(line, F.lit("\\"), F.lit("/")), F.lit('"'), F.lit("'"))
+    method = lambda line, i: F.concat(F.lit("  m"), i.cast("string"), F.lit('() {\n    return "'), quoted(line), F.lit('";\n  }\n'))
+    body = F.array_join(F.transform(F.split("content", "\n"), method), "")
+    code = corpus(spark, d).select("doc_id", F.lit("ts").alias("extension"), F.concat(F.lit("class D"), F.col("doc_id").cast("string"), F.lit(" {\n"), body, F.lit("}\n")).alias("content"))
+    return code_units.code_units(code).select("doc_id", "ordinal", "kind", "name", "parent", "start_pos", "end_pos", "content")
+
+
 def chunk_granularities(spark, d):
     return splitters.multi_granularity(corpus(spark, d)).select("doc_id", "granularity", "parent", "ordinal", "start_pos", "end_pos", "content")
 
@@ -153,6 +165,30 @@ def vector_topk(spark, d):
     return vector_hits(spark, d).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def index_exact(spark, d):
+    """The vector index with all its lists open, and rows ruled out only where its codes prove it."""
+    found = VectorIndex(spark, work_folder(spark)).build(vectors(spark, d)).search(vector_queries(spark, d))
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def index_probed(spark, d):
+    """The vector index with half of its lists open for each query, and the best 200 by their codes scored in full."""
+    index = VectorIndex(spark, work_folder(spark)).build(vectors(spark, d))
+    found = index.search(vector_queries(spark, d), probes=len(index.model.lists) // 2, shortlist=200)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def index_changes(spark, d):
+    """A vector index that grew, took rows in place of others, lost some and was compacted."""
+    rows = vectors(spark, d)
+    index = VectorIndex(spark, work_folder(spark)).build(rows.filter("chunk_id % 3 <> 0"))
+    index.add(rows.filter("chunk_id % 3 = 0"))
+    index.add(rows.filter("chunk_id % 5 = 1"))
+    index.remove(rows.filter("chunk_id % 7 = 1").select("chunk_id"))
+    index.compact()
+    return index.search(vector_queries(spark, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 def code_topk(spark, d):
     kinds = vectors(spark, d).select("chunk_id", F.when(F.col("chunk_id") % 6 + 1 <= 4, F.when(F.col("chunk_id") % 6 >= 1, F.lit("code"))).alias("kind"))
     return recall.code_recall(vectors(spark, d), kinds, vector_queries(spark, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
@@ -179,6 +215,12 @@ def fulltext_topk(spark, d):
     return recall.fulltext_topk(chunks, text_queries(spark, d)).select(*HIT)
 
 
+def fulltext_short(spark, d):
+    """Fragments of the passages, most of them inside a word or around one gap between words."""
+    part = F.substring(F.col("query"), (F.col("query_id") % 5 + 1).cast("int"), (F.col("query_id") % 9 + 1).cast("int"))
+    return recall.fulltext_topk(whole_documents(spark, d), text_queries(spark, d).withColumn("query", part)).select(*HIT)
+
+
 def bm25_topk(spark, d):
     return recall.bm25_topk(whole_documents(spark, d), text_queries(spark, d)).select(*HIT)
 
@@ -285,6 +327,20 @@ def store_delete(spark, d):
     return counts.unionByName(report.select("doc_id", F.col("deleted_chunks").alias("n"), F.lit("deleted").alias("state")))
 
 
+def store_log(spark, d):
+    """Chunks in a table of segments: two parts, a third of the documents anew, deletions by document and by chunk, merged."""
+    chunks = chunking.fixed_size(corpus(spark, d)).select("doc_id", (F.col("doc_id") * 100_000 + F.col("ordinal")).alias("chunk_id"), F.lit(0).alias("version"), F.length("content").alias("size"))
+    table = Segments(spark, work_folder(spark))
+    table.commit(chunks=Change(chunks.filter("doc_id % 2 = 0")))
+    table.commit(chunks=Change(chunks.filter("doc_id % 2 = 1")))
+    anew = chunks.filter("doc_id % 3 = 0").withColumn("version", F.lit(1))
+    table.commit(chunks=Change(anew, {"doc_id": anew.select("doc_id")}))
+    table.commit(chunks=Change(gone={"doc_id": chunks.filter("doc_id % 5 = 0").select("doc_id"), "chunk_id": chunks.filter("chunk_id % 100000 = 1").select("chunk_id")}))
+    table.compact("chunks", fan=3)
+    table.commit(chunks=Change(chunks.filter("doc_id % 10 = 0").withColumn("version", F.lit(2))))
+    return table.read("chunks")
+
+
 def store_stats(spark, d):
     return store.stats(corpus(spark, d), chunking.fixed_size(corpus(spark, d)), "n_chars")
 
@@ -316,6 +372,56 @@ def store_delta(spark, d):
     return store.pending(stored(spark, d), changed(spark, d), "id", "n_chars", "indexed_at")
 
 
+def late_interaction(spark, d):
+    """Documents by the best matches of a passage's tokens, with test vectors of 16 dimensions for tokens."""
+    found = late.late_interaction_topk(whole_documents(spark, d), text_queries(spark, d), lambda t: with_mock_embedding(t, "token", 16))
+    return found.select(*HIT)
+
+
+def semantic_merge(spark, d):
+    """The first 20 hits of each passage, documents with like words as one."""
+    hits = recall.bm25_topk(whole_documents(spark, d), text_queries(spark, d), 20).join(whole_documents(spark, d).select("chunk_id", "content"), "chunk_id")
+    return fusion.semantic_merge(hits).select("query_id", "chunk_id", "score", "rank", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
+
+
+def feedback_rounds(spark, d):
+    return recall.feedback_rounds(whole_documents(spark, d), text_queries(spark, d))
+
+
+def library_search(spark, d):
+    """Questions about conversations, answered from the documents in all steps of the library."""
+    chunks = corpus(spark, d).select(F.col("doc_id").alias("chunk_id"), "content", F.col("path").alias("source"))
+    return search.answer(questions(spark, d), chunks).withColumn("score", F.round("score", 6))
+
+
+def offline_search(spark, d):
+    """Every third query's answer is in the cache already; the others are searched by vector and text."""
+    known = vector_hits(spark, d).filter("query_id % 3 = 0").select("query_id", "chunk_id", "score", "rank")
+    asked = vector_queries(spark, d).select("query_id").unionByName(text_queries(spark, d).select((F.col("query_id") * 50).alias("query_id"))).distinct()
+    return six(recall.offline(known, vector_hits(spark, d, 20), text_hits(spark, d, 20), asked), "sources")
+
+
+def eval_details(spark, d):
+    """Whether BM25 finds the documents that hold a passage, at which rank, and its first hits."""
+    docs, asked = whole_documents(spark, d), text_queries(spark, d)
+    shown = evaluation.details(recall.bm25_topk(docs, asked), recall.fulltext_topk(docs, asked, 1000))
+    line = F.transform("shown", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["chunk_id"].cast("string"), F.when(x["relevant"], "1").otherwise("0")))
+    return shown.select("query_id", "hit", "first_rank", F.array_join(line, ",").alias("shown"))
+
+
+def runs_compared(spark, d):
+    """Precision among ten by vector and by code hits, compared query by query."""
+    kinds = vectors(spark, d).select("chunk_id", F.when((F.col("chunk_id") % 6).between(1, 3), F.lit("code")).alias("kind"))
+    labels = vectors(spark, d).select("chunk_id", F.col("label").alias("found"))
+
+    def precision(hits: DataFrame, run: str) -> DataFrame:
+        own = hits.join(labels, "chunk_id").join(vector_queries(spark, d).select("query_id", "label"), "query_id")
+        return own.groupBy("query_id").agg(F.avg((F.col("found") == F.col("label")).cast("double")).alias("value")).withColumn("run", F.lit(run))
+
+    runs = precision(vector_hits(spark, d), "vector").unionByName(precision(recall.code_recall(vectors(spark, d), kinds, vector_queries(spark, d)), "code"))
+    return evaluation.compared(runs, "vector", "code", 500)
+
+
 def recall_normalised(spark, d):
     asked = text_queries(spark, d).withColumn("query_id", F.col("query_id") * 50)
     hits = recall.bm25_topk(whole_documents(spark, d), asked, 20).unionByName(recall.vector_recall(vectors(spark, d), vector_queries(spark, d), 20))
@@ -406,6 +512,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         result_filter, query_parse, query_route, query_decompose, query_expand, path_weights, eval_metrics, store_upsert, store_delete,
         store_stats, store_sync, doc_listing, history_last100, metrics_last100, rate_limit, constraint_check, event_health, span_report,
         cache_stats, coverage, regression_report, doc_view, store_delta, recall_normalised, fusion_report, result_filter_language,
-        multi_condition, query_tfidf, query_vague, query_budget,
+        multi_condition, query_tfidf, query_vague, query_budget, index_exact, index_probed, index_changes, fulltext_short, code_nested, store_log,
+        late_interaction, semantic_merge, feedback_rounds, library_search, offline_search, eval_details, runs_compared,
     )
 }

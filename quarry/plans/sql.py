@@ -324,3 +324,104 @@ cuts AS (SELECT doc_id, content, pos AS a, coalesce(lead(pos) OVER (PARTITION BY
   WHERE i = 1 OR regexp_matches(l, '^(?:export\s+|public\s+|async\s+)*(?:def|class|function|interface|func|type|enum)\b')),
 pieces AS (SELECT doc_id, content, b, a + unnest(range(0, (b - a)::BIGINT, 1000)) AS s FROM cuts)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS ordinal, s::INT AS start_pos, least(s + 1000, b)::INT AS end_pos, substr(content, (s + 1)::BIGINT, (least(s + 1000, b) - s)::BIGINT) AS content FROM pieces""".replace("CODE", CODE)
+
+SQL["index_exact"] = SQL["vector_topk"]
+SQL["index_changes"] = f"""WITH {VECTOR}, kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sims WHERE chunk_id % 7 <> 1)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kept WHERE rank <= 10"""
+SQL["fulltext_short"] = f"""WITH {DOCS}, {TEXT_QUERIES}, part AS (SELECT query_id, lower(substr(query, query_id % 5 + 1, query_id % 9 + 1)) AS needle FROM tq),
+hits AS (SELECT query_id, doc_id AS chunk_id, 0.5::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM docs JOIN part ON contains(lower(content), needle) WHERE needle <> '')
+SELECT * FROM hits WHERE rank <= 10"""
+SQL["code_nested"] = f"WITH {DOCS}" + r""", lines AS (
+  SELECT doc_id, 'class D' || doc_id || ' {' || chr(10) AS head, i, string_split(content, chr(10)) AS l FROM (SELECT *, unnest(range(len(string_split(content, chr(10))))) AS i FROM docs)
+), m AS (
+  SELECT doc_id, head, i, '  m' || i || '() {' || chr(10) || '    return "' || replace(replace(l[i + 1], '\', '/'), '"', '''') || '";' || chr(10) || '  }' || chr(10) AS body FROM lines
+), placed AS (
+  SELECT *, length(head) + sum(length(body)) OVER (PARTITION BY doc_id ORDER BY i) AS stop, sum(length(body)) OVER (PARTITION BY doc_id) + length(head) + 1 AS size FROM m
+)
+SELECT doc_id, i + 1 AS ordinal, 'method' AS kind, 'm' || i AS name, 0 AS parent, stop - length(body) AS start_pos, stop - 1 AS end_pos, left(body, length(body) - 1) AS content FROM placed
+UNION ALL SELECT doc_id, 0, 'class', 'D' || doc_id, -1, 0, any_value(size), any_value(head) || string_agg(body, '' ORDER BY i) || '}' FROM placed GROUP BY doc_id
+UNION ALL SELECT doc_id, count(*) + 1, 'text', '', -1, any_value(size), any_value(size) + 1, chr(10) FROM placed GROUP BY doc_id"""
+SQL["store_log"] = f"""WITH {DOCS}, {fixed('f', 500, 50)}
+SELECT doc_id, doc_id * 100000 + ordinal AS chunk_id, CASE WHEN doc_id % 10 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS version, length(content) AS size FROM f
+WHERE doc_id % 10 = 0 OR (doc_id % 5 <> 0 AND ordinal <> 1)"""
+WORDS = r"list_filter(string_split_regex(lower({}), '\s+'), lambda x: x <> '')"
+HASH = "list_reduce(list_transform(string_split(token, ''), lambda c: unicode(c)::BIGINT), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, 0::BIGINT)"
+SQL["late_interaction"] = f"""WITH {DOCS}, {TEXT_QUERIES}, held AS (SELECT DISTINCT doc_id AS chunk_id, unnest({WORDS.format('content')}) AS token FROM docs),
+asked AS (SELECT DISTINCT query_id, unnest({WORDS.format('query')}) AS token FROM tq),
+v AS (SELECT token, list_transform(range(16), lambda i: (sin(h::DOUBLE + i) * 0.5)::FLOAT::DOUBLE) AS e FROM (SELECT token, {HASH} AS h FROM (SELECT token FROM held UNION SELECT token FROM asked))),
+sims AS (SELECT q.token AS asked, t.token, list_cosine_similarity(q.e, t.e) AS c FROM (SELECT * FROM v WHERE token IN (SELECT token FROM asked)) q, (SELECT * FROM v WHERE token IN (SELECT token FROM held)) t),
+near AS (SELECT * FROM (SELECT asked, token, round(c, 9) AS c, row_number() OVER (PARTITION BY asked ORDER BY round(c, 9) DESC, token) AS r FROM sims) WHERE r <= 2),
+found AS (SELECT query_id, chunk_id, round(sum(c), 6) AS found FROM (SELECT query_id, chunk_id, near.asked, max(c) AS c FROM asked JOIN near ON near.asked = asked.token JOIN held ON held.token = near.token GROUP BY ALL) GROUP BY ALL),
+short AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY found DESC, chunk_id) AS r FROM found) WHERE r <= 50),
+best AS (SELECT query_id, chunk_id, sims.asked, max(c) AS c FROM short JOIN asked USING (query_id) JOIN held USING (chunk_id) JOIN sims ON sims.asked = asked.token AND sims.token = held.token GROUP BY ALL),
+full_ AS (SELECT query_id, chunk_id, round(sum(c), 6) AS score FROM best GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM full_)
+SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10"""
+SQL["semantic_merge"] = f"""WITH RECURSIVE {BM25}, m AS (SELECT query_id, chunk_id, score, rank, list_distinct({WORDS.format('content')}) AS w FROM bm JOIN docs ON doc_id = chunk_id WHERE rank <= 20),
+link AS (SELECT a.query_id, a.rank AS x, b.rank AS y FROM m a JOIN m b ON a.query_id = b.query_id WHERE a.rank = b.rank OR len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.8),
+reach AS (SELECT query_id, x, y FROM link UNION SELECT r.query_id, r.x, l.y FROM reach r JOIN link l ON l.query_id = r.query_id AND l.x = r.y),
+lab AS (SELECT query_id, x AS rank, min(y) AS g FROM reach GROUP BY ALL),
+g AS (SELECT m.query_id, g, arg_min(chunk_id, m.rank) AS chunk_id, max(score) AS score, string_agg(chunk_id, ',' ORDER BY m.rank) AS members FROM m JOIN lab ON lab.query_id = m.query_id AND lab.rank = m.rank GROUP BY ALL)
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY g) AS rank, members FROM g"""
+
+
+def feedback(rounds: int = 3) -> str:
+    """Rounds of BM25, each with the tokens that the one before added."""
+    parts = [f"""WITH {DOCS}, {TEXT_QUERIES}, terms AS (SELECT doc_id AS chunk_id, {WORDS.format('content')} AS t FROM docs),
+size AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM terms),
+post AS (SELECT token, chunk_id, len, count(*) AS tf FROM (SELECT chunk_id, len(t) AS len, unnest(t) AS token FROM terms) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM post GROUP BY ALL),
+a1 AS (SELECT query_id, list_distinct({WORDS.format('query')}) AS asked, list_distinct({WORDS.format('query')}) AS q FROM tq)"""]
+    for r in range(1, rounds + 1):
+        parts.append(f"""s{r} AS (
+  SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score
+  FROM (SELECT query_id, unnest(q) AS token FROM a{r}) x JOIN post USING (token) JOIN df USING (token), size GROUP BY ALL
+), h{r} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s{r}) WHERE rank <= 10)""")
+        if r < rounds:
+            parts.append(f"""d{r} AS (SELECT query_id FROM h{r} JOIN terms USING (chunk_id) JOIN a{r} USING (query_id) GROUP BY query_id HAVING max(len(list_intersect(asked, t))::DOUBLE / len(asked)) > 0.8),
+f{r} AS (SELECT query_id, token, count(*) AS tf FROM (SELECT query_id, q, unnest(t) AS token FROM h{r} JOIN terms USING (chunk_id) JOIN a{r} USING (query_id) WHERE rank <= 3 AND query_id NOT IN (SELECT query_id FROM d{r})) WHERE NOT list_contains(q, token) GROUP BY ALL),
+b{r} AS (SELECT query_id, token FROM (SELECT query_id, token, row_number() OVER (PARTITION BY query_id ORDER BY round(tf * (ln((n + 1)::DOUBLE / (df + 1)) + 1), 6) DESC, token) AS nth FROM f{r} JOIN df USING (token), size) WHERE nth <= 5),
+a{r + 1} AS (SELECT query_id, any_value(asked) AS asked, list_concat(any_value(q), list(token)) AS q FROM a{r} JOIN b{r} USING (query_id) GROUP BY query_id)""")
+    every = " UNION ALL ".join(f"SELECT *, {r} AS round FROM h{r}" for r in range(1, rounds + 1))
+    parts.append(f"al AS ({every}), once AS (SELECT query_id, chunk_id, min((round, rank, score)) AS x FROM al GROUP BY ALL)")
+    return ", ".join(parts) + " SELECT query_id, chunk_id, x[1] AS round, x[3] AS score, row_number() OVER (PARTITION BY query_id ORDER BY x[1], x[2]) AS rank FROM once"
+
+
+SQL["feedback_rounds"] = feedback()
+DECOMPOSED = SQL["query_decompose"].rsplit("SELECT query_id, CASE WHEN dep", 1)[0]
+ROUTED = SQL["query_route"]
+SQL["library_search"] = DECOMPOSED + ", " + BM25.replace(TEXT_QUERIES, "tq AS (SELECT query_id || '/' || nth AS query_id, x.q AS query FROM u)") + f""",
+ft AS (SELECT query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM docs JOIN tq ON contains(lower(content), lower(query)) WHERE query <> ''),
+hits AS (SELECT query_id AS part, chunk_id, rank, 'keyword' AS path FROM bm WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, rank, 'fulltext' FROM ft WHERE rank <= 20),
+pw AS ({SQL["path_weights"].split("), w AS (", 1)[1].split(chr(10) + ")" + chr(10))[0].strip().join(["SELECT query_id, v, f, k, s, h FROM (", ")"])}),
+fused AS (
+  SELECT query_id, chunk_id, round(sum(round((CASE path WHEN 'keyword' THEN k ELSE f END) / (v + f + k + s + h), 9) * x.w / (60 + rank)), 9) AS score, string_agg(DISTINCT path, ',' ORDER BY path) AS sources, count(DISTINCT nth) AS parts
+  FROM hits JOIN u ON part = query_id || '/' || nth JOIN pw USING (query_id) GROUP BY ALL
+), few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS first FROM fused) WHERE first <= 30),
+feats AS (
+  SELECT few.*, len(list_filter(words[1:5], lambda w: contains(lower(content), lower(w))))::DOUBLE / greatest(len(words[1:5]), 1) AS exact,
+    least(1.0::DOUBLE, coalesce(list_sum(list_transform(words[1:5], lambda w: (length(content) - length(replace(lower(content), lower(w), '')))::DOUBLE / length(w))), 0) / greatest(length(content) / 100.0::DOUBLE, 1.0::DOUBLE)) AS density,
+    (CASE WHEN regexp_matches(docs.path, '\\.(md|ts)$') THEN 0.9 WHEN regexp_matches(docs.path, '\\.(js|py)$') THEN 0.85 WHEN docs.path LIKE '%.json' THEN 0.7 ELSE 0.8 END)::DOUBLE AS quality
+  FROM few JOIN docs ON doc_id = chunk_id JOIN parsed USING (query_id)
+), rr AS (SELECT *, round(0.3::DOUBLE * score + 0.7::DOUBLE * (2.0 * exact + 0.5::DOUBLE * density + 0.1::DOUBLE + 0.3::DOUBLE * quality), 9) AS best FROM feats),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, first, chunk_id) AS rank FROM rr),
+routed AS (SELECT query_id, strategy FROM ({ROUTED}))
+SELECT query_id, strategy, rank, chunk_id, round(best, 6) AS score, sources, parts FROM placed JOIN routed USING (query_id) WHERE rank <= 10"""
+SQL["offline_search"] = f"""WITH {VECTOR}, {TEXT_HITS.replace("WHERE rank <= 10", "WHERE rank <= 20")}, wide AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sims) WHERE rank <= 20),
+known AS (SELECT query_id, chunk_id, score, rank FROM vhits WHERE query_id % 3 = 0),
+hits AS (SELECT query_id, chunk_id, rank, 'vector' AS path, 0 AS p FROM wide UNION ALL SELECT query_id, chunk_id, rank, 'fulltext', 1 FROM thits),
+f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS s, min((p, rank)) AS seen, string_agg(DISTINCT path, ',' ORDER BY path) AS sources FROM hits WHERE query_id NOT IN (SELECT query_id FROM known) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, seen, chunk_id) AS rank FROM f)
+SELECT query_id, chunk_id, round(s, 6) AS score, rank, sources FROM r WHERE rank <= 10 UNION ALL SELECT query_id, chunk_id, round(score, 6), rank, 'cache' FROM known"""
+SQL["eval_details"] = f"""WITH {BM25}, rel AS (SELECT query_id, doc_id AS chunk_id FROM docs JOIN tq ON contains(lower(content), lower(query)) WHERE query <> ''),
+e AS (SELECT bm.query_id, bm.chunk_id, rank, rel.chunk_id IS NOT NULL AS relevant FROM bm LEFT JOIN rel ON rel.query_id = bm.query_id AND rel.chunk_id = bm.chunk_id WHERE rank <= 10),
+a AS (SELECT query_id, min(rank) FILTER (relevant) AS first, string_agg(rank || ':' || chunk_id || ':' || relevant::INT, ',' ORDER BY rank) AS shown FROM e GROUP BY ALL)
+SELECT query_id, first IS NOT NULL AS hit, coalesce(first, 0) AS first_rank, coalesce(shown, '') AS shown FROM (SELECT DISTINCT query_id FROM rel) LEFT JOIN a USING (query_id)"""
+SQL["runs_compared"] = f"""WITH {VECTOR}, wide AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM sims) WHERE r <= 20),
+code AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM wide WHERE chunk_id % 6 BETWEEN 1 AND 3) WHERE rank <= 10),
+a AS (SELECT query_id, avg((w.label = q.label)::INT) AS a FROM wide w JOIN q USING (query_id) WHERE r <= 10 GROUP BY ALL),
+b AS (SELECT query_id, avg((c.label = q.label)::INT) AS b FROM code c JOIN q USING (query_id) GROUP BY ALL),
+d AS (SELECT query_id, a, b, round(a - b, 9) AS d FROM a JOIN b USING (query_id)),
+t AS (SELECT count(*) AS n, round(avg(a), 6) AS mean_first, round(avg(b), 6) AS mean_second, round(avg(d), 6) AS difference, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, abs(sum(d)) AS far FROM d),
+s AS (SELECT draw, abs(sum(CASE WHEN md5(query_id || ':' || draw)[1] < '8' THEN -d ELSE d END)) AS s FROM d, range(1, 501) AS x(draw) GROUP BY draw)
+SELECT n, mean_first, mean_second, difference, wins, losses, round((SELECT count(*) FILTER (s >= far - 1e-9) + 1 FROM s, t) / 501.0::DOUBLE, 6) AS p_value FROM t"""
