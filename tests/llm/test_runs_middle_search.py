@@ -69,7 +69,9 @@ def test_runs_of_edge_cases(edges, nothing, make):
     assert rows[2]["collapsed"] == rows[1]["collapsed"]
     # A cycle of 977 words over 30,000.
     assert [tuple(r) for r in rows[10]["runs"]] == [(0, 30_000, 977)] and len(rows[10]["collapsed"].split()) == 977
-    assert rows[12]["collapsed"] == "émoji 🙂 ▁ under\x00zero line"
+    # Other white space than the contract's belongs to words.
+    text = next(r["text"] for r in edges.collect() if r["doc_id"] == 12)
+    assert rows[12]["collapsed"] == " ".join(x.decode() for x in text.encode().split())
     assert periodic_runs(nothing).collect() == []
     ties = periodic_runs(make([(1, "a a a a a a b c c c c c c", "en", "s"), (1, "a a a a a a b c c c c c c", "en", "s")])).collect()
     assert [[tuple(r) for r in t["runs"]] for t in ties] == [[(0, 6, 1), (7, 6, 1)]] * 2
