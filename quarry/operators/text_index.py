@@ -14,8 +14,8 @@ from quarry.sources.segments import work_folder
 
 # What BM25 takes as usual.
 K1, B = 1.2, 0.75
-#: Chunks of a block; blocks of a query that are scored first, for a threshold; queries of a visit; blocks that go together; characters of a gram.
-BLOCK, FIRST, QUERIES, GROUP, GRAM = 64, 2, 512, 16, 3
+#: Chunks of a block; queries of a visit; blocks that go together; characters of a gram.
+BLOCK, QUERIES, GROUP, GRAM = 64, 512, 16, 3
 
 
 def tokens(text: Column) -> Column:
@@ -83,13 +83,13 @@ class BlockMax:
     scored: DataFrame  # query_id, chunk_id, score: the k best of each opened block
 
 
-def block_max(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, block: int = BLOCK, first: int = FIRST) -> BlockMax:
+def block_max(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, block: int = BLOCK) -> BlockMax:
     """BM25 over distinct query tokens, skipping blocks that cannot reach a query's k-th score.
 
     Chunks of like length are dealt to blocks of about ``block``; a block's postings are one
     row. Of each token the largest part of a score in the block is taken, and their sum over a
-    query's tokens bounds the score of every chunk there. The blocks with the highest
-    bounds are scored first, which gives a k-th score; then every block is scored for those
+    query's tokens bounds the score of every chunk there. The k blocks with the highest
+    bounds are scored first, as one hit of each may do, which gives a k-th score; then every block is scored for those
     queries whose bound reaches theirs, and passed over for the others. Nothing that could
     be among the k best is left out. A visit of a block by up to ``QUERIES`` queries is a product of
     two small matrices, and sends on k rows for each query at most: postings are never
@@ -107,8 +107,10 @@ def block_max(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b:
     each = terms.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("token")).join(wanted, "token", "left_semi")
     # By chunk, so that a chunk's tokens are counted where they meet.
     raw = written(each.repartition("chunk_id").groupBy("chunk_id", "token", "len").agg(F.count("*").alias("tf")))
-    n = seen.get["n"]
-    mean = (seen.get["total"] or 0) / n if n else 1.0
+    # Without any posting nothing may have been observed, and nothing is to be weighed.
+    told = seen.get if raw.head(1) else {"n": 0, "total": 0}
+    n = told["n"]
+    mean = told["total"] / n if n else 1.0
 
     like = F.floor(2 * F.log2("len")).cast("int")
     # One row for each power of the square root of two.
@@ -157,7 +159,7 @@ def block_max(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b:
 
     bounds = visited(to_all(packs(asked)), f"query_id {id_type}, block int, bound double", bounded)
     by_bound = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
-    best = bounds.withColumn("nth", F.row_number().over(by_bound)).filter(F.col("nth") <= first)
+    best = bounds.withColumn("nth", F.row_number().over(by_bound)).filter(F.col("nth") <= k)
     chosen = best.groupBy("block", q_block).agg(F.collect_list("query_id").alias("only"))
     hits = written(visited(to_all(packs(asked)).join(chosen, ["block", "q_block"]), scores, scored_first))
     by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
