@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm.html_extraction import blocks, extract, style_tree
+from quarry.llm.html_extraction import FRESH, LEVELS, MAIN, NOISE, PLAIN, PRIOR, SHAPES, blocks, extract, page_tree, style_tree
 from quarry.llm.sentencepiece_sampling import LITERAL, SPACE, Lattices, Pieces, decode, decode_ids, encode, encode_batch, segments
 from quarry.llm.url_filter import RULES, url_filter
 
@@ -18,8 +18,14 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <form><input><label>Mail</label></form><footer>Foot</footer>"""
 
 
+def wanted(page):
+    """The blocks of a page that no mark calls unwanted."""
+    return [t for _, part, _, t in blocks(page) if part != NOISE]
+
+
 def test_blocks():
-    assert [t for _, _, _, t in blocks(PAGE)] == ["Title & more", "One two", "three four", "a", "b", "five six"]
+    assert [t for _, part, _, t in blocks(PAGE) if part == NOISE] == ["Home", "Buy", "Side", "Me too", "Mail", "Foot"]
+    assert wanted(PAGE) == ["Title & more", "One two", "three four", "a", "b", "five six"]
     assert blocks(None) == blocks("") == []
 
 
@@ -59,10 +65,15 @@ def test_tree_decides_on_marked_pages(spark):
         ('<p title="x>unbalanced</p> next', ["unbalanced", "next"]),
         ('a<SCRIPT>"</scriptx>"</SCRIPT >b', ["a b"]),
         ("a<!-- never closed <p>b", ["a"]),
+        (f'a <p title="{"x" * 9000}>leak"> b', ["a", "b"]),
+        ("<div>" * 600 + '<nav>Home</nav><div class="ad">Buy</div>deep' + "</div>" * 600 + "<article>end</article>", ["deep", "end"]),
+        ('<article>a<div class="reader-comments">c</div><div class="sponsored-content">d</div></article>', ["a"]),
+        ('<article>a<ul class="comment-thread">c</ul><div class="user-reviews">d</div><div id="disqus_thread">e</div></article>', ["a"]),
+        ('<article><section class="discussion"><h2>b</h2><p>c</p></section><blockquote class="share">d</blockquote><p class="alert">e</p></article>', ["b", "c", "d", "e"]),
     ],
 )
 def test_blocks_of_odd_pages(page, want):
-    assert [t for _, _, _, t in blocks(page)] == want
+    assert wanted(page) == want
 
 
 @pytest.mark.parametrize("unit", ["<a ", '<a "', "<b>", "<b></i>", "<li><b>", "<![CDATA[", "<!--", "<script>", "<", '<a ">', "<p>x"])
@@ -72,47 +83,99 @@ def test_time_to_parse_grows_with_the_page_alone(unit):
     assert time.perf_counter() - began < 20
 
 
-def slow_importance(pages):
-    """Importance of each path by definition, from the blocks of the distinct pages of each host."""
+def slow_importance(hosts):
+    """Importance of each node by definition, from the pages (page_tree) of each host."""
 
     def entropy(counts):
         return -sum(n / sum(counts) * math.log(n / sum(counts)) for n in counts)
 
-    def tree(pages):
-        on = defaultdict(list)
-        for page in pages:
-            by_path = defaultdict(list)
-            for path, *_, text in page:
-                by_path[path].append(text)
-            for path, texts in by_path.items():
-                on[path].append(texts)
-        out = {}
-        for path, each in on.items():
-            m = len(each)
-            holding = Counter(t for texts in each for t in set(texts))
-            # The entropy of a text over the pages that hold it once each is the logarithm of their number.
-            content = 1 - sum(n * math.log(n) for n in holding.values()) / (sum(holding.values()) * math.log(m)) if m > 1 else 1
-            shape = entropy(list(Counter(map(len, each)).values())) / math.log(m) if m > 1 else 1
-            out[path] = m, (0.9 * max(0, content) + 0.1 * shape if m > 1 else 1)
+    def told(pages):
+        """(pages, content, presentation, holds text) of each path."""
+        shapes, texts, out = defaultdict(list), defaultdict(Counter), {}
+        for found, nodes in pages:
+            for path, (_, _, _, shape) in nodes.items():
+                shapes[path].append(shape)
+            for path, text in {(b[0], b[3]) for b in found}:
+                texts[path][text] += 1
+        for path, each in shapes.items():
+            m, held = len(each), texts[path]
+            lost = sum(n * math.log(n) for n in held.values()) / (sum(held.values()) * math.log(m)) if held and m > 1 else 0
+            varied = entropy(list(Counter(each).values())) / math.log(min(m, SHAPES)) if m > 1 else 0
+            out[path] = m, 1 - min(1, lost), min(1, varied), bool(held)
         return out
 
-    every = {path: ((m - 1) * x + 2) / (m + 1) for path, (m, x) in tree([p for host in pages.values() for p in host]).items()}
-    return {(host, path): ((m - 1) * x + 2 * every[path]) / (m + 1) for host, own in pages.items() for path, (m, x) in tree(own).items()}
+    def drawn(m, x, to):
+        return ((m - 1) * x + PRIOR * to) / (m - 1 + PRIOR)
+
+    def key(found):
+        chars = sum(len(b[3]) * (1 if b[1] != NOISE else -1) for b in found)
+        return tuple((b[0], b[3]) for b in found if chars < 0 or b[1] != NOISE)
+
+    distinct = {h: list({key(p[0]): p for p in reversed(pages)}.values()) for h, pages in hosts.items()}
+    every = {path: (drawn(m, c, 1), drawn(m, v, 0)) for path, (m, c, v, _) in told([p for pages in distinct.values() for p in pages]).items()}
+    out = {}
+    for host, pages in distinct.items():
+        nodes = {path: node for _, nodes in pages for path, node in nodes.items()}
+        own = {path: (drawn(m, c, every[path][0]), drawn(m, v, every[path][1]), holds) for path, (m, c, v, holds) in told(pages).items()}
+        reach = {path: max(own[a][1] for a in nodes[path][0]) for path in nodes}
+        leaves = {path: own[path][0] * (FRESH + reach[path]) for path in nodes if own[path][2]}
+        best = max([s for path, s in leaves.items() if nodes[path][1] != NOISE], default=0)
+        other = max([own[path][0] for path in leaves if nodes[path][1] != NOISE], default=0)
+        for path, score in leaves.items():
+            by_part = {PLAIN: score / max(best, FRESH), MAIN: own[path][0], NOISE: own[path][0] * reach[path] * (1 - other)}
+            for a in nodes[path][0]:
+                out[host, a] = max(out.get((host, a), 0), min(1, by_part[nodes[path][1]]))
+    return out
+
+
+TREES = "host string, blocks array<struct<path: long, part: int, doubt: boolean, text: string>>, nodes array<struct<path: long, above: array<long>, part: int, doubt: boolean, shape: long>>"
 
 
 def test_importance_by_definition(spark):
     rng = np.random.default_rng(3)
-    pages = {}
-    rows = []
+    hosts, rows = {}, []
     for host, n in (("a", 9), ("b", 2), ("c", 1), ("d", 30)):
-        pages[host] = []
+        hosts[host] = []
         for k in range(n):
-            page = [(1, 1, False, f"{host}{k}"), (1, 1, False, f"{k}"), (2, 1, True, "menu"), *[(3, 2, False, str(x)) for x in rng.integers(0, 4, int(rng.integers(1, 4)))]]
-            pages[host].append(page)
-            rows += [(host, page)] * (1 + k % 2)
-    df = spark.createDataFrame(rows, "host string, blocks array<struct<path: long, part: int, doubt: boolean, text: string>>")
-    got = {(r["host"], r["path"]): r["importance"] for r in style_tree(df).collect()}
-    assert got == pytest.approx(slow_importance(pages))
+            links = "".join(f"<li>{x}" for x in rng.integers(0, 9, int(rng.integers(1, 5))))
+            body = "".join(f"<p>{host} {k} {x}</p>" for x in range(int(rng.integers(1, 9))))
+            page = page_tree(f"<nav><ul>{links}</ul></nav><div class='related-box'>{k % 3}</div><div><article>{body}</article></div><div class='share'><p>{k}<p>{host}</div>top {k % 2}")
+            hosts[host].append(page)
+            nodes = [(p, list(a), part, doubt, shape) for p, (a, part, doubt, shape) in page[1].items()]
+            rows += [(host, page[0], nodes)] * (1 + k % 2)
+    got = {(r["host"], r["path"]): r["importance"] for r in style_tree(spark.createDataFrame(rows, TREES)).collect()}
+    assert got == pytest.approx(slow_importance(hosts)) and len(got) == 40
+
+
+def test_presentation_tells_menus_of_new_texts_from_articles(spark):
+    """With names and tags off: nothing repeats but the build of menu, advert and footer."""
+    rng = np.random.default_rng(5)
+
+    def page(k):
+        links = "".join(f"<li><a>go {k} {x}</a>" for x in range(rng.choice([4, 5, 6], p=[0.1, 0.15, 0.75])))
+        body = "".join(f"<p>text {k} {x}</p>" for x in range(rng.integers(1, 30)))
+        return f"<body><div class='x'><ul>{links}</ul></div><div class='y'>buy {k}</div><div class='z'><h1>title {k}</h1>{body}</div><div class='w'>by {k}</div></body>"
+
+    rows = [(k, f"http://{'abc'[k % 3]}.example/{k}", page(k)) for k in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for k, text in ((r["page_id"], r["text"]) for r in extract(df, markup=False).collect()):
+        assert text == "\n".join([f"title {k}", *re.findall(rf"text {k} \d+", rows[k][2])])
+    everything = {r["page_id"]: r["text"] for r in extract(df, markup=False, least=-1.0, least_open=-1.0).collect()}
+    assert all(f"go {k} 0" in t and f"buy {k}" in t and f"by {k}" in t for k, t in everything.items())
+
+
+def test_entropy_overrules_marks(spark):
+    """Articles in a part named like a page part stay; a part marked as article that repeats goes."""
+    share = lambda k: "<body><div class='share'>" + "".join(f"<p>own {k} {x}</p>" for x in range(1 + k % 7)) + "</div><article>same</article></body>"
+    df = spark.createDataFrame([(k, "http://a.example/", share(k)) for k in range(40)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in extract(df).collect()}
+    assert out == {k: "\n".join(f"own {k} {x}" for x in range(1 + k % 7)) for k in range(40)}
+
+
+def test_levels_below_the_last_keep_their_parts():
+    found, nodes = page_tree("<div>" * 3000 + "a<nav>b</nav><p>c" + "</div>" * 3000 + "<p>d")
+    assert [(t, part) for _, part, _, t in found] == [("a", PLAIN), ("b", NOISE), ("c", PLAIN), ("d", PLAIN)]
+    assert max(len(a) for a, *_ in nodes.values()) == LEVELS + 2 and len(nodes) < LEVELS + 6
 
 
 def test_trees_alone_tell_what_a_site_repeats(spark):
