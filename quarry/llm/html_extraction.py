@@ -266,19 +266,44 @@ def blocks(page: str | None, markup: bool = True) -> list[tuple[int, int, bool,
     return page_tree(page, markup)[0]
 
 
+def page_key(found: list[tuple[int, int, bool, str]]) -> int:
+    """One key for the pages that count as one: equal but for parts marked as unwanted, if these do not hold most of the text."""
+    rest = sum(len(t) * (1 if part != NOISE else -1) for _, part, _, t in found)
+    key = xxhash.xxh3_64()
+    for path, part, _, text in found:
+        if rest < 0 or part != NOISE:
+            key.update(f"{path}\n{text}\n".encode("utf-8", "replace"))
+    return key.intdigest() >> 1
+
+
+#: Nodes that a task remembers having described.
+DESCRIBED = 100_000
+
+
 def parsed(markup: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
-            found = [page_tree(h if isinstance(h, str) else None, markup) for h in batch["html"]]
-            yield batch.drop(columns="html").assign(
-                blocks=[[{"path": p, "part": k, "doubt": d, "chars": len(t), "text": t} for p, k, d, t in page] for page, _ in found],
-                nodes=[[{"path": p, "above": list(a), "part": k, "doubt": d, "shape": s} for p, (a, k, d, s) in nodes.items()] for _, nodes in found],
-            )
+            columns: dict[str, list] = {"page": [], "blocks": [], "shapes": [], "nodes": []}
+            for value in batch["html"]:
+                found, nodes = page_tree(value if isinstance(value, str) else None, markup)
+                columns["page"].append(page_key(found))
+                columns["blocks"].append([{"path": p, "part": k, "chars": len(t), "text": t} for p, k, _, t in found])
+                columns["shapes"].append([{"path": p, "h": s} for p, (_, _, _, s) in nodes.items()])
+                columns["nodes"].append([{"path": p, "above": list(a), "part": k, "doubt": d} for p, (a, k, d, _) in nodes.items() if p not in seen])
+                if len(seen) > DESCRIBED:
+                    seen.clear()
+                seen.update(nodes)
+            yield batch.drop(columns="html").assign(**columns)
 
     return run
 
 
-TREE = "blocks array<struct<path: long, part: int, doubt: boolean, chars: int, text: string>>, nodes array<struct<path: long, above: array<long>, part: int, doubt: boolean, shape: long>>"
+#: What ``parsed`` adds to a page; nodes are described once or more by a task, not on every page.
+TREE = (
+    "page long, blocks array<struct<path: long, part: int, chars: int, text: string>>, shapes array<struct<path: long, h: long>>, "
+    "nodes array<struct<path: long, above: array<long>, part: int, doubt: boolean>>"
+)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -303,17 +328,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
     most important text in it. Texts and shapes are counted by hash, so a host's rows
     meet as counts only.
     """
-    slim = F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("h")))
-    shape = F.transform("nodes", lambda n: F.struct(n["path"].alias("path"), n["shape"].alias("h")))
-    chars = lambda noise: F.aggregate("blocks", F.lit(0), lambda n, b: n + F.when((b["part"] == NOISE) == F.lit(noise), F.length(b["text"])).otherwise(0))
-    most = chars(False) >= chars(True)
-    own_text = F.filter("blocks", lambda b: ~most | (b["part"] != NOISE))
-    page = F.xxhash64(own_text["path"], own_text["text"]).alias("page")
-    once = pages.select("host", page, F.array_distinct(slim).alias("texts"), shape.alias("shapes")).dropDuplicates(["host", "page"])
+    slim = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("h"))))
+    # Saved, so that pages are compared once for all counts below.
+    once = saved(pages.select("host", "page", slim.alias("texts"), "shapes").dropDuplicates(["host", "page"]))
     counted = lambda name: once.select("host", F.explode(name).alias("x")).groupBy("host", "x.path", "x.h").agg(F.count("*").alias("n"))
     texts, shapes = counted("texts"), counted("shapes")
     # A path is a hash of all signatures from the root, so these are the same wherever it occurs.
-    nodes = pages.select("host", F.explode("nodes").alias("x")).groupBy("host", "x.path").agg(*(F.first(f"x.{c}").alias(c) for c in ("above", "part", "doubt")))
+    nodes = pages.select(F.explode("nodes").alias("x")).select("x.*").dropDuplicates(["path"])
 
     def told(texts: DataFrame, shapes: DataFrame, *by: str) -> DataFrame:
         spread = lambda df, n, log: df.groupBy(*by).agg(F.sum("n").alias(n), F.sum(F.col("n") * F.ln("n")).alias(log))
@@ -326,7 +347,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     drawn = lambda n, x, to: (n * x + PRIOR * to) / (n + PRIOR)
     every = told(texts.groupBy("path", "h").agg(F.sum("n").alias("n")), shapes.groupBy("path", "h").agg(F.sum("n").alias("n")), "path")
     every = every.select("path", drawn(F.col("more"), F.col("content"), F.lit(1.0)).alias("all_content"), drawn(F.col("more"), F.col("varied"), F.lit(0.0)).alias("all_varied"))
-    own = told(texts, shapes, "host", "path").join(every, "path").join(nodes, ["host", "path"])
+    own = told(texts, shapes, "host", "path").join(every, "path").join(nodes, "path")
     own = own.select("host", "path", "above", "part", "doubt", "holds", drawn(F.col("more"), F.col("content"), F.col("all_content")).alias("content"), drawn(F.col("more"), F.col("varied"), F.col("all_varied")).alias("varied"))
     own = saved(own)
     around = own.select("host", "path", F.explode("above").alias("a")).join(own.select("host", F.col("path").alias("a"), F.col("varied").alias("v")), ["host", "a"])

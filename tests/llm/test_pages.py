@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm.html_extraction import FRESH, LEVELS, MAIN, NOISE, PLAIN, PRIOR, SHAPES, blocks, extract, page_tree, style_tree
+from quarry.llm.html_extraction import FRESH, LEVELS, MAIN, NOISE, PLAIN, PRIOR, SHAPES, TREE, blocks, extract, page_key, page_tree, style_tree
 from quarry.llm.sentencepiece_sampling import LITERAL, SPACE, Lattices, Pieces, decode, decode_ids, encode, encode_batch, segments
 from quarry.llm.url_filter import RULES, url_filter
 
@@ -128,7 +128,7 @@ def slow_importance(hosts):
     return out
 
 
-TREES = "host string, blocks array<struct<path: long, part: int, doubt: boolean, text: string>>, nodes array<struct<path: long, above: array<long>, part: int, doubt: boolean, shape: long>>"
+TREES = f"host string, {TREE}"
 
 
 def test_importance_by_definition(spark):
@@ -141,8 +141,10 @@ def test_importance_by_definition(spark):
             body = "".join(f"<p>{host} {k} {x}</p>" for x in range(int(rng.integers(1, 9))))
             page = page_tree(f"<nav><ul>{links}</ul></nav><div class='related-box'>{k % 3}</div><div><article>{body}</article></div><div class='share'><p>{k}<p>{host}</div>top {k % 2}")
             hosts[host].append(page)
-            nodes = [(p, list(a), part, doubt, shape) for p, (a, part, doubt, shape) in page[1].items()]
-            rows += [(host, page[0], nodes)] * (1 + k % 2)
+            nodes = [(p, list(a), part, doubt) for p, (a, part, doubt, _) in page[1].items()]
+            shapes = [(p, shape) for p, (*_, shape) in page[1].items()]
+            found = [(p, part, len(t), t) for p, part, _, t in page[0]]
+            rows += [(host, page_key(page[0]), found, shapes, nodes)] * (1 + k % 2)
     got = {(r["host"], r["path"]): r["importance"] for r in style_tree(spark.createDataFrame(rows, TREES)).collect()}
     assert got == pytest.approx(slow_importance(hosts)) and len(got) == 40
 
