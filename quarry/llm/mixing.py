@@ -96,6 +96,19 @@ def round_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
+def dealt(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (row, key, n_docs) with draw, group and groups.
+
+    Rows of a source are dealt to groups of about ``LEAF`` by their key, a hash of id and
+    text. Equal rows that would overfill a group are told apart by their place in the table.
+    """
+    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF).select("key", F.lit(True).alias("crowded"))
+    rows = rows.join(crowded, "key", "left").withColumn("key", F.when(F.col("crowded"), F.xxhash64("key", "row")).otherwise(F.col("key"))).drop("crowded")
+    draw = (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    groups = F.greatest(F.ceil(F.col("n_docs") / LEAF), F.lit(1)).cast("long")
+    return rows.withColumn("draw", draw).withColumn("group", F.pmod(F.xxhash64("key", F.lit(seed + 1)), groups)).withColumn("groups", groups)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: int = 17) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, copies, taken.
 
@@ -105,14 +118,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``LEAF``; at most one stays fractional in each, and these residuals meet in groups
     of ``FAN_IN`` until one is left for a source, which a draw settles. The words taken
     therefore differ from the target by less than one document. Groups and draws depend
-    on the seed, ids and sizes alone, so reruns agree.
+    on the seed, ids and texts alone, so reruns agree; where more equal rows than a group
+    takes share both, on their places in the table too. So no id, null included, fills a group.
 
     Edge cases: null text has size 0 and gets 0 words; a null source is a source of
     its own, the last one; repeated rows each count; an empty table gives an empty
     result; other columns are ignored.
     """
     require(docs, (id_col, text_col, source_col))
-    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col).alias("key"))
     slim = saved(slim.withColumn("row", F.monotonically_increasing_id()))
     per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     aims = targets(per_source.select("source", "source_size"), weights, budget, most)
@@ -121,11 +135,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     aims = saved(aims)
     # A hash of the source stands for it in keys; the sources themselves, null included, are joined safely.
     full = slim.join(aims, slim["source"].eqNullSafe(aims["source"])).drop(aims["source"])
-    draw = (F.pmod(F.xxhash64("id", "size", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    full = dealt(full, seed)
     whole = F.floor(F.col("ratio") + 1e-12)
-    groups = F.greatest(F.ceil(F.col("n_docs") / LEAF), F.lit(1)).cast("long")
-    full = full.withColumn("whole", whole).withColumn("p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0))).withColumn("draw", draw)
-    full = full.withColumn("group", F.pmod(F.xxhash64("id", F.lit(seed + 1)), groups)).withColumn("groups", groups)
+    full = full.withColumn("whole", whole).withColumn("p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))
     full = saved(full)
     shape = "row long, size long, aim long, group long, groups long, p double, draw double, open boolean"
     level = full.filter("p > 0 AND size > 0").select("row", "size", "aim", "group", "groups", "p", "draw", F.lit(True).alias("open"))

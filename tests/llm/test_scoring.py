@@ -77,6 +77,18 @@ def test_mixing(make):
         assert abs(taken[s] - want[s]) <= 60
 
 
+@pytest.mark.parametrize("same_text", [False, True])
+def test_rows_of_one_id_take_many_groups(make, monkeypatch, same_text):
+    monkeypatch.setattr(mixing, "LEAF", 50)
+    n = 4000
+    rows = [(None if k % 2 else k, f"w {0 if same_text else k}", "en", "hot") for k in range(n)]
+    keyed = make(rows).select(F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", "text").alias("key"), F.lit(n).alias("n_docs"))
+    sizes = [r["count"] for r in mixing.dealt(keyed, 17).groupBy("group").count().collect()]
+    assert sum(sizes) == n and max(sizes) < 100
+    taken = mixing.mix(make(rows)).agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).first()
+    assert abs(taken["taken"] - taken["target"]) <= 2
+
+
 def test_rounding_keeps_words_and_expectation():
     rng = np.random.default_rng(2)
     size = rng.integers(1, 50, 200)
