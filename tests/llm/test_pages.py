@@ -76,7 +76,7 @@ def test_blocks_of_odd_pages(page, want):
     assert wanted(page) == want
 
 
-@pytest.mark.parametrize("unit", ["<a ", '<a "', "<b>", "<b></i>", "<li><b>", "<![CDATA[", "<!--", "<script>", "<", '<a ">', "<p>x"])
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<b>", "<b></i>", "<li><b>", "<![CDATA[", "<!--", "<script>", "<", '<a ">', "<p>x", "<div>", '">"<a ', "<nav><p>x"])
 def test_time_to_parse_grows_with_the_page_alone(unit):
     began = time.perf_counter()
     blocks(unit * (500_000 // len(unit)))
