@@ -23,9 +23,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SUPPORT, CONFIDENCE = 0.002, 0.6
 #: Bad urls that a combination must have been seen in, so that chance alone makes no rule of a small table.
 LEAST_URLS = 20
-#: Tokens of a labelled url that are mined, its rarest: a url has at most 2 to this power combinations.
-MINED = 10
-BAD = "label=bad"
+BAD = "bad"
 
 
 def host_of(url: Column) -> Column:
@@ -63,43 +61,76 @@ def tokens(url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.concat(*parts)), F.array().cast("array<string>"))
 
 
-def condensed(labelled: DataFrame, least: float) -> DataFrame:
-    """``labelled`` (row, items, bad) with the items that mining needs.
+def classes(labelled: DataFrame, least: float) -> DataFrame:
+    """(token, class, n, bad) of the tokens of ``labelled`` (row, items, bad) that at least ``least`` bad urls hold.
 
-    Tokens in fewer than ``least`` urls can be in no rule. Of tokens that the very same
-    urls hold, like the segments of one path, the first stands for all: each combination of
-    them would be one rule more that fits the same urls. Of the others a url keeps the
-    ``MINED`` rarest, so that no url has more than 2 to this power combinations.
+    Others can be in no rule. Tokens that the very same urls hold, like the segments of one
+    path, are one class: they can stand for each other in each combination.
     """
-    each = labelled.select("row", F.explode("items").alias("token"))
-    # At most tokens in a url / support, at any size of the input.
-    tokens_of = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("urls")).filter(F.col("n") >= least)
-    standing = tokens_of.groupBy("n", "urls").agg(F.min("token").alias("token")).select("token", "n")
-    kept = each.join(standing, "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("x"))
-    rarest = F.transform(F.slice("x", 1, MINED), lambda x: x["token"])
-    return labelled.select("row", "bad").join(kept.select("row", rarest.alias("items")), "row", "left").select("bad", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-
-
-def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Rules (antecedent, confidence, support) for bad urls, from ``labelled`` (row, items, bad)."""
-    n = max(1, labelled.count())
-    support = min(1.0, max(support, LEAST_URLS / n))
-    items = F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(saved(condensed(labelled, support * n)).select(items))
-    return model.associationRules.filter(F.array_contains("consequent", BAD)).select("antecedent", "confidence", "support")
-
-
-def matched(urls: DataFrame, rules: DataFrame, frequency: DataFrame) -> DataFrame:
-    """The urls (column url, items) that hold all tokens of a rule, by an inverted index.
-
-    Each rule is posted under its rarest token alone; a url looks its tokens up there, and
-    the rest of the rule is then compared. A rule without tokens fits nothing.
+    each = labelled.select("row", "bad", F.explode("items").alias("token"))
+    same = [F.bit_xor(F.xxhash64("row")).alias("urls"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("more")]
+    # At most tokens of a url x bad urls / least, at any size of the input.
+    held = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"), *same).filter(F.col("bad") >= least)
+    return held.select("token", F.xxhash64("n", "urls", "more").alias("class"), "n", "bad")
+
+
+def conditional(labelled: DataFrame, known: DataFrame, least: float, confidence: float) -> DataFrame:
+    """The conditional tables of all classes, one below the other: (base, items, bad), a row for each class ``base`` of a url.
+
+    ``items`` are the more frequent classes of the same url, so that a combination is met
+    in the table of its rarest class alone. Left out are classes that fewer than ``least``
+    bad urls hold there; those that all urls with ``base`` hold, as a combination fits the
+    same labelled urls without them, and no fewer of the others; and those that make a
+    rule by themselves, as each combination with them fits no url that they do not fit.
+    All three leave the urls that the rules fit as they are. So a path of nested segments
+    makes a combination for each segment, not one for each set of segments.
+    """
+    each = labelled.select("row", "bad", F.explode("items").alias("token")).join(known.select("token", "class", "n", (F.col("bad") >= confidence * F.col("n")).alias("alone")), "token")
+    sets = each.groupBy("row", "bad").agg(F.sort_array(F.collect_set(F.struct("n", "class", "alone"))).alias("x"))
+    bases = sets.select("row", "bad", F.posexplode("x").alias("at", "own"), "x")
+    rest = F.filter(F.slice("x", F.col("at") + 2, F.size("x")), lambda x: ~x["alone"] & ~F.col("own.alone"))
+    bases = saved(bases.select("row", "bad", F.col("own.class").alias("base"), F.col("own.n").alias("n"), F.transform(rest, lambda x: x["class"]).alias("rest")))
+    pairs = bases.select("row", "bad", "base", "n", F.explode("rest").alias("class"))
+    useful = pairs.groupBy("base", "n", "class").agg(F.count("*").alias("both"), F.count_if("bad").alias("both_bad"))
+    useful = useful.filter((F.col("both_bad") >= least) & (F.col("both") < F.col("n"))).select("base", "class")
+    some = pairs.join(useful, ["base", "class"]).groupBy("row", "base").agg(F.collect_list("class").alias("some"))
+    return bases.join(some, ["row", "base"], "left").select("base", F.coalesce("some", F.array().cast("array<bigint>")).alias("items"), "bad")
+
+
+def mined(labelled: DataFrame, known: DataFrame, least: float, confidence: float = CONFIDENCE) -> DataFrame:
+    """Rules (antecedent: classes, confidence) for bad urls, by FP-growth over all conditional tables at once.
+
+    An item is named by its table's base and its class, so that no combination spans two tables.
+    """
+    tables = saved(conditional(labelled, known, least, confidence))
+    n = tables.count()
+    if not n:
+        return tables.select(F.col("items").alias("antecedent"), F.lit(0.0).alias("confidence"))
+    named = F.transform(F.concat(F.array("base"), "items"), lambda x: F.concat_ws(":", F.col("base"), x))
+    items = F.when(F.col("bad"), F.concat(named, F.array(F.concat_ws(":", F.col("base"), F.lit(BAD))))).otherwise(named).alias("items")
+    # Half a url less, so that rounding of the quotient leaves no combination of just ``least`` urls out.
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, least - 0.5) / n, minConfidence=confidence).fit(tables.select(items))
+    rules = model.associationRules.filter(F.element_at("consequent", 1).endswith(f":{BAD}"))
+    base = F.substring_index(F.element_at("antecedent", 1), ":", 1)
+    whole = F.array_distinct(F.concat(F.array(base), F.transform("antecedent", lambda x: F.substring_index(x, ":", -1))))
+    return rules.select(F.sort_array(whole.cast("array<bigint>")).alias("antecedent"), "confidence").distinct()
+
+
+def matched(urls: DataFrame, rules: DataFrame, known: DataFrame) -> DataFrame:
+    """The urls (column url, items) that hold all classes of a rule, by an inverted index.
+
+    A url holds a class if it holds one of its tokens. Each rule is posted under its
+    rarest class alone; a url looks its classes up there, and the rest of the rule is then
+    compared.
     """
-    numbered = rules.withColumn("rule", F.xxhash64(F.sort_array("antecedent"))).select("rule", "antecedent", "confidence")
-    rarest = numbered.select("rule", F.explode("antecedent").alias("token")).join(frequency, "token").groupBy("rule").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    index = saved(numbered.join(rarest, "rule").select("token", "antecedent", "confidence"))
-    looked = urls.withColumn("token", F.explode("items")).join(index, "token")
-    full = F.size(F.array_except("antecedent", "items")) == 0
+    numbered = rules.withColumn("rule", F.xxhash64("antecedent"))
+    posted = numbered.select("rule", F.explode("antecedent").alias("class")).join(known.select("class", "n").distinct(), "class")
+    rarest = posted.groupBy("rule").agg(F.min_by("class", F.struct("n", "class")).alias("class"))
+    index = saved(numbered.join(rarest, "rule").select("class", "antecedent", "confidence"))
+    used = known.join(posted.select("class").distinct(), "class", "left_semi").select("token", "class")
+    held = urls.select("url", F.explode("items").alias("token")).join(used, "token").groupBy("url").agg(F.collect_set("class").alias("classes"))
+    looked = held.withColumn("class", F.explode("classes")).join(index, "class")
+    full = F.size(F.array_except("antecedent", "classes")) == 0
     return looked.filter(full).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
@@ -108,7 +139,10 @@ def url_filter(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
 
     The longest given rule that fits decides. Else the url is blocked where a mined rule
     fits, with its confidence; else it is allowed. FP-growth mines combinations of url
-    tokens from the pages that have a label of their id (bad: ``label_col`` is 0).
+    tokens from the pages that have a label of their id (bad: ``label_col`` is 0): all of
+    a url's tokens, and combinations of any length. The verdicts are those of all rules of
+    the given support and confidence; ``confidence`` is the highest of the rules that are
+    mined, which hold none that adds a token to a rule of one token (see ``conditional``).
     Verdicts are worked out once for each distinct url. DataFrame functions only.
 
     Edge cases: a null url, or one without ``://``, has empty host and path and no tokens
@@ -123,12 +157,10 @@ def url_filter(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
     labelled = saved(slim.join(marks, "id").filter("url IS NOT NULL").select(F.monotonically_increasing_id().alias("row"), tokens(F.col("url")).alias("items"), "bad"))
     out = slim.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     out = out.withColumn("given", fitting(F.col("host"), F.col("path"), rules))
-    frequency = saved(labelled.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n")))
-    if labelled.isEmpty():
-        out = out.withColumn("confidence", F.lit(None).cast("double"))
-    else:
-        urls = slim.select("url").filter("url IS NOT NULL").distinct().withColumn("items", tokens(F.col("url")))
-        hits = saved(matched(urls, saved(mined(labelled, support, confidence)), frequency))
-        out = out.join(hits, "url", "left")
+    least = max(support * labelled.count(), LEAST_URLS)
+    known = saved(classes(labelled, least))
+    urls = slim.select("url").filter("url IS NOT NULL").distinct().withColumn("items", tokens(F.col("url")))
+    hits = saved(matched(urls, saved(mined(labelled, known, least, confidence)), known))
+    out = out.join(hits, "url", "left")
     verdict = F.coalesce(F.col("given.verdict"), F.when(F.col("confidence").isNotNull(), F.lit("block")), F.lit("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("given.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("given").isNull(), F.col("confidence")).alias("confidence"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quarry.llm.html_extraction import FRESH, LEVELS, MAIN, NOISE, PLAIN, PRIOR, SHAPES, TREE, blocks, extract, page_key, page_tree, style_tree
 from quarry.llm.sentencepiece_sampling import LITERAL, SPACE, Lattices, Pieces, decode, decode_ids, encode, encode_batch, segments
-from quarry.llm.url_filter import RULES, url_filter
+from quarry.llm.url_filter import CONFIDENCE, LEAST_URLS, RULES, url_filter
+from quarry.llm.url_filter import tokens as url_tokens
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav>
 <div class="ad">Buy</div><article><h1>Title &amp; more</h1><p><b>One<br>two<p>three&#32; four</p><script>var t="</p>"; "<p>no</p>"</script>
@@ -244,6 +245,45 @@ def test_rules_of_long_shared_paths(spark):
     assert sorted(out) == sorted((i, "block" if i == 1001 or (i < 300 and i % 3 == 0) else "allow") for i, _ in rows)
 
 
+def test_rules_by_definition(spark):
+    """Verdicts are those of all combinations of all tokens that have the support and confidence, in urls of up to 20 tokens."""
+    rng = np.random.default_rng(5)
+    names = [f"s{'abcdefghijklmn'[x]}" for x in range(14)]
+    rows, marks = [], []
+    for k in range(1500):
+        has = rng.random(14) < np.where(np.arange(14) % 2, 0.5, 0.35)
+        has[4] |= has[5]  # a token that another one implies
+        has[6] = has[7]  # and two that always come together
+        bad = (has[0] and has[1] and has[3]) or (has[8] and has[9] and not has[2]) if rng.random() < 0.9 else rng.random() < 0.2
+        rows.append((k, "http://one.example.edu/" + "/".join(n for n, h in zip(names, has, strict=True) if h)))
+        if k < 1200:
+            marks.append((k, 0 if bad else 1))
+    rows += [(2000 + k, "http://x.test/" + "/".join(rng.choice(names, k % 9, replace=False))) for k in range(300)]
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    out = {r["page_id"]: r["verdict"] for r in url_filter(pages, labels).collect()}
+    items = {r["page_id"]: r["x"] for r in pages.select("page_id", url_tokens(F.col("url")).alias("x")).collect()}
+    bad = {i for i, q in marks if q == 0}
+    held = Counter(t for i in bad for t in items[i])
+    number = {t: 1 << n for n, t in enumerate(sorted(t for t, n in held.items() if n >= LEAST_URLS))}
+    mask = {i: sum(number.get(t, 0) for t in x) for i, x in items.items()}
+    every, wrong = np.zeros(1 << len(number), int), np.zeros(1 << len(number), int)
+    for i, _ in marks:
+        every[mask[i]] += 1
+        wrong[mask[i]] += i in bad
+    for bit in number.values():
+        for x in (every, wrong):
+            x = x.reshape(-1, 2, bit)
+            x[:, 0] += x[:, 1]  # of all urls that hold the combination
+    fits = (wrong >= LEAST_URLS) & (wrong >= CONFIDENCE * every)
+    fits[0] = False
+    for bit in number.values():
+        x = fits.reshape(-1, 2, bit)
+        x[:, 1] |= x[:, 0]
+    want = {i: "block" if fits[m] else "allow" for i, m in mask.items()}
+    assert max(map(len, items.values())) > 14 and 100 < sum(v == "block" for v in want.values()) < 1000
+    assert out == want
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return Pieces.load()
