@@ -24,16 +24,27 @@ PRIOR, DISCOUNT = (200.0, 20.0), 0.75
 #: Tokens of a block of texts, tokens whose n-grams meet in a shard, places that a walk takes in step.
 BLOCK, SHARD, PIECE = 1 << 19, 1 << 21, 512
 START_HASH = np.uint64(0x2545F4914F6CDD1D)
+NONE = np.zeros(0, np.int64)
 
 
-def small(raw: bytes) -> bytes:
-    return zstandard.compress(raw, 1)
+def small(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.compress(raw, level)
 
 
 def full(raw: bytes) -> bytes:
     return zstandard.decompress(raw)
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then their second ones, and so on: these compress far better."""
+    return numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+
+
+def whole(raw: bytes, kind: type) -> np.ndarray:
+    """The numbers that ``planes`` took apart."""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 def blocks_of(size: int):
     """Texts in blocks of about ``size`` tokens, each a row: ids, folds, numbers of tokens, tokens as numbers of the block's words."""
 
@@ -41,7 +52,7 @@ def blocks_of(size: int):
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         all_ids = pa.concat_arrays(ids)
         return pa.RecordBatch.from_arrays(
-            [pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([small(tokens.tobytes())], pa.binary()), pa.array([small(b" ".join(words))], pa.binary())],
+            [pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([small(planes(np.frombuffer(tokens, np.int32)), 6)], pa.binary()), pa.array([small(b" ".join(words), 6)], pa.binary())],
             ["ids", "held", "sizes", "tokens", "words"],
         )
 
@@ -97,7 +108,7 @@ class Block:
         self.words: list[bytes] = full(row["words"]).split(b" ")
         self.sizes = np.array(row["sizes"], np.int64)
         self.start = len(self.words)
-        own = np.frombuffer(full(row["tokens"]), np.int32)
+        own = whole(full(row["tokens"]), np.int32)
         self.begins = np.cumsum(self.sizes + 1) - self.sizes - 1
         self.tokens = np.full(len(own) + len(self.sizes), self.start, np.int32)
         inside = np.ones(len(self.tokens), bool)
@@ -128,15 +139,19 @@ class Block:
         three = mixed(two[self.head3] * np.uint64(0xD1342543DE82EF95) + h[self.last3])
         return word, np.concatenate((two, three))
 
-    def dealt(self, n_shards: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """For each shard the numbers of its words and of its pairs and triples; the hashes of the latter."""
+    def dealt(self, n_shards: int) -> tuple[dict[int, list[np.ndarray]], np.ndarray]:
+        """For each shard that this block asks, the numbers of its words, in order of their first bytes, and of its pairs and triples, in order of their hashes; the hashes of the latter."""
         word, gram = self.codes()
-        parts = []
-        for h in (word, gram):
-            shard = (h % np.uint64(n_shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            parts.append(np.split(order, np.cumsum(np.bincount(shard, minlength=n_shards))[:-1]))
-        return parts[0], parts[1], gram
+        parts: dict[int, list[np.ndarray]] = defaultdict(lambda: [NONE, NONE])
+        heads = np.frombuffer(b"".join([w[:8].ljust(8, b"\0") for w in self.words]), ">u8")
+        for k, (h, by) in enumerate(((word, heads), (gram, gram))):
+            order = np.argsort(by, kind="stable")
+            shard = (h[order] % np.uint64(n_shards)).astype(np.int64)
+            place = np.argsort(shard, kind="stable")
+            some, first = np.unique(shard[place], return_index=True)
+            for s, numbers in zip(some.tolist(), np.split(order[place], first[1:]), strict=False):
+                parts[s][k] = numbers
+        return parts, gram
 
     def scores(self, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text its known tokens, base score and score, given the corpus counts of this block's words, pairs and triples.
@@ -195,33 +210,52 @@ class Block:
         return known, base, np.bincount(owner, sums, minlength=len(self.sizes))
 
 
-REQUEST = "shard int, block long, n_words int, words binary, own_words binary, grams binary, own_grams binary"
+REQUEST = "shard int, block long, n_words int, words binary, own_words binary, n_grams int, grams binary, own_grams binary"
 ANSWER = "block long, shard int, more_words binary, more_grams binary, n_distinct long"
-#: Bytes of a hash that tell the n-grams of one shard apart.
-TOLD = 5
+#: Bytes of the steps between hashes that are kept as they are; those above are mostly zero and compress.
+RAW = 5
+
+
+def coded(hashes: np.ndarray, n_shards: int) -> bytes:
+    """The ascending hashes of one shard in full: what the shard's number leaves of them, as steps from one to the next."""
+    if not len(hashes):
+        return b""
+    steps = np.diff(hashes // np.uint64(n_shards), prepend=np.uint64(0)).astype(np.uint64).view(np.uint8).reshape(-1, 8)
+    return steps[:, :RAW].tobytes() + small(steps[:, RAW:].T.tobytes())
+
+
+def decoded(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` hashes that ``coded`` was given, divided by the number of shards."""
+    steps = np.zeros((n, 8), np.uint8)
+    if n:
+        steps[:, :RAW] = np.frombuffer(raw, np.uint8, n * RAW).reshape(n, RAW)
+        steps[:, RAW:] = np.frombuffer(full(raw[n * RAW :]), np.uint8).reshape(8 - RAW, n).T
+    return np.cumsum(steps.view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
 def requests(n_shards: int):
-    """What a block asks of each shard: the corpus counts of its words, pairs and triples; with its own counts."""
+    """What a block asks of the shards that hold some of its n-grams: the corpus counts of its words, pairs and triples; with its own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (row.as_py() for batch in batches for row in batch.to_struct_array()):
             b = Block(row)
-            words, grams, code = b.dealt(n_shards)
-            own, code = np.concatenate((b.own2, b.own3)), code.view(np.uint8).reshape(-1, 8)[:, 8 - TOLD :]
-            for lo in range(0, n_shards, 64):
-                some = range(lo, min(lo + 64, n_shards))
+            parts, code = b.dealt(n_shards)
+            own, asked = np.concatenate((b.own2, b.own3)), sorted(parts)
+            for lo in range(0, len(asked), 64):
+                some = asked[lo : lo + 64]
+                words, grams = zip(*(parts[s] for s in some), strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(some, pa.int32()),
                         pa.array([row["block"]] * len(some), pa.int64()),
-                        pa.array([len(words[s]) for s in some], pa.int32()),
-                        pa.array([small(b" ".join([b.words[i] for i in words[s].tolist()])) for s in some], pa.binary()),
-                        pa.array([packed(b.own_words[words[s]]) for s in some], pa.binary()),
-                        pa.array([code[grams[s]].tobytes() for s in some], pa.binary()),
-                        pa.array([packed(own[grams[s]]) for s in some], pa.binary()),
+                        pa.array([len(x) for x in words], pa.int32()),
+                        pa.array([small(b" ".join([b.words[i] for i in x.tolist()]), 6) for x in words], pa.binary()),
+                        pa.array([packed(b.own_words[x]) for x in words], pa.binary()),
+                        pa.array([len(x) for x in grams], pa.int32()),
+                        pa.array([coded(code[x], n_shards) for x in grams], pa.binary()),
+                        pa.array([packed(own[x]) for x in grams], pa.binary()),
                     ],
-                    ["shard", "block", "n_words", "words", "own_words", "grams", "own_grams"],
+                    ["shard", "block", "n_words", "words", "own_words", "n_grams", "grams", "own_grams"],
                 )
 
     return run
@@ -239,13 +273,9 @@ def answered(asked: pa.Table) -> pa.Table:
     more_words = [packed(np.fromiter(map(n.__getitem__, some), np.int64, len(some)) - own) for some, own in zip(words, own_words, strict=True)]
     distinct = sum(k > 0 for k in n.values())
     del n, words
-    grams = column("grams")
-    sizes = [len(x) // TOLD for x in grams]
+    sizes = column("n_grams")
     own = np.concatenate([unpacked(x, k) for x, k in zip(column("own_grams"), sizes, strict=True)])
-    code = np.zeros((len(own), 8), np.uint8)
-    code[:, 8 - TOLD :] = np.frombuffer(b"".join(grams), np.uint8).reshape(-1, TOLD)
-    del grams
-    code = code.view(np.uint64).reshape(-1)
+    code = np.concatenate([decoded(x.as_py(), k) for x, k in zip(asked.column("grams"), sizes, strict=True)])
     order = np.argsort(code)
     code = code[order]
     group = np.cumsum(np.concatenate(([0], code[1:] != code[:-1])), dtype=np.int32) if len(code) else np.zeros(0, np.int32)
@@ -262,10 +292,10 @@ def scored(n_shards: int, total: int, distinct: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         (row,) = blocks.to_pylist() if blocks.num_rows else (None,)
         b = Block(row)
-        words, grams, _ = b.dealt(n_shards)
+        parts, _ = b.dealt(n_shards)
         n1, n = b.own_words.astype(np.int64), np.concatenate((b.own2, b.own3)).astype(np.int64)
         for a in answers.to_pylist():
-            w, g = words[a["shard"]], grams[a["shard"]]
+            w, g = parts[a["shard"]]
             n1[w] += unpacked(a["more_words"], len(w))
             n[g] += unpacked(a["more_grams"], len(g))
         known, base, score = b.scores(n1, n[: len(b.own2)], n[len(b.own2) :], total, distinct)
@@ -285,8 +315,10 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     asks the shards, to which n-grams are dealt by hash, for the counts of what it holds;
     a shard adds up what all blocks have of its n-grams and answers with the difference,
     which is nothing for the many n-grams of a single block. So each block gets the part
-    of the automaton that its texts can reach, and walks them. Pairs and triples are told
-    apart by 40 bits of hash within a shard of some millions; words by their bytes.
+    of the automaton that its texts can reach, and walks them. A block asks no shard
+    that holds none of its n-grams, so requests grow with the corpus alone. Pairs and
+    triples are told apart by all 64 bits of their hashes, which two of some billions of
+    n-grams hardly ever share; words by their bytes.
 
     Smoothing: a context seen c times gives a token seen n times after it the
     probability (n + m p) / (c + m), p being the next shorter context's, down to

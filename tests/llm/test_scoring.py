@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,28 @@ def test_lm_score_by_definition(make, monkeypatch, block, shard, piece):
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
 
 
+def test_a_block_asks_only_shards_of_its_own():
+    """Three words at a thousand shards: no empty request, and each n-gram in one."""
+    for text in ([b"one two three", b"two three"], [b""], [b"a " * 3000]):
+        raw = pa.RecordBatch.from_arrays([pa.array(range(len(text))), pa.array([False] * len(text)), pa.array(text)], ["id", "held", "text"])
+        (batch,) = lm_scoring.blocks_of(1 << 19)(iter([raw]))
+        b = lm_scoring.Block(batch.to_pylist()[0])
+        batch = batch.append_column("block", pa.array([7]))
+        asked = [r for x in lm_scoring.requests(1000)(iter([batch])) for r in x.to_pylist()]
+        assert all(r["n_words"] + r["n_grams"] > 0 for r in asked) and len({r["shard"] for r in asked}) == len(asked)
+        assert sum(r["n_words"] for r in asked) == len(b.words)
+        got = sorted(int(q) * 1000 + r["shard"] for r in asked for q in lm_scoring.decoded(r["grams"], r["n_grams"]))
+        assert got == sorted(b.codes()[1].tolist())
+
+
+def test_hashes_are_kept_in_full():
+    rng = np.random.default_rng(1)
+    for n, shards in [(0, 1), (1, 1), (1, 10**7), (5000, 1), (5000, 997)]:
+        h = np.sort(rng.integers(0, 1 << 64, n, np.uint64) // np.uint64(shards) * np.uint64(shards))
+        h = np.sort(np.concatenate((h, h[:2])))  # two n-grams of one hash
+        assert (lm_scoring.decoded(lm_scoring.coded(h, shards), len(h)) == h // np.uint64(shards)).all()
+
+
 def test_lm_probabilities_sum_to_one():
     train = [[*w.split(), b"\n"] for w in (b"a b a b c", b"a b a c", b"b a b a b")]
     n, _, _, p, start = slow_model(train)
