@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import chosen
 from quarry.functions.vectors import mock_embedding, mock_hash, with_mock_embedding
-from quarry.operators import boundaries, chunking, code_units, evaluation, fusion, late, query, recall, splitters, store
+from quarry.operators import boundaries, chunking, code_units, evaluation, fusion, late, query, recall, senses, splitters, store
 from quarry.operators.vector_index import VectorIndex
 from quarry.plans import search
 from quarry.sources.files import corpus
@@ -388,6 +388,11 @@ def feedback_rounds(spark, d):
     return recall.feedback_rounds(whole_documents(spark, d), text_queries(spark, d))
 
 
+def query_senses(spark, d):
+    """Which sense of their words passages mean, by what stands beside these words in all documents."""
+    return senses.disambiguated(text_queries(spark, d), whole_documents(spark, d))
+
+
 def library_search(spark, d):
     """Questions about conversations, answered from the documents in all steps of the library."""
     chunks = corpus(spark, d).select(F.col("doc_id").alias("chunk_id"), "content", F.col("path").alias("source"))
@@ -514,5 +519,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cache_stats, coverage, regression_report, doc_view, store_delta, recall_normalised, fusion_report, result_filter_language,
         multi_condition, query_tfidf, query_vague, query_budget, index_exact, index_probed, index_changes, fulltext_short, code_nested, store_log,
         late_interaction, semantic_merge, feedback_rounds, library_search, offline_search, eval_details, runs_compared,
+        query_senses,
     )
 }

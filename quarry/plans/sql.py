@@ -425,3 +425,21 @@ d AS (SELECT query_id, a, b, round(a - b, 9) AS d FROM a JOIN b USING (query_id)
 t AS (SELECT count(*) AS n, round(avg(a), 6) AS mean_first, round(avg(b), 6) AS mean_second, round(avg(d), 6) AS difference, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, abs(sum(d)) AS far FROM d),
 s AS (SELECT draw, abs(sum(CASE WHEN md5(query_id || ':' || draw)[1] < '8' THEN -d ELSE d END)) AS s FROM d, range(1, 501) AS x(draw) GROUP BY draw)
 SELECT n, mean_first, mean_second, difference, wins, losses, round((SELECT count(*) FILTER (s >= far - 1e-9) + 1 FROM s, t) / 501.0::DOUBLE, 6) AS p_value FROM t"""
+PLAIN = "list_filter(string_split(lower(regexp_replace(coalesce({}, ''), '[^a-zA-Z]+', ' ', 'g')), ' '), lambda w: length(w) > 2)"
+SQL["query_senses"] = f"""WITH RECURSIVE asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_distinct({PLAIN.format("text")})) AS word FROM benchmark),
+d AS (SELECT {PLAIN.format("text")} AS w FROM documents),
+p AS (SELECT unnest(list_transform(range(1, len(w) + 1), lambda i: {{'word': w[i], 'near': list_filter(list_distinct(list_concat(w[greatest(i - 3, 1):i - 1], w[i + 1:i + 3])), lambda y: y <> w[i])}})) AS x FROM d),
+s AS (SELECT row_number() OVER () AS r, x.word AS word, x.near AS near FROM p WHERE x.word IN (SELECT word FROM asked)),
+o AS MATERIALIZED (SELECT r, word, unnest(near) AS b FROM s),
+c AS MATERIALIZED (SELECT word, b, count(*) AS n FROM o GROUP BY ALL),
+two AS (SELECT x.word, x.b AS a, y.b, count(*) AS k FROM o x JOIN o y ON x.r = y.r AND x.b < y.b GROUP BY ALL HAVING count(*) >= 3),
+t AS (SELECT word, count(*) AS times FROM s GROUP BY ALL),
+l AS MATERIALIZED (SELECT two.word, a, two.b FROM two JOIN c ca ON ca.word = two.word AND ca.b = a JOIN c cb ON cb.word = two.word AND cb.b = two.b JOIN t ON t.word = two.word WHERE 200 * k >= 30 * (ca.n + cb.n) AND 100.0::DOUBLE * k * times >= 120.0::DOUBLE * ca.n * cb.n),
+e AS MATERIALIZED (SELECT * FROM l UNION ALL SELECT word, b, a FROM l),
+reach AS (SELECT DISTINCT word, a, a AS m FROM e UNION SELECT r.word, e.b, r.m FROM reach r JOIN e ON e.word = r.word AND e.a = r.a WHERE r.m < e.b),
+g AS (SELECT c.word, c.b, n, sense FROM c JOIN (SELECT word, a AS b, min(m) AS sense FROM reach GROUP BY ALL) USING (word, b)),
+z AS (SELECT word, sense, sum(n) AS size, count(*) OVER (PARTITION BY word) AS senses FROM g GROUP BY word, sense),
+f AS (SELECT a.query_id, g.word, sense, sum(n) AS score, string_agg(g.b, ',' ORDER BY g.b) AS fitting FROM asked a JOIN g USING (word) JOIN asked t ON t.query_id = a.query_id AND t.word = g.b GROUP BY ALL),
+ranked AS (SELECT a.query_id, a.word, senses, z.sense, coalesce(fitting, '') AS fitting, coalesce(score, 0)::BIGINT AS score, row_number() OVER (PARTITION BY a.query_id, a.word ORDER BY coalesce(score, 0) DESC, size DESC, z.sense) AS r
+  FROM asked a JOIN z USING (word) LEFT JOIN f ON f.query_id = a.query_id AND f.word = a.word AND f.sense = z.sense WHERE senses > 1)
+SELECT query_id, word, senses, sense, fitting, score FROM ranked WHERE r = 1"""
