@@ -228,6 +228,20 @@ def test_url_filter(spark):
     assert url_filter(pages.limit(0), labels).count() == 0
 
 
+CONTRACT = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def test_given_rules_are_the_contract(spark):
+    """Each rule's word, on its own host, on a subdomain and beside a longer path, is the contract's, whatever the labels say."""
+    assert sorted((v, h + p) for v, h, p in RULES) == sorted(CONTRACT)
+    rows = [(f"http://{sub}{rule}{end}", rule, verdict) for verdict, rule in CONTRACT for sub in ("", "a.", "a.b.") for end in ("", "x", "?q=1", "/z#f")]
+    pages = spark.createDataFrame([(k, u) for k, (u, _, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, 0) for k in range(len(rows))], "doc_id long, quality int")
+    for marks in (labels, labels.limit(0)):
+        out = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter(pages, marks).collect()}
+        assert out == {k: (rule, verdict) for k, (_, rule, verdict) in enumerate(rows)}
+
+
 def test_rules_of_long_shared_paths(spark):
     """Tokens that always come together are mined as one, and nested paths make no more rules than their number."""
     rows, marks = [], []
