@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: a binary trie joined with itself, then connected components."""
+"""SimHash near-duplicates: a binary trie joined with itself, then connected components; for whole texts an exact join of the rest."""
 
 from __future__ import annotations
 
@@ -24,6 +24,8 @@ NEAR_WIDTH, LEAST = 5, 0.8
 BUDGETS = ((2, 8), (4, 16), (4, 26))
 #: As LEAF, where budgets are wide: a fingerprint goes to all nodes within its budget, so nodes are few and large.
 WIDE_LEAF = 1 << 20
+#: What rounding may add to a product of a similarity and a number of shingles; bounds are looser by it.
+SLACK = 1e-6
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -62,14 +64,32 @@ def distinct_hashes(text: str | None, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(found), np.uint8).reshape(-1, 16)
 
 
-def wide_fingerprints(text: Column, width: int = NEAR_WIDTH) -> Column:
-    """128 bits of SimHash over the distinct shingles of each text, as two longs."""
+def fewest(n: np.ndarray | int, least: float) -> np.ndarray:
+    """Of ``n`` shingles, those that a text at least has in common with one that is similar at ``least``."""
+    return np.ceil(np.asarray(n) * least - SLACK).astype(np.int64)
 
-    @F.pandas_udf("hi long, lo long")
+
+def sure(n: np.ndarray | int) -> np.ndarray:
+    """Shingles in common that are asked of the lowest ones of a text of ``n`` shingles, see :func:`rest_links`."""
+    return 1 + np.asarray(n) // 10
+
+
+def described(text: Column, width: int = NEAR_WIDTH, least: float = LEAST) -> Column:
+    """Each text's distinct shingles: 128 bits of SimHash as two longs, a hash of the set, their number, and the lowest hashes."""
+
+    @F.pandas_udf("hi long, lo long, node long, n long, low array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            raw = b"".join(majority(distinct_hashes(t, width)) for t in texts)
-            yield pd.DataFrame(np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, 2), columns=["hi", "lo"])
+            rows = []
+            for t in texts:
+                hashes = distinct_hashes(t, width)
+                hi, lo = np.frombuffer(majority(hashes), ">i8").tolist()
+                held = np.sort(np.ascontiguousarray(hashes[:, :8]).view(np.int64).reshape(-1))
+                n = len(held)
+                low = held[: n - int(fewest(n, least)) + int(sure(n))]
+                node = np.uint64(xxhash.xxh3_64_intdigest(held.tobytes())).astype(np.int64)
+                rows.append((hi, lo, int(node), n, low))
+            yield pd.DataFrame(rows, columns=["hi", "lo", "node", "n", "low"])
 
     return run(text)
 
@@ -307,50 +327,114 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     return marked.join(named, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose sets (node, s) of shingles have a Jaccard similarity of ``least`` or more."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.filter(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def at_least(n: Column, share: float) -> Column:
+    return F.ceil(n * F.lit(share) - F.lit(SLACK))
+
+
+def unexplained(rooted: DataFrame, least: float) -> DataFrame:
+    """The rows of ``rooted`` (node, root, n, low) that may be similar to a node of another root.
+
+    Of a similar pair either set holds all but a few shingles of the other. Whatever order
+    all shingles are put in, the first n - fewest(n) + k of either set then have k shingles
+    in common (``k`` at most that of the smaller set). The lowest hashes are such an order:
+    nodes with fewer of them in nodes of other roots are left out.
+    """
+    each = rooted.select("node", "root", F.explode("low").alias("shingle"))
+    shared = saved(each.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("shingle"))
+    met = each.join(shared, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("met"))
+    asked = 1 + F.floor(at_least(F.col("n"), least) / 10)
+    return rooted.join(met, "node").filter(F.col("met") >= asked).select("node", "root", "n")
+
+
+def rest_links(rooted: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of nodes of different roots, all that can be similar at ``least`` among them; ``rooted`` (node, root, n), ``sets`` (node, s).
+
+    A prefix join: shingles are ordered by the number of nodes that hold them, rare ones
+    first, in front of them those that nodes of one root alone hold. A similar pair has
+    a shingle in common among the first n - fewest(n) + 1 of either; after the first one
+    enough must be left in both to reach the similarity.
+    """
+    n, share = F.col("n"), least / (1 + least)
+    each = rooted.join(sets, "node").select("node", "root", "n", F.explode("s").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("shingle", "df")
+    held = each.join(saved(shared), "shingle").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("x"))
+    # n - size(x) shingles come before; of the first n - fewest(n) + 1 these are left.
+    size, take = F.size("x"), (F.size("x") - at_least(n, least) + 1).cast("int")
+    held = held.filter(take > 0).select("node", "root", "n", size.alias("size"), F.posexplode(F.slice("x", 1, take)).alias("at", "y"))
+    held = saved(held.select("node", "root", "n", (F.col("size") - F.col("at")).alias("left"), F.col("y.shingle").alias("shingle")))
+    one, two = (held.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "n", "left"))) for k in "uv")
+    met = one.join(two, "shingle").filter("node_u < node_v AND root_u != root_v")
+    met = met.filter(F.least("n_u", "n_v") >= at_least(F.greatest("n_u", "n_v"), least))
+    met = met.filter(F.least("left_u", "left_v") >= at_least(F.col("n_u") + F.col("n_v"), share))
+    return met.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+
+
 def similar(docs: DataFrame, id_col: str, text_col: str, width: int, least: float, budgets: Sequence[tuple[int, int]], leaf: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, digest, hi, lo) of the documents, and (hi, lo, root) of their fingerprints: those joined by confirmed links share a root.
+    """Rows (id, digest, node) of the documents, and (node, root) of their sets of shingles: those joined by links share a root.
 
     Links that the trie self-join finds are confirmed by the Jaccard similarity of the
-    whole texts' shingles, worked out in Spark for the texts that have any.
+    whole texts' shingles, worked out in Spark for the texts that have any. Pairs that it
+    does not meet, or that stood behind a refuted one, are in different groups then: an
+    exact prefix join over the texts that may have such a pair finds all of these.
     """
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.select(F.col(id_col).alias("id"), digest.alias("digest"), wide_fingerprints(F.col(text_col), width).alias("fp"))
-    marked = saved(marked.select("id", "digest", "fp.hi", "fp.lo"))
-    nodes = saved(marked.groupBy("hi", "lo").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "digest")).alias("x")).withColumn("node", F.xxhash64("hi", "lo")))
-    both = in_turns(nodes, *halves(F.col("hi")), *halves(F.col("lo")))
-    n = nodes.count()
+    marked = docs.select(F.col(id_col).alias("id"), digest.alias("digest"), described(F.col(text_col), width, least).alias("x"))
+    marked = saved(marked.select("id", "digest", "x.*"))
+    chosen = F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "digest", "hi", "lo", "n", "low")).alias("x")
+    nodes = saved(marked.groupBy("node").agg(chosen).select("node", "x.*"))
+    points = saved(nodes.groupBy("hi", "lo").agg(F.min("node").alias("node")))
+    both = in_turns(points, *halves(F.col("hi")), *halves(F.col("lo")))
+    n = points.count()
     # At least a few nodes, so that a small table too is walked by several tasks.
     found = links(both, n, budgets, min(leaf, max(4096, n // 4)))
-    found = saved(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    met = found.select(F.col("u").alias("node")).union(found.select("v")).distinct()
-    wanted = nodes.join(met, "node", "left_semi").select("node", F.col("x.id").alias("wanted_id"), F.col("x.digest").alias("wanted_digest"))
-    texts = docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("digest") == F.col("wanted_digest"))).select("node", "text")
-    sets = saved(texts.dropDuplicates(["node"]).select("node", shingle_sets(F.col("text"), width).alias("s")))
-    pairs = found.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    confirmed = pairs.filter(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
-    comp = saved(components(confirmed))
-    named = nodes.join(comp, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
-    return marked, named
+    same = nodes.join(points.withColumnRenamed("node", "v"), ["hi", "lo"]).filter("node != v").select(F.col("node").alias("u"), "v")
+    found = saved(found.unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = nodes.join(some.select("node"), "node", "left_semi").select("node", F.col("id").alias("wanted_id"), F.col("digest").alias("wanted_digest"))
+        texts = docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).alias("text"))
+        texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("digest") == F.col("wanted_digest"))).select("node", "text")
+        return saved(texts.dropDuplicates(["node"]).select("node", shingle_sets(F.col("text"), width).alias("s")))
+
+    sets = sets_of(found.select(F.col("u").alias("node")).union(found.select("v")).distinct())
+    comp = saved(components(confirmed(found, sets, least)))
+    rooted = saved(nodes.select("node", "n", "low").join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "low"))
+    rest = saved(unexplained(rooted, least))
+    named = rooted.select("node", "root")
+    if rest.isEmpty():
+        return marked, named
+    sets = sets_of(rest)
+    more = confirmed(saved(rest_links(rest, sets, least)), sets, least)
+    root = rest.select("node", "root")
+    more = more.join(root.toDF("u", "a"), "u").join(root.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    above = components(more).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return marked, named.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, least: float = LEAST, budgets: Sequence[tuple[int, int]] = BUDGETS, leaf: int = WIDE_LEAF) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest id; all columns stay.
 
     Texts are linked whose shingles of ``width`` words have a Jaccard similarity of
-    ``least`` or more, among those that the trie self-join of 128-bit fingerprints brings
-    together within ``budgets``. Rows are told apart by id and digest of the text, groups by
-    their root: so a null or repeated id costs no document, and a document without an id
-    stays where its group has no other. Texts without a word are one group; an empty
-    table gives an empty result.
+    ``least`` or more: first those that the trie self-join of 128-bit fingerprints brings
+    together within ``budgets``, then all others by an exact join, so ``budgets`` and
+    ``leaf`` change the cost and not the groups. Rows are told apart by id and digest of
+    the text, groups by their root: so a null or repeated id costs no document, and a
+    document without an id stays where its group has no other. Texts without a word are
+    one group; an empty table gives an empty result.
     """
     require(docs, (id_col, text_col))
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     marked, named = similar(docs, id_col, text_col, width, least, budgets, leaf)
-    each = marked.groupBy("hi", "lo", "id", "digest").agg(F.count("*").alias("n"))
-    first = each.groupBy("hi", "lo").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "digest", "n")).alias("x"))
-    stays = named.join(first, ["hi", "lo"]).groupBy("root").agg(F.min("x").alias("x"))
+    each = marked.groupBy("node", "id", "digest").agg(F.count("*").alias("n"))
+    first = each.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "digest", "n")).alias("x"))
+    stays = named.join(first, "node").groupBy("root").agg(F.min("x").alias("x"))
     key, text_key = fresh(docs, "near_key"), fresh(docs, "near_digest")
     stays = saved(stays.select(F.col("x.id").alias(key), F.col("x.digest").alias(text_key), "x.n"))
     rest = docs.join(stays.select(key, text_key), F.col(id_col).eqNullSafe(F.col(key)) & (digest == F.col(text_key)), "left_semi")

@@ -177,6 +177,49 @@ def test_near_copies_are_those_of_brute_force(make):
     assert kept == set(want)
 
 
+def borderline(rng, vocabulary, n_words, n_edits):
+    """A text and a copy with edits six words apart, so that each changes five shingles of its own."""
+    words = [rng.choice(vocabulary) for _ in range(n_words)]
+    copy = list(words)
+    for k in range(n_edits):
+        copy[5 + 6 * k] = f"edit{rng.randrange(10**9)}"
+    return " ".join(words), " ".join(copy)
+
+
+def test_near_copies_at_the_threshold_are_all_linked(make):
+    """Pairs at a similarity of just 0.8 or more, some of whose fingerprints lie far apart, and pairs just below."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    texts = []
+    for _ in range(400):
+        texts += borderline(rng, vocabulary, 94, 2)  # 80 of 100 shingles
+        texts += borderline(rng, vocabulary, 49, 1)  # 40 of 50
+        texts += borderline(rng, vocabulary, 48, 1)  # 39 of 49
+    kept = {r["doc_id"] for r in drop_near_copies(make([(k, t, "en", "a") for k, t in enumerate(texts)]).repartition(3)).collect()}
+    want = [k for k in range(len(texts)) if k % 2 == 0 or k % 6 == 5]
+    assert sorted(kept) == want
+
+
+def test_near_copies_do_not_depend_on_fingerprints(make):
+    """Chains, hubs, shared beginnings and short texts: the same groups as brute force, at one similarity with next to no help of the trie."""
+    rng = random.Random(13)
+    vocabulary = [f"w{k}" for k in range(60)]
+    texts = [None, "", " ", "a", "a a a a a a a", "a b c d e", "a b c d", "A  b c d e"]
+    for k in range(50):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([5, 6, 9, 10, 24, 49, 94, 150]))]
+        shared = [f"w{k % 3}"] * 3 + [f"s{x}" for x in range(rng.choice([0, 30, 60]))]
+        for _ in range(rng.choice([2, 5, 9])):
+            words = list(words)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join([*shared, *words[: rng.randint(len(words) * 3 // 4, len(words))]]))
+    rng.shuffle(texts)
+    docs = make([(k, t, "en", "a") for k, t in enumerate(texts)]).repartition(3)
+    for least, budgets in ((0.8, ((0, 0),)), (0.5, ((2, 8), (4, 16), (4, 26)))):
+        kept = {r["doc_id"] for r in drop_near_copies(docs, least=least, budgets=budgets).collect()}
+        assert kept == set(near_groups(texts, least))
+
+
 def test_drop_near_copies_keeps_one_of_each_group_whatever_the_ids(make):
     rng = random.Random(9)
     texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(90)) for _ in range(60)) for _ in range(10)]
