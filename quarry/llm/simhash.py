@@ -24,6 +24,10 @@ NEAR_WIDTH, LEAST = 5, 0.8
 BUDGETS = ((2, 8), (4, 16), (4, 26))
 #: As LEAF, where budgets are wide: a fingerprint goes to all nodes within its budget, so nodes are few and large.
 WIDE_LEAF = 1 << 20
+#: Texts that share a shingle and are paired one by one; more are compared by what sets them apart.
+SHORT = 8
+#: One in so many nodes of large groups is tried first: what that links needs no more pairs.
+FIRST = 16
 #: What rounding may add to a product of a similarity and a number of shingles; bounds are looser by it.
 SLACK = 1e-6
 
@@ -353,27 +357,127 @@ def unexplained(rooted: DataFrame, least: float) -> DataFrame:
     return rooted.join(met, "node").filter(F.col("met") >= asked).select("node", "root", "n")
 
 
-def rest_links(rooted: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) of nodes of different roots, all that can be similar at ``least`` among them; ``rooted`` (node, root, n), ``sets`` (node, s).
+def posted(rooted: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(node, root, n, left, shingle): the shingles by which a node can meet a similar one of another root, ``left`` with those after it.
 
-    A prefix join: shingles are ordered by the number of nodes that hold them, rare ones
-    first, in front of them those that nodes of one root alone hold. A similar pair has
-    a shingle in common among the first n - fewest(n) + 1 of either; after the first one
-    enough must be left in both to reach the similarity.
+    Shingles are ordered by the number of nodes that hold them, rare ones first, in front
+    of them those that nodes of one root alone hold. A similar pair has a shingle in
+    common among the first n - fewest(n) + 1 of either; after the first one enough must
+    be left in both to reach the similarity.
     """
-    n, share = F.col("n"), least / (1 + least)
+    n = F.col("n")
     each = rooted.join(sets, "node").select("node", "root", "n", F.explode("s").alias("shingle"))
     shared = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("shingle", "df")
     held = each.join(saved(shared), "shingle").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("x"))
     # n - size(x) shingles come before; of the first n - fewest(n) + 1 these are left.
     size, take = F.size("x"), (F.size("x") - at_least(n, least) + 1).cast("int")
     held = held.filter(take > 0).select("node", "root", "n", size.alias("size"), F.posexplode(F.slice("x", 1, take)).alias("at", "y"))
-    held = saved(held.select("node", "root", "n", (F.col("size") - F.col("at")).alias("left"), F.col("y.shingle").alias("shingle")))
+    return saved(held.select("node", "root", "n", (F.col("size") - F.col("at")).alias("left"), F.col("y.shingle").alias("shingle")))
+
+
+def met_in_short(held: DataFrame, lists: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of nodes of different roots that meet in a short list of ``lists`` (shingle, size) and can be similar."""
+    held = held.join(lists.filter(F.col("size") <= SHORT).select("shingle"), "shingle", "left_semi")
     one, two = (held.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "n", "left"))) for k in "uv")
     met = one.join(two, "shingle").filter("node_u < node_v AND root_u != root_v")
     met = met.filter(F.least("n_u", "n_v") >= at_least(F.greatest("n_u", "n_v"), least))
-    met = met.filter(F.least("left_u", "left_v") >= at_least(F.col("n_u") + F.col("n_v"), share))
-    return met.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+    met = met.filter(F.least("left_u", "left_v") >= at_least(F.col("n_u") + F.col("n_v"), least / (1 + least)))
+    return met.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+
+
+def around_hubs(held: DataFrame, lists: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(hub, node, root, far, diff): the nodes of each long list, by the shingles that they or the list's hub hold alone.
+
+    The hub is the smallest node of a list, so that lists of the same near copies mostly
+    share it and a node has few of them. Nodes that can have no partner in a list by the
+    bounds of length and place over all of it are left out.
+    """
+    n, lo = F.col("n"), F.col("lo")
+    cells = held.join(lists.filter(F.col("size") > SHORT), "shingle")
+    cells = cells.filter((F.col("hi") >= at_least(n, least)) & (n >= at_least(lo, least)))
+    cells = cells.filter(F.least("left", "most") >= at_least(n + F.greatest(lo, at_least(n, least)), least / (1 + least)))
+    cells = saved(cells.select("hub", "node", "root", "n").distinct())
+    mixed = cells.groupBy("hub").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("hub")
+    cells = cells.join(mixed, "hub", "left_semi").join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("s").alias("h")), "hub")
+    cells = cells.withColumn("diff", F.concat(F.array_except("s", "h"), F.array_except("h", "s")))
+    return saved(cells.select("hub", "node", "root", (F.size("diff") - n * F.lit((1 - least) / (1 + least))).alias("far"), "diff"))
+
+
+def met_in_long(near: DataFrame, every: int = 1) -> DataFrame:
+    """Pairs (u, v) of nodes of different roots around one hub, ``near`` from :func:`around_hubs`, whose links join all that are similar.
+
+    Two sets that differ from the hub's in d and e shingles differ in d + e - 2c from each
+    other, c of them in common. Similar at ``least`` are those of n and m shingles that
+    differ in at most k(n + m), k = (1 - least) / (1 + least), so that c must be at least
+    half of (d - kn) + (e - km), the sum of their ``far``. Where that is not above zero no
+    c is needed, and both are similar to the node with the smallest ``far`` too: one link
+    each will do. All others meet by a prefix join over what differs, in which the text
+    that near copies share has no part. One of a pair is of those one in ``every`` nodes
+    that a hash chooses.
+    """
+    mins = near.groupBy("hub").agg(F.min(F.struct("far", "node", "root")).alias("m"))
+    second = near.join(mins, "hub").filter("root != m.root").groupBy("hub").agg(F.min("far").alias("second"))
+    mins = saved(mins.join(second, "hub"))
+    half = lambda a, b: F.ceil((a + b) / 2 - F.lit(SLACK))
+    far = F.col("far")
+    star = near.join(mins, "hub").filter("root != m.root").filter(half(far, F.col("m.far")) <= 0).select(F.col("node").alias("u"), F.col("m.node").alias("v"))
+    # What c must be at least with any node of another root.
+    need = F.greatest(F.lit(1), half(far, F.when(F.col("root") == F.col("m.root"), F.col("second")).otherwise(F.col("m.far"))))
+    asked = near.join(mins, "hub").withColumn("need", need).filter(F.size("diff") >= F.col("need"))
+    each = asked.select("hub", "node", "root", "far", "need", F.explode("diff").alias("shingle"))
+    shared = each.groupBy("hub", "shingle").agg(F.count("*").alias("df"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b")
+    held = each.join(saved(shared.select("hub", "shingle", "df")), ["hub", "shingle"])
+    held = held.groupBy("hub", "node", "root", "far", "need").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("x"))
+    size, take = F.size("x"), (F.size("x") - F.col("need") + 1).cast("int")
+    held = held.filter(take > 0).select("hub", "node", "root", "far", size.alias("size"), F.posexplode(F.slice("x", 1, take)).alias("at", "y"))
+    held = saved(held.select("hub", "node", "root", "far", (F.col("size") - F.col("at")).alias("left"), F.col("y.shingle").alias("shingle")))
+    # Of two roots one is not the most frequent of a list: its many nodes are not paired with each other.
+    main = held.groupBy("hub", "shingle", "root").agg(F.count("*").alias("n")).groupBy("hub", "shingle").agg(F.max(F.struct("n", "root")).alias("x"), F.count("*").alias("roots"))
+    main = saved(main.filter("roots > 1").select("hub", "shingle", F.col("x.root").alias("main")))
+    one, two = (held.select("hub", "shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "far", "left"))) for k in "uv")
+    two = two.filter(F.pmod(F.xxhash64("node_v"), F.lit(every)) == 0)
+    met = one.join(main, ["hub", "shingle"]).filter("root_u != main").join(two, ["hub", "shingle"])
+    met = met.filter("root_u != root_v")
+    c = half(F.col("far_u"), F.col("far_v"))
+    met = met.filter((c > 0) & (F.least("left_u", "left_v") >= c))
+    return met.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).union(star)
+
+
+def raised(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """``rooted`` with the roots that ``links`` (u, v) between roots bring together."""
+    above = components(links).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return saved(rooted.join(above, "root", "left").withColumn("root", F.coalesce("above", "root")).drop("above"))
+
+
+def joined_rest(rooted: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``rooted`` (node, root, n) with new roots where nodes of different roots are similar at ``least``; ``sets`` (node, s).
+
+    A prefix join. Nodes that meet in a short list of a shingle are paired; those of a long
+    one, as of a large group of near copies and texts beside it, by what sets them apart
+    from one of them: first with a few of these nodes, then, where roots still differ,
+    with all.
+    """
+    held = posted(rooted, sets, least)
+    bounds = [F.count("*").alias("size"), F.min("node").alias("hub"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("left").alias("most")]
+    lists = held.groupBy("shingle").agg(*bounds, F.min("root").alias("a"), F.max("root").alias("b"))
+    lists = saved(lists.filter("a != b").drop("a", "b"))
+
+    def linked(met: DataFrame) -> DataFrame:
+        met = saved(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        more, root = confirmed(met, sets, least), rooted.select("node", "root")
+        more = more.join(root.toDF("u", "a"), "u").join(root.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return saved(more.distinct())
+
+    met = met_in_short(held, lists, least)
+    if lists.filter(F.col("size") > SHORT).isEmpty():
+        return raised(rooted, linked(met))
+    near = around_hubs(held, lists, sets, least)
+    some = linked(met.union(met_in_long(near, FIRST)))
+    if not some.isEmpty():
+        rooted = raised(rooted, some)
+        near = saved(near.drop("root").join(rooted.select("node", "root"), "node"))
+    more = linked(met_in_long(near))
+    return rooted if more.isEmpty() else raised(rooted, more)
 
 
 def similar(docs: DataFrame, id_col: str, text_col: str, width: int, least: float, budgets: Sequence[tuple[int, int]], leaf: int) -> tuple[DataFrame, DataFrame]:
@@ -410,11 +514,8 @@ def similar(docs: DataFrame, id_col: str, text_col: str, width: int, least: floa
     named = rooted.select("node", "root")
     if rest.isEmpty():
         return marked, named
-    sets = sets_of(rest)
-    more = confirmed(saved(rest_links(rest, sets, least)), sets, least)
-    root = rest.select("node", "root")
-    more = more.join(root.toDF("u", "a"), "u").join(root.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    above = components(more).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    rest = joined_rest(rest, sets_of(rest), least).select("node", F.col("root").alias("above"))
+    above = rest.join(named, "node").select("root", "above").distinct()
     return marked, named.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
 
 

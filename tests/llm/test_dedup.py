@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 from quarry.llm.exact_dedup import drop_exact_copies, exact_dedup, heavy_candidates, shrunk
-from quarry.llm.simhash import components, drop_near_copies, fingerprint, simhash, walk
+from quarry.llm.simhash import components, confirmed, drop_near_copies, fingerprint, simhash, walk
 
 
 def plain(text):
@@ -220,6 +220,29 @@ def test_near_copies_do_not_depend_on_fingerprints(make):
         assert kept == set(near_groups(texts, least))
 
 
+def test_texts_beside_a_large_group_are_not_paired_with_all_of_it(make, monkeypatch):
+    """Near copies with few edits, and one in ten with so many that it lies about the threshold of the others: fewer pairs than texts."""
+    rng = random.Random(5)
+    base = [f"b{rng.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for k in range(1000):
+        words = list(base)
+        for x in rng.sample(range(300), rng.choice([1, 2, 3]) if k % 10 else rng.randint(6, 14)):
+            words[x] = f"own{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    counts = []
+
+    def counted(pairs, sets, least):
+        counts.append(pairs.count())
+        return confirmed(pairs, sets, least)
+
+    monkeypatch.setattr("quarry.llm.simhash.confirmed", counted)
+    kept = {r["doc_id"] for r in drop_near_copies(make([(k, t, "en", "a") for k, t in enumerate(texts)]).repartition(3)).collect()}
+    assert kept == set(near_groups(texts))
+    # The first are those of the trie, a forest for each of its tasks.
+    assert sum(counts[1:]) < len(texts)
+
+
 def test_drop_near_copies_keeps_one_of_each_group_whatever_the_ids(make):
     rng = random.Random(9)
     texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(90)) for _ in range(60)) for _ in range(10)]
