@@ -290,6 +290,31 @@ def test_toxicity(spark, make, edges, nothing):
     assert toxicity.drop_toxic(make(rows), labels).columns == edges.columns
 
 
+def test_toxicity_learns_in_a_task(spark, make, monkeypatch):
+    rows = [(k, None if k == 50 else " ".join(f"word{j * k % 41}" for j in range(5 + k % 9)) + " Vile!" * (k % 4 == 0), "en", "a") for k in range(200)]
+    rows += [(7, text, "en", "a") for text in ("z", "\U0001f642", "\ue000", None)]  # several texts of one id: nulls last, by code point
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(200)], "doc_id long, quality int, toxic int")
+    rows.sort(key=lambda r: (r[0], r[1] is None, r[1] or ""))
+    order = np.random.default_rng(3).permutation(len(rows))
+    words_met, toxic = toxicity.Words(), np.array([int(rows[k][0] % 4 == 0) for k in order])
+    docs = [np.array(words_met.numbers(toxicity.words_of(rows[k][1])), np.int32) for k in order]
+    weight = np.array([150, 50]) / np.bincount(toxic)
+    want = toxicity.fit(words_met, docs, toxic, weight[toxic])
+    fit = toxicity.fit
+
+    def watched(*args):
+        from pyspark import TaskContext
+
+        assert TaskContext.get() is not None, "the fit takes the driver's memory"
+        return fit(*args)
+
+    monkeypatch.setattr(toxicity, "fit", watched)
+    net = toxicity.learnt(make(rows[::-1]), labels)
+    for name, value in vars(want).items():
+        for a, b in zip(value if name == "filters" else [value], vars(net)[name] if name == "filters" else [vars(net)[name]], strict=True):
+            assert np.allclose(a, b, atol=1e-6), name
+
+
 def test_toxicity_pieces_of_long_texts(monkeypatch):
     net, w = toxicity.Net(1), toxicity.Words()
     docs = [w.numbers([b"x%d" % (k % 97) for k in range(n)]) for n in (0, 1, 2, 3, 500)]
