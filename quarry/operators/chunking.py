@@ -193,12 +193,13 @@ def enhance(chunks: DataFrame, title: Column, context: int = 100, keywords: Colu
 def last_sentence(content: Column) -> Column:
     """What follows the last sentence end; else the last paragraph if it lies in the second half; else the last tenth, 50 characters at most."""
     n = F.length(content)
-    ended = F.regexp_instr(content, F.lit(r"[.!?。！？]\s*[^\s]*$"))
+    # The very end: ``$`` would also stand before a last line break. Places are not taken from the match, which counts UTF-16 units.
+    end = r"[.!?。！？](\s*[^\s]*)\z"
     # The place of the last blank line: what is left of the text after the longest prefix that ends in one.
     tail = F.length(F.substring_index(content, "\n\n", -1))
     para = F.when(content.contains("\n\n") & (n - tail - 2 > n * 0.5), n - tail)
-    start = F.when(ended > 0, ended).otherwise(F.coalesce(para, F.floor(n - F.least(F.lit(50.0), n * 0.1))))
-    return F.substring(content, (start + 1).cast("int"), n)
+    start = F.coalesce(para, F.floor(n - F.least(F.lit(50.0), n * 0.1)))
+    return F.when(content.rlike(end), F.regexp_extract(content, end, 1)).otherwise(F.substring(content, (start + 1).cast("int"), n))
 
 
 def overlap_text(content: Column) -> Column:

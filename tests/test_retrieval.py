@@ -80,6 +80,14 @@ def chunks(spark, *contents):
     return spark.createDataFrame([(1, k, 100 * k, 100 * k + len(c), c) for k, c in enumerate(contents)], CHUNK)
 
 
+def test_last_sentence_ends_with_the_text(spark):
+    # A line break after the last sentence end is what follows it; characters beyond 16 bits count as one.
+    texts = ["One. Two.\n", "One. Two.\r\n", "One. Two", "\U0001f600\U0001f600 a. bc", "a.\n\n"]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r["s"] for r in d.select("k", chunking.last_sentence(F.col("t")).alias("s")).orderBy("k").collect()]
+    assert got == ["\n", "\r\n", " Two", " bc", "\n\n"]
+
+
 def test_enhance_and_overlap(spark):
     c = chunks(spark, "First chunk.", "Second one. tail", "Third")
     e = chunking.enhance(c, F.lit("Test Title"), keywords=F.array(F.lit("k1"), F.lit("k2"))).orderBy("ordinal").collect()
