@@ -315,6 +315,23 @@ def test_toxicity_learns_in_a_task(spark, make, monkeypatch):
             assert np.allclose(a, b, atol=1e-6), name
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, make, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join([*(f"word{int(x)}" for x in rng.integers(0, 90, int(rng.integers(3, 30)))), *([f"vile{k % 3}!"] if k % 4 == 0 else [])]), "en", "a") for k in range(1500)]
+    rows += [(4, "word1 vile0 word2", "en", "a")] * 200  # one shard holds all copies, and parts them
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(1500)], "doc_id long, quality int, toxic int")
+    begun, sizes = toxicity.begun, []
+    monkeypatch.setattr(toxicity, "begun", lambda seen, n, *a: sizes.append(n) or begun(seen, n, *a))
+    nets = [toxicity.learnt(make(r).repartition(n), labels, F.col("doc_id") % 7 != 0, shard_rows=60) for r, n in ((rows, 2), (rows[::-1], 5))]
+    given = [k for k, *_ in rows if k % 7 != 0]
+    # Four fifths of the rows of all shards, whatever their number; the rest chooses thresholds.
+    assert 0.8 * len(given) <= sizes[0].sum() <= 0.8 * len(given) + 40
+    assert np.allclose(nets[0].table, nets[1].table) and np.allclose(nets[0].threshold, nets[1].threshold)
+    scored = make(rows).filter("doc_id % 7 = 0").select("doc_id", toxicity.score_column(F.col("text"), toxicity.spread(spark, nets[0])).alias("s")).collect()
+    assert sum((r["s"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in scored) / len(scored) > 0.97
+    assert not np.allclose(nets[0].out, toxicity.Net().out)
+
+
 def test_toxicity_pieces_of_long_texts(monkeypatch):
     net, w = toxicity.Net(1), toxicity.Words()
     docs = [w.numbers([b"x%d" % (k % 97) for k in range(n)]) for n in (0, 1, 2, 3, 500)]
