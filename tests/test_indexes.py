@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import vector_topk
-from quarry.operators import boundaries, code_units, recall, text_index
+from quarry.operators import boundaries, code_units, recall, text_index, vector_index
 from quarry.operators.vector_index import Model, VectorIndex, centres_of, nearest
 from quarry.plans import queries as Q
 from quarry.plans.config import Config
@@ -316,3 +316,23 @@ def test_engine_changes(spark, tmp_path):
     e.drop()
     assert e.store.names() == set()
     assert e.index(d(("a", "/a.md", text("one")))).first()["documents"] == 1
+
+
+def test_exact_search_sends_on_hits_and_not_candidates(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(500, 12)).astype(np.float32)
+    v[100:140] = v[99]  # ties beyond k
+    m = vector_index.Model.fit(vector_index.unit(v.astype(float)), 20, 4, 0)
+    numbers, codes, away = m.encode(vector_index.unit(v.astype(float)))
+    ids, q = np.arange(500)[::-1].copy(), vector_index.unit(v[::25].astype(float))
+    found = vector_index.best_uncoded(m, ids[::25], q, np.ones((20, 20), bool), ids, vector_index.unit(v.astype(float)), numbers, codes, away, 5, True)
+    assert np.bincount(found[0]).max() == 5 and len(found[0]) == 100 and not (found[0] == found[1]).any()
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "chunk_id long, embedding array<float>")
+    asked = df.filter("chunk_id % 25 = 0").withColumnRenamed("chunk_id", "query_id")
+    # Several groups of lists, one list in several groups, and several packs of queries.
+    monkeypatch.setattr(vector_index, "ROWS", 30)
+    monkeypatch.setattr(vector_index, "QUERIES", 6)
+    index = vector_index.VectorIndex(spark, str(tmp_path)).build(df, n_lists=20)
+    plain = lambda r: sorted(tuple(x) for x in r.select("query_id", "chunk_id", "rank", F.round("score", 6)).collect())
+    assert plain(index.search(asked, 5)) == plain(vector_topk(df, asked, 5))
+    assert index.search(asked, 5, probes=3).count() == 100
