@@ -22,13 +22,15 @@ def judged_by_class(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> D
     """As :func:`judged`, where all other chunks (chunk_id, label) with the query's label (query_id, label) are relevant.
 
     Relevant chunks are only counted by label, never listed by query; hits look their label up.
+    All sides but the counts by label grow with the tables: they are shuffled, and not sent through the driver however
+    well their shuffle files compress.
     """
     sizes = chunks.groupBy("label").agg(F.count("*").alias("n"))
     itself = chunks.select(F.col("chunk_id").alias("query_id"), "label").groupBy("query_id", "label").agg(F.count("*").alias("own"))
-    expected = queries.join(sizes, "label", "left").join(itself, ["query_id", "label"], "left").withColumn("expected", F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))).filter("expected > 0")
-    found = hits.filter("query_id != chunk_id").join(chunks.select("chunk_id", F.col("label").alias("found")), "chunk_id").join(queries, "query_id").filter("found = label")
+    expected = queries.join(sizes, "label", "left").join(itself.hint("merge"), ["query_id", "label"], "left").withColumn("expected", F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))).filter("expected > 0")
+    found = hits.filter("query_id != chunk_id").join(chunks.select("chunk_id", F.col("label").alias("found")).hint("merge"), "chunk_id").join(queries.hint("merge"), "query_id").filter("found = label")
     ranks = found.groupBy("query_id").agg(F.array_sort(F.collect_set("rank")).alias("ranks"))
-    return expected.select("query_id", "expected").join(ranks, "query_id", "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
+    return expected.select("query_id", "expected").join(ranks.hint("merge"), "query_id", "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
 
 
 def metrics(hits: DataFrame, relevant: DataFrame, depths: Sequence[int] = DEPTHS) -> DataFrame:

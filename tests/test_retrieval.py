@@ -80,6 +80,17 @@ def chunks(spark, *contents):
     return spark.createDataFrame([(1, k, 100 * k, 100 * k + len(c), c) for k, c in enumerate(contents)], CHUNK)
 
 
+def test_sides_that_grow_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(k, [float(k % 7), 1.0], k % 3) for k in range(60)], "chunk_id long, embedding array<float>, label int")
+    asked = rows.filter("chunk_id % 5 = 0").withColumnRenamed("chunk_id", "query_id")
+    hits = vector_topk(rows, asked, 4, block=3)
+    assert hits.count() == 48
+    each = evaluation.judged_by_class(hits, asked.select("query_id", "label"), rows.select("chunk_id", "label"))
+    assert len(each.collect()) == 12
+    # One table may be sent to all: the counts by label.
+    assert each._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("BroadcastExchange") <= 1
+
+
 def test_last_sentence_ends_with_the_text(spark):
     # A line break after the last sentence end is what follows it; characters beyond 16 bits count as one.
     texts = ["One. Two.\n", "One. Two.\r\n", "One. Two", "\U0001f600\U0001f600 a. bc", "a.\n\n"]
