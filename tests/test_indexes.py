@@ -336,3 +336,12 @@ def test_exact_search_sends_on_hits_and_not_candidates(spark, tmp_path, monkeypa
     plain = lambda r: sorted(tuple(x) for x in r.select("query_id", "chunk_id", "rank", F.round("score", 6)).collect())
     assert plain(index.search(asked, 5)) == plain(vector_topk(df, asked, 5))
     assert index.search(asked, 5, probes=3).count() == 100
+
+
+def test_postings_and_packs_are_not_broadcast(spark):
+    chunks = spark.createDataFrame([(k, " ".join(f"w{k * j % 31}" for j in range(1, 20 + k % 5))) for k in range(300)], "chunk_id long, content string")
+    asked = spark.createDataFrame([(k, f"w{k} w{k + 7} w3") for k in range(20)], "query_id long, query string")
+    steps = text_index.block_max(chunks, asked, 5)
+    for df in (steps.bounds, steps.scored):
+        assert df.collect()
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
