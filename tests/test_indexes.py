@@ -345,3 +345,16 @@ def test_postings_and_packs_are_not_broadcast(spark):
     for df in (steps.bounds, steps.scored):
         assert df.collect()
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_short_queries_take_the_first_chunks_of_each_piece(spark, monkeypatch):
+    texts = [f"a{chr(98 + k % 5)} x{k} de  la" for k in range(400)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    asked = ["a", "X1", "b x", "  ", "e", "zz", "e  l", " ", "a"] * 3
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    held = []
+    holding = text_index.pieces_holding
+    monkeypatch.setattr(text_index, "pieces_holding", lambda d, p: held.append(p.count()) or holding(d, p))
+    got = {(r["query_id"], r["rank"], r["chunk_id"]) for r in recall.fulltext_topk(chunks, queries, 4).collect()}
+    assert got == {(i, n + 1, c) for i, q in enumerate(asked) for n, c in enumerate([c for c, t in enumerate(texts) if q.lower() in t][:4])}
+    assert held == [len({q.lower() for q in asked})]  # each different query once
